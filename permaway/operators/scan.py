@@ -47,6 +47,11 @@ def running_max(expr: str | Column, alias: str) -> Scan:
     return Scan("max", _col(expr), alias)
 
 
+def earlier_max(expr: str | Column, alias: str) -> Scan:
+    """Largest value of the rows before this one."""
+    return Scan("earlier_max", _col(expr), alias)
+
+
 def running_min(expr: str | Column, alias: str) -> Scan:
     return Scan("min", _col(expr), alias)
 
@@ -154,6 +159,8 @@ def _local(scan: Scan, window: WindowSpec) -> Column:
             return F.sum(scan.expr).over(whole)
         case "max":
             return F.max(scan.expr).over(upto)
+        case "earlier_max":
+            return F.max(scan.expr).over(window.rowsBetween(Window.unboundedPreceding, -1))
         case "min":
             return F.min(scan.expr).over(upto)
         case "last_known":
@@ -174,7 +181,7 @@ def _edge_state(scan: Scan, order: list[str], descending: bool) -> Column:
             return first(scan.expr, place)
         case "sum" | "total":
             return F.sum(scan.expr)
-        case "max":
+        case "max" | "earlier_max":
             return F.max(scan.expr)
         case "min":
             return F.min(scan.expr)
@@ -198,7 +205,7 @@ def _carry(scan: Scan, state: Column, along: WindowSpec) -> Column:
         case "total":
             whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             return F.sum(state).over(whole) - F.coalesce(state, F.lit(0))
-        case "max":
+        case "max" | "earlier_max":
             return F.max(state).over(before)
         case "min":
             return F.min(state).over(before)
@@ -217,7 +224,7 @@ def _combine(scan: Scan, local: Column, carry: Column) -> Column:
             return F.when(F.col("_more"), local).otherwise(carry)
         case "sum" | "total":
             return F.when(local.isNull(), carry).when(carry.isNull(), local).otherwise(local + carry)
-        case "max":
+        case "max" | "earlier_max":
             return F.greatest(local, carry)
         case "min":
             return F.least(local, carry)

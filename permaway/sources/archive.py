@@ -28,14 +28,11 @@ def create_archive(spark: SparkSession, root: str, fmt: str = "parquet") -> None
 def append_archive(df: DataFrame, name: str, root: str, fmt: str = "parquet") -> None:
     """Append rows to an archive table.
 
-    Rows are spread by partition keys and a salt, so a zone that holds most of
-    the rows is still written by many tasks.
+    The rebalance hint gathers the rows of a partition into few files and lets
+    adaptive execution split a zone that holds most of the rows over many tasks.
     """
     _, keys = ARCHIVE_TABLES[name]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(16)))
-    salted.repartition(*keys, "_salt").drop("_salt").write.format(fmt).mode("append").partitionBy(*keys).save(
-        f"{root}/{name}"
-    )
+    df.hint("rebalance", *keys).write.format(fmt).mode("append").partitionBy(*keys).save(f"{root}/{name}")
 
 
 def read_archive(spark: SparkSession, name: str, root: str, fmt: str = "parquet") -> DataFrame:

@@ -103,11 +103,8 @@ def log_rows(df: DataFrame, value: str = "value", topic: str = "topic", ingest:
 
 
 def write_log_index(rows: DataFrame, path: str) -> None:
-    """Daily folders per topic; the salt splits a topic that holds most rows."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("event"), F.lit(16)))
-    salted.repartition("kafka_topic", "dt", "_salt").drop("_salt").write.mode("append").partitionBy(
-        "kafka_topic", "dt"
-    ).parquet(path)
+    """Daily folders per topic; a topic that holds most rows is split over many tasks."""
+    rows.hint("rebalance", "kafka_topic", "dt").write.mode("append").partitionBy("kafka_topic", "dt").parquet(path)
 
 
 def recent_count(df: DataFrame, as_of: Column, measurement: str | None = None, minutes: int = 2) -> DataFrame:
