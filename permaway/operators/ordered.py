@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from permaway.functions.scalars import change_hash, key_hash
 from permaway.operators.scan import (
@@ -27,11 +26,11 @@ def run_position(
 ) -> DataFrame:
     """Add the length of the current run of ``bad`` rows (0 on any other row)."""
     flag = F.coalesce(bad, F.lit(False))
-    seen = ordered_scan(
-        df.withColumn("_bad", F.when(flag, 1).otherwise(0)), keys, order, [running_sum("_bad", "_upto")], mode=mode
-    )
     at_reset = F.when(F.col("_bad") == 0, F.col("_upto"))
-    runs = ordered_scan(seen, keys, order, [last_known(at_reset, "_reset")], mode=mode)
+    runs = ordered_scan(
+        df.withColumn("_bad", F.when(flag, 1).otherwise(0)), keys, order,
+        [running_sum("_bad", "_upto")], [last_known(at_reset, "_reset")], mode=mode,
+    )
     return runs.withColumn(alias, F.when(F.col("_bad") == 1, F.col("_upto") - F.coalesce("_reset", F.lit(0))).otherwise(0)).drop(
         "_bad", "_upto", "_reset"
     )
@@ -101,7 +100,6 @@ def trace_latency(spans: DataFrame, *, trace: str = "trace_id", sla_ms: float =
     live of the first arrival. Nine conditional maxima per trace, no ordering.
     """
     known = spans.filter(F.col("span_name").isin(STAGES) & F.col(trace).isNotNull() & (F.col(trace) != ""))
-    last_here = F.max_by("start_ns", "arrival_s")
     wide = known.groupBy(trace).agg(
         *[F.max_by(F.when(F.col("span_name") == s, F.col("start_ns")), F.when(F.col("span_name") == s, F.col("arrival_s"))).alias(s) for s in STAGES],
         F.min("arrival_s").alias("_opened"),
@@ -146,7 +144,7 @@ def upsert_merge(df: DataFrame, key: str, order: list[str], updated: list[str])
 
 
 def segment_admission(
-    df: DataFrame, segment: str, train: str, order: list[str], *, capacity: Column | int = 1
+    df: DataFrame, segment: str, train: str, order: list[str], *, capacity: Column | int = 1, mode: str | None = None
 ) -> DataFrame:
     """Add ``accepted``: the train is among the first ``capacity`` different trains of its segment.
 
@@ -155,7 +153,7 @@ def segment_admission(
     """
     limit = capacity if isinstance(capacity, Column) else F.lit(capacity)
     arrivals = df.groupBy(segment, train).agg(F.min(F.struct(*order)).alias("_first"))
-    ranked = arrivals.withColumn("_rank", F.row_number().over(Window.partitionBy(segment).orderBy("_first", train)))
+    ranked = ordered_scan(arrivals, [segment], ["_first", train], [row_number("_rank")], mode=mode)
     admitted = ranked.filter(F.col("_rank") <= limit).select(segment, train, F.lit(True).alias("_in"))
     placed = df.join(admitted, [segment, train], "left")
     no_segment = F.coalesce(F.col(segment).cast("string"), F.lit("")) == ""
@@ -222,9 +220,10 @@ def sustained_alerts(
     """Rows at which the condition has held since ``hold_s`` seconds; first such row of each stretch is ``fired``."""
     on = F.coalesce(condition, F.lit(False))
     base = df.withColumns({"_on": on, "_t": ts_seconds})
-    seen = ordered_scan(base, keys, order, [previous("_on", "_was"), previous("_t", "_pt")], mode=mode)
     begins = F.when(F.col("_on") & ~F.coalesce("_was", F.lit(False)), F.col("_t"))
-    held = ordered_scan(seen, keys, order, [last_known(begins, "_since")], mode=mode)
+    held = ordered_scan(
+        base, keys, order, [previous("_on", "_was"), previous("_t", "_pt")], [last_known(begins, "_since")], mode=mode
+    )
     long_enough = F.col("_on") & (F.col("_t") - F.col("_since") >= hold_s)
     before = F.coalesce("_was", F.lit(False)) & (F.col("_pt") - F.col("_since") >= hold_s)
     return held.filter(long_enough).withColumn("fired", ~F.coalesce(before, F.lit(False))).drop("_on", "_t", "_was", "_pt", "_since")

@@ -79,21 +79,27 @@ def ordered_scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    scans: list[Scan],
-    *,
+    *stages: list[Scan],
     descending: bool = False,
     mode: str | None = None,
 ) -> DataFrame:
     """Add one column per scan, computed per ``keys`` in ``order``.
 
-    ``order`` must be unique within a key and hold no nulls. ``mode`` is
-    ``plain`` or ``chunked``; by default the size of the largest group decides.
+    A later stage may use the columns of the stages before it; all stages
+    share one shuffle (or one chunked table). ``order`` must be unique within
+    a key and hold no nulls. ``mode`` is ``plain`` or ``chunked``; by default
+    the size of the largest group decides.
     """
     mode = mode or group_mode(df, keys)
     if mode == "plain":
         window = Window.partitionBy(*keys).orderBy(*_ordering(order, descending))
-        return df.select("*", *[_local(s, window).alias(s.alias) for s in scans])
-    return _chunked_scan(df, keys, order, scans, descending)
+        for scans in stages:
+            df = df.select("*", *[_local(s, window).alias(s.alias) for s in scans])
+        return df
+    seen = chunked(df, keys, order, descending)
+    for scans in stages:
+        seen = _scan_chunks(seen, keys, order, scans, descending)
+    return seen.drop(CHUNK)
 
 
 def chunked(df: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
@@ -104,8 +110,7 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], descending: bool =
     return durable(cut.withColumn(CHUNK, F.spark_partition_id()))
 
 
-def _chunked_scan(df, keys, order, scans, descending):
-    stored = chunked(df, keys, order, descending)
+def _scan_chunks(stored, keys, order, scans, descending):
     scoped = [CHUNK, *keys]
     window = Window.partitionBy(*scoped).orderBy(*_ordering(order, descending))
     local = stored.select(
@@ -131,7 +136,7 @@ def _chunked_scan(df, keys, order, scans, descending):
     )
     joined = local.join(F.broadcast(carry), match, "left")
     return joined.select(
-        *df.columns,
+        *stored.columns,
         *[_combine(s, F.col(f"_l{i}"), F.col(f"_c{i}")).alias(s.alias) for i, s in enumerate(scans)],
     )
 
