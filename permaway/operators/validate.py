@@ -33,15 +33,12 @@ ROOT = "(root)"
 
 
 class _Field:
-    """Type and value columns of one path of a VARIANT."""
+    """Type and value columns of one path of a message, read from the extracted struct."""
 
-    def __init__(self, event: Column, path: str):
+    def __init__(self, path: str):
         self.path = path.replace(".", "/")
-        inner = F.try_variant_get(event, f"$.{path}", "variant")
-        self.type = F.schema_of_variant(inner)
-        self.text = F.try_variant_get(event, f"$.{path}", "string")
-        self.number = F.try_variant_get(event, f"$.{path}", "double")
-        self.map = F.try_variant_get(event, f"$.{path}", "map<string,variant>")
+        at = F.col("_f")[_slot(path)]
+        self.type, self.text, self.number, self.keys = at["type"], at["text"], at["number"], at["keys"]
         self.present = self.type.isNotNull()
         self.is_text = self.type == "STRING"
         self.is_number = self.type.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
@@ -49,6 +46,33 @@ class _Field:
         self.is_flag = self.type == "BOOLEAN"
 
 
+def _slot(path: str) -> str:
+    return path.replace(".", "_")
+
+
+# What is read of each path: text, number or the keys of an object.
+_TEXT_PATHS = ["eventId", "sourceId", "sensorType", "assetId", "timestamp_utc", "schema_version"]
+_NUMBER_PATHS = ["sequence", "quality_flags.interpolation_pct", "quality_flags.drift_ms"]
+
+
+def _extract(event: Column, with_keys: bool) -> Column:
+    """Every path of the contract as a struct, so that each is looked up once per message."""
+    parts = []
+    for path in REQUIRED + [f"quality_flags.{n}" for n in REQUIRED_FLAGS]:
+        inner = F.try_variant_get(event, f"$.{path}", "variant")
+        keyed = with_keys and path in ("payload", "quality_flags")
+        parts.append(
+            F.struct(
+                F.schema_of_variant(inner).alias("type"),
+                (F.try_variant_get(event, f"$.{path}", "string") if path in _TEXT_PATHS else F.lit(None).cast("string")).alias("text"),
+                (F.try_variant_get(event, f"$.{path}", "double") if path in _NUMBER_PATHS else F.lit(None).cast("double")).alias("number"),
+                (F.map_keys(F.try_variant_get(event, f"$.{path}", "map<string,variant>")) if keyed else F.lit(None).cast("array<string>")).alias("keys"),
+            ).alias(_slot(path))
+        )
+    root = F.map_keys(F.try_variant_get(event, "$", "map<string,variant>")) if with_keys else F.lit(None).cast("array<string>")
+    return F.struct(*parts, root.alias("root_keys"), F.schema_of_variant(event).alias("root_type"))
+
+
 def _rule(path: str, message: str, broken: Column) -> tuple[str, str, Column]:
     return path, message, broken
 
@@ -62,12 +86,11 @@ def _text_rules(f: _Field, *, min_length: int = 0, pattern: str | None = None, l
     return rules
 
 
-def _extra_keys(f_map: Column, allowed: list[str]) -> Column:
-    extra = F.array_except(F.map_keys(f_map), F.array(*[F.lit(a) for a in allowed]))
-    return F.size(extra) > 0
+def _extra_keys(keys: Column, allowed: list[str]) -> Column:
+    return F.size(F.array_except(keys, F.array(*[F.lit(a) for a in allowed]))) > 0
 
 
-def event_rules(event: Column, strictness: str = "lenient") -> list[tuple[str, str, Column]]:
+def event_rules(strictness: str = "lenient") -> list[tuple[str, str, Column]]:
     """The rules as (path, message, broken), sorted by path.
 
     ``lenient`` checks keys, types, enum and ranges; ``strict`` also refuses
@@ -77,8 +100,8 @@ def event_rules(event: Column, strictness: str = "lenient") -> list[tuple[str, s
     if strictness not in ("lenient", "strict", "formats"):
         raise ValueError(strictness)
     formats = strictness == "formats"
-    f = {name: _Field(event, name) for name in REQUIRED}
-    q = {name: _Field(event, f"quality_flags.{name}") for name in REQUIRED_FLAGS}
+    f = {name: _Field(name) for name in REQUIRED}
+    q = {name: _Field(f"quality_flags.{name}") for name in REQUIRED_FLAGS}
     flags = f["quality_flags"]
     rules = [_rule(ROOT, f"missing {n}", ~f[n].present) for n in REQUIRED]
     rules += _text_rules(f["eventId"], pattern=UUID_PATTERN if formats else None, label="uuid")
@@ -111,34 +134,38 @@ def event_rules(event: Column, strictness: str = "lenient") -> list[tuple[str, s
     rules.append(_rule(pct.path, "below minimum", pct.is_number & (pct.number < 0)))
     rules.append(_rule(pct.path, "above maximum", pct.is_number & (pct.number > 100)))
     if strictness != "lenient":
-        root = F.try_variant_get(event, "$", "map<string,variant>")
-        rules.append(_rule(ROOT, "unknown key", _extra_keys(root, REQUIRED)))
-        rules.append(_rule(flags.path, "unknown key", flags.is_object & _extra_keys(flags.map, REQUIRED_FLAGS)))
+        rules.append(_rule(ROOT, "unknown key", _extra_keys(F.col("_f.root_keys"), REQUIRED)))
+        rules.append(_rule(flags.path, "unknown key", flags.is_object & _extra_keys(flags.keys, REQUIRED_FLAGS)))
     if strictness == "strict":
-        rules.append(_rule(payload.path, "empty", payload.is_object & (F.size(payload.map) == 0)))
+        rules.append(_rule(payload.path, "empty", payload.is_object & (F.size(payload.keys) == 0)))
     return sorted(rules, key=lambda r: (r[0] != ROOT, r[0]))
 
 
 def validate_events(df: DataFrame, strictness: str = "lenient", value: str = "value") -> DataFrame:
-    """Add ``ok`` and ``errors`` (array of path and message) to raw JSON rows."""
-    parsed = df.withColumn("_event", F.try_parse_json(F.col(value)))
-    event = F.col("_event")
+    """Add ``ok`` and ``errors`` (array of path and message) to raw JSON rows.
+
+    The text is parsed once and each path read once. The errors pass through
+    an ``explode`` of one entry, because a later filter on them would otherwise
+    be pushed below and have the parse repeated for every rule.
+    """
     error = "struct<path: string, message: string>"
+    parsed = df.withColumn("_event", F.try_parse_json(F.col(value)))
+    read = parsed.withColumn("_f", _extract(F.col("_event"), strictness != "lenient")).drop("_event")
 
     def entry(path: str, message: str) -> Column:
         return F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))
 
     found = F.array_compact(
-        F.array(*[F.when(F.coalesce(bad, F.lit(False)), entry(p, m)) for p, m, bad in event_rules(event, strictness)])
+        F.array(*[F.when(F.coalesce(bad, F.lit(False)), entry(p, m)) for p, m, bad in event_rules(strictness)])
     )
     errors = (
-        F.when(event.isNull(), F.array(entry(ROOT, "not JSON")))
-        .when(~F.schema_of_variant(event).startswith("OBJECT"), F.array(entry(ROOT, "not an object")))
+        F.when(F.col("_f.root_type").isNull(), F.array(entry(ROOT, "not JSON")))
+        .when(~F.col("_f.root_type").startswith("OBJECT"), F.array(entry(ROOT, "not an object")))
         .otherwise(found)
         .cast(f"array<{error}>")
     )
-    checked = parsed.withColumn("errors", errors)
-    return checked.withColumn("ok", F.size("errors") == 0).drop("_event")
+    checked = read.select(*df.columns, F.explode(F.array(errors)).alias("errors"))
+    return checked.withColumn("ok", F.size("errors") == 0)
 
 
 def topic_for_type(sensor_type: Column) -> Column:
@@ -192,7 +219,7 @@ def fan_out(validated: DataFrame, value: str = "value", topic: str = "topic", ts
         ).alias("body"),
     )
     rows = F.when(F.col("ok"), F.array(valid)).otherwise(F.array(dead, alert))
-    return validated.select(F.col(ts).alias("ts"), F.explode(rows).alias("_row")).select("_row.*", "ts")
+    return validated.select(F.col(ts).alias("ts"), F.explode_outer(rows).alias("_row")).select("_row.*", "ts")
 
 
 def feed_alert(validated: DataFrame, value: str = "value", topic: str = "topic") -> DataFrame:

@@ -1 +1,6 @@
+"""Driver queries; importing the modules fills the registry."""
 
+from permaway.plans import feeds  # noqa: F401
+from permaway.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

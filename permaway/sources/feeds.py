@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from permaway.functions.scalars import key_hash, millis_to_timestamp, prefixed_id, strip_nulls
-from permaway.schemas import RAW_MESSAGE
+from permaway.schemas import RAW_FIELDS
 
 RECORD_SIZE = 64
 # Fixed layout of an axle record: 8 bytes of id, epoch ms, axle count, 3 spare,
@@ -37,16 +36,14 @@ def union_topics(
     paths: dict[str, str],
     *,
     fmt: str = "json",
-    schema: StructType = RAW_MESSAGE,
+    schema: str = RAW_FIELDS,
     streaming: bool = False,
     options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Several topic folders as one frame of raw messages with a ``topic`` column."""
-    fields = StructType([f for f in schema.fields if f.name != "topic"])
-
     def one(topic: str, path: str) -> DataFrame:
         reader = spark.readStream if streaming else spark.read
-        return reader.schema(fields).options(**(options or {})).format(fmt).load(path).withColumn("topic", F.lit(topic))
+        return reader.schema(schema).options(**(options or {})).format(fmt).load(path).withColumn("topic", F.lit(topic))
 
     return reduce(DataFrame.unionByName, [one(t, p) for t, p in paths.items()])
 
