@@ -114,8 +114,8 @@ def point_projection(spark, folder):
 
 @query(f"""
     WITH l AS (SELECT {sql_map('event_type', LOGS, 'other.topic')} AS topic, k,
-        CASE WHEN k % 2 = 0 AND k % 9 <> 0 THEN date_trunc('second', ts) + INTERVAL 1 DAY ELSE ts END AS at FROM {EVENTS_SQL} e)
-    SELECT topic || '-' || strftime(at, '%Y.%m.%d') AS "index",
+        CASE WHEN k % 2 = 0 AND k % 9 <> 0 THEN date_trunc('second', ts) + INTERVAL 1 DAY ELSE ts END AS moment FROM {EVENTS_SQL} e)
+    SELECT topic || '-' || strftime(moment, '%Y.%m.%d') AS "index",
       CASE WHEN topic LIKE 'monitoring.alerts%' THEN 'system_alert' WHEN topic LIKE 'audit.%' THEN 'audit'
         WHEN topic LIKE 'security.%' THEN 'security' WHEN topic LIKE 'dead-letter.%' THEN 'dead_letter' END AS tag,
       count(*) AS n, count(*) FILTER (WHERE k % 9 <> 0) AS parsed FROM l GROUP BY 1, 2""")
