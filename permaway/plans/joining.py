@@ -54,12 +54,12 @@ def range_to_segment(spark, folder):
 
 @query("""
     WITH c AS (SELECT c_custkey, floor(abs(c_acctbal)) / 100 AS km FROM customer),
-    j AS (SELECT c.*, n_name, abs(c.km - n_nationkey * 2.9) AS d, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c.km - n_nationkey * 2.9), n_nationkey) AS r
+    j AS (SELECT c.*, n_name, abs(c.km - (n_nationkey * 2.9 + 0.001)) AS d, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c.km - (n_nationkey * 2.9 + 0.001)), n_nationkey) AS r
       FROM c, nation)
     SELECT c_custkey, n_name AS nearest, round(d, 6) AS distance FROM j WHERE r = 1 AND d < 5""")
 def nearest_station(spark, folder):
     c = table(spark, folder, "customer").select("c_custkey", (F.floor(F.abs("c_acctbal")) / 100).alias("km"))
-    s = table(spark, folder, "nation").select("n_name", (F.col("n_nationkey") * 2.9).alias("place_km"))
+    s = table(spark, folder, "nation").select("n_name", (F.col("n_nationkey") * 2.9 + 0.001).alias("place_km"))
     out = joins.nearest_lookup(c, s, at="km", place_at="place_km", place_id="n_name", point_id="c_custkey", within=5.0)
     return out.select("c_custkey", "nearest", F.round("distance", 6).alias("distance"))
 
@@ -155,8 +155,8 @@ def conflict_free(spark, folder):
 
 
 @query("""
-    SELECT c_custkey, coalesce(g.gradient, 0) AS gradient, coalesce(g.radius, 0) AS curve_radius
-    FROM customer LEFT JOIN (SELECT n_nationkey, n_nationkey / 1000.0 AS gradient, n_nationkey * 100.0 AS radius FROM nation WHERE n_regionkey <> 2) g
+    SELECT c_custkey, coalesce(g.gradient, 0::DOUBLE) AS gradient, coalesce(g.radius, 0::DOUBLE) AS curve_radius
+    FROM customer LEFT JOIN (SELECT n_nationkey, n_nationkey / 1000::DOUBLE AS gradient, n_nationkey * 100::DOUBLE AS radius FROM nation WHERE n_regionkey <> 2) g
       ON c_nationkey = n_nationkey AND c_custkey % 2 = 0""")
 def geometry_lookup(spark, folder):
     n = F.col("n_nationkey")
@@ -280,8 +280,8 @@ def dual_control(spark, folder):
 
 
 @query("""
-    SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 430.0 WHEN 'FURNITURE' THEN 1400.0 ELSE 580.0 END AS mass_t,
-      CASE c_mktsegment WHEN 'MACHINERY' THEN 1.5 WHEN 'FURNITURE' THEN 2.5 ELSE 2.0 END AS reaction_s FROM customer""")
+    SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 430::DOUBLE WHEN 'FURNITURE' THEN 1400::DOUBLE ELSE 580::DOUBLE END AS mass_t,
+      CASE c_mktsegment WHEN 'MACHINERY' THEN 1.5::DOUBLE WHEN 'FURNITURE' THEN 2.5::DOUBLE ELSE 2::DOUBLE END AS reaction_s FROM customer""")
 def train_config(spark, folder):
     c = joins.train_config(col_map("c_mktsegment", {"MACHINERY": "vande_bharat", "FURNITURE": "wdp4d_mail"}, "unknown"))
     return table(spark, folder, "customer").select("c_custkey", c["mass_t"].alias("mass_t"), c["reaction_s"].alias("reaction_s"))
