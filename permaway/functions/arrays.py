@@ -35,14 +35,23 @@ def clip_to_norm(values: Column, max_norm: float = 1.0) -> Column:
     return F.transform(values, lambda x: x * factor)
 
 
+def _moments(values: Column, finish) -> Column:
+    """Count, mean and sum of squared deviations in one walk over the array."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(acc: Column, x: Column) -> Column:
+        n, mean = acc["n"] + 1.0, acc["mean"] + (x - acc["mean"]) / (acc["n"] + 1.0)
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + (x - acc["mean"]) * (x - mean)).alias("m2"))
+
+    return F.aggregate(values, start, add, finish)
+
+
 def mean_of(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    return total / F.size(values)
+    return _moments(values, lambda m: m["mean"])
 
 
 def variance_of(values: Column) -> Column:
-    centre = mean_of(values)
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - centre) * (x - centre)) / F.size(values)
+    return _moments(values, lambda m: m["m2"] / m["n"])
 
 
 def gaussian_divergence(
@@ -51,10 +60,12 @@ def gaussian_divergence(
     """|KL| of a vector's fitted Gaussian against the global one; 0 for an empty vector."""
     mu = global_mean if isinstance(global_mean, Column) else F.lit(float(global_mean))
     var = F.greatest(global_var if isinstance(global_var, Column) else F.lit(float(global_var)), F.lit(floor))
-    own_mean = mean_of(values)
-    own_var = F.greatest(variance_of(values), F.lit(floor))
-    kl = F.log(F.sqrt(var) / F.sqrt(own_var)) + (own_var + F.pow(own_mean - mu, 2)) / (2 * var) - 0.5
-    return F.when(F.size(values) > 0, F.abs(kl)).otherwise(F.lit(0.0))
+
+    def divergence(m: Column) -> Column:
+        own = F.greatest(m["m2"] / m["n"], F.lit(floor))
+        return F.abs(F.log(F.sqrt(var) / F.sqrt(own)) + (own + F.pow(m["mean"] - mu, 2)) / (2 * var) - 0.5)
+
+    return F.when(F.size(values) > 0, _moments(values, divergence)).otherwise(F.lit(0.0))
 
 
 def haar_step(values: Column) -> Column:

@@ -48,34 +48,27 @@ def admit_updates(
 
 
 def federated_average(
-    updates: DataFrame, *, keys: list[str] = ["round_id"], vector: str = "gradients", weight: str | None = "sample_count",
-    mu: float = 0.0, size: int | None = None,
+    updates: DataFrame, *, keys: list[str] = ["round_id"], vector: str = "gradients", weight: str | None = "sample_count", mu: float = 0.0
 ) -> DataFrame:
-    """Average vector per round weighted by samples (equal weights when they sum to 0), damped by ``1 - mu``.
+    """Average vector per round as rows ``(round, pos, average)``, damped by ``1 - mu``.
 
-    With ``size`` the sums are one column per position, so nothing is
-    exploded; otherwise positions become rows and partial sums are shuffled.
-    Vectors shorter than ``size`` count as 0 beyond their end.
+    Weighted by samples, or equally when they sum to 0. Positions become rows,
+    and their partial sums, not the vectors, are shuffled.
     """
     n = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    damp = F.lit(1.0 - mu)
-    x = F.col(vector)
-    if size is not None:
-        # Both sums travel together: the weight total decides at the end which one counts.
-        sums = updates.groupBy(*keys).agg(
-            F.sum(n).alias("_w"), F.count(F.lit(1)).alias("_n"),
-            *[F.sum(F.coalesce(F.get(x, i), F.lit(0.0)).cast("double") * n).alias(f"_s{i}") for i in range(size)],
-            *[F.sum(F.coalesce(F.get(x, i), F.lit(0.0)).cast("double")).alias(f"_e{i}") for i in range(size)],
-        )
-        entry = lambda i: F.when(F.col("_w") != 0, F.col(f"_s{i}") / F.col("_w")).otherwise(F.col(f"_e{i}") / F.col("_n"))
-        return sums.select(*keys, F.array(*[entry(i) * damp for i in range(size)]).alias("average"))
     totals = updates.groupBy(*keys).agg(F.sum(n).alias("_w"), F.count(F.lit(1)).alias("_n"))
     flat = updates.select(*keys, n.alias("_weight"), F.posexplode(vector).alias("pos", "x"))
     sums = flat.groupBy(*keys, "pos").agg(F.sum(F.col("x") * F.col("_weight")).alias("_s"), F.sum("x").alias("_e"))
-    value = F.when(F.col("_w") != 0, F.col("_s") / F.col("_w")).otherwise(F.col("_e") / F.col("_n")) * damp
+    value = F.when(F.col("_w") != 0, F.col("_s") / F.col("_w")).otherwise(F.col("_e") / F.col("_n")) * (1.0 - mu)
     return sums.join(totals, keys).select(*keys, "pos", value.alias("average"))
 
 
+def average_vectors(averages: DataFrame, keys: list[str] = ["round_id"]) -> DataFrame:
+    """The averages as one array per round, of the length of one vector."""
+    entries = F.array_sort(F.collect_list(F.struct("pos", "average")))
+    return averages.groupBy(*keys).agg(F.transform(entries, lambda e: e["average"]).alias("average"))
+
+
 def private_noise(updates: DataFrame, key: str, *, vector: str = "gradients", sigma: float = NOISE_SIGMA, seed: int = 7) -> DataFrame:
     """Vectors plus Gaussian noise that depends only on the row key, position and seed.
 

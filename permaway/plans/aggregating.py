@@ -35,7 +35,7 @@ def rolling_stats(spark, folder):
 
 @query("""
     WITH q AS (SELECT event_type, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM events GROUP BY event_type),
-    b AS (SELECT e.event_type, ts >= TIMESTAMP '2024-01-16' AS cur, len(list_filter(edges, x -> x <= value)) AS bin FROM events e JOIN q USING (event_type)),
+    b AS (SELECT e.event_type, ts >= TIMESTAMP '2024-01-16' AS cur, len(list_filter(edges, lambda x: x <= value)) AS bin FROM events e JOIN q USING (event_type)),
     c AS (SELECT t.event_type, s.bin, (SELECT count(*) FROM b WHERE b.event_type = t.event_type AND b.bin = s.bin AND NOT cur) AS nb,
         (SELECT count(*) FROM b WHERE b.event_type = t.event_type AND b.bin = s.bin AND cur) AS nc FROM q t, (SELECT unnest(range(10)) AS bin) s),
     p AS (SELECT event_type, CASE WHEN nb = 0 THEN 1e-4 ELSE nb / sum(nb) OVER (PARTITION BY event_type) END AS pb,
@@ -120,10 +120,8 @@ def _updates(spark, folder):
     SELECT round_id, pos, round(sum(x * w) / sum(w) * 0.99, 6) AS average FROM u GROUP BY round_id, pos""")
 def fed_average(spark, folder):
     updates = rules.require_float_arrays(_updates(spark, folder), ["gradients"])
-    out = federated.federated_average(updates, mu=0.01, size=64)
-    return out.select("round_id", F.posexplode("average").alias("pos", "average")).select(
-        "round_id", F.col("pos").cast("bigint").alias("pos"), F.round("average", 6).alias("average")
-    )
+    out = federated.federated_average(updates, mu=0.01)
+    return out.select("round_id", F.col("pos").cast("bigint").alias("pos"), F.round("average", 6).alias("average"))
 
 
 @query("""
