@@ -20,8 +20,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def vector_times_matrix(vector: Column, columns: list[list[float]]) -> Column:
-    """``vector @ W`` with ``W`` given by its columns."""
-    return F.array(*[dot(vector, F.array(*[F.lit(float(w)) for w in c])) for c in columns])
+    """``vector @ W`` with ``W`` given by its columns, as one constant array."""
+    return F.transform(F.lit([[float(w) for w in c] for c in columns]), lambda c: dot(vector, c))
 
 
 def l2_norm(values: Column) -> Column:

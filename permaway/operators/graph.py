@@ -54,12 +54,13 @@ def corridor_graph(
     """Nodes and edges from trains (id, km, speed, delay, priority, direction) and the corridor dimensions.
 
     Direct neighbours on the line are linked, trains to their segment, to a
-    station within 5 km and to the train behind within 10 km.
+    station within 5 km and to the train behind within 10 km. Both tables are
+    read several times by what follows, so they are written down once.
     """
-    on = range_lookup(
+    on = durable(range_lookup(
         trains.select("id", "km"), segments.withColumnRenamed("id", "segment"), at="km", order="seg_order",
         start="start_km", end="end_km", keep=["segment"], point_id="id", mode=mode,
-    ).filter(F.col("segment").isNotNull())
+    ).filter(F.col("segment").isNotNull()))
     runs = on.select(F.concat(F.lit("train-"), "id").alias("src"), F.col("segment").alias("dst"), F.lit("runs_on").alias("type"), F.lit(1.0).alias("weight"))
     stops = nearest_lookup(
         trains.select("id", "km"), stations, at="km", place_at="km", place_id="id", point_id="id", within=5.0, mode=mode
@@ -95,7 +96,7 @@ def corridor_graph(
             ).alias("features"),
         ))
     )
-    return nodes, edges
+    return durable(nodes), durable(edges)
 
 
 def edge_scores(edges: DataFrame, nodes: DataFrame, weights: Weights) -> DataFrame:
@@ -130,16 +131,16 @@ def message_round(nodes: DataFrame, edges: DataFrame, weights: Weights) -> DataF
     """Nodes with ``embedding = tanh(self + attention-weighted messages)``."""
     kinds = list(weights.matrices)
     size = len(weights.matrices[kinds[0]])
-    hidden = len(weights.attention)
     sums = attention_sums(edge_scores(edges, nodes, weights), kinds, size)
-    columns = {k: [[row[j] for row in m] for j in range(hidden)] for k, m in weights.matrices.items()}
-    own = vector_times_matrix(fit_length(F.col("features"), size), columns[kinds[0]])
+    joined = nodes.join(sums, "id", "left")
     zero = F.array_repeat(F.lit(0.0), size)
-    total = own
-    for n, k in enumerate(kinds):
-        part = vector_times_matrix(F.coalesce(F.col(f"m{n}"), zero), columns[k])
-        total = F.zip_with(total, part, lambda a, b: a + b)
-    return nodes.join(sums, "id", "left").select(*nodes.columns, F.transform(total, F.tanh).alias("embedding"))
+    # Own features and the sums of every edge type side by side meet one stacked matrix.
+    inputs = F.concat(fit_length(F.col("features"), size), *[F.coalesce(F.col(f"m{n}"), zero) for n in range(len(kinds))])
+    stacked = [row for k in [kinds[0], *kinds] for row in weights.matrices[k]]
+    columns = [[float(row[j]) for row in stacked] for j in range(len(weights.attention))]
+    return joined.select(*nodes.columns, inputs.alias("_z")).select(
+        *nodes.columns, F.transform(vector_times_matrix(F.col("_z"), columns), F.tanh).alias("embedding")
+    )
 
 
 def message_rounds(nodes: DataFrame, edges: DataFrame, weights: Weights, rounds: int = 3, carry: bool = False) -> DataFrame:

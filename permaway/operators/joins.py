@@ -41,7 +41,7 @@ def _first_open_range(pdf: pd.DataFrame, active: list | None) -> tuple[pd.DataFr
     for order, kind in zip(pdf["_order"].tolist(), pdf["_kind"].tolist()):
         if kind == 0:
             bisect.insort(active, order)
-        else:
+        elif order in active:  # absent only while a chunk runs on a guessed state
             active.remove(order)
         lowest.append(active[0] if active else None)
     out = pd.DataFrame({"_at": pdf["_at"].to_numpy(), "_kind": pdf["_kind"].to_numpy(), "_seq": pdf["_order"].to_numpy()})

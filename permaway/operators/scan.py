@@ -115,29 +115,29 @@ def _scan_chunks(stored, keys, order, scans, descending):
     window = Window.partitionBy(*scoped).orderBy(*_ordering(order, descending))
     local = stored.select(
         "*",
-        *[_local(s, window).alias(f"_l{i}") for i, s in enumerate(scans)],
-        (F.row_number().over(window) == 1).alias("_first"),
-        F.lead(F.lit(True), 1, False).over(window).alias("_more"),
+        *[_local(s, window).alias(f"_scan_l{i}") for i, s in enumerate(scans)],
+        (F.row_number().over(window) == 1).alias("_scan_first"),
+        F.lead(F.lit(True), 1, False).over(window).alias("_scan_more"),
     )
     edges = stored.groupBy(*scoped).agg(
-        *[_edge_state(s, order, descending).alias(f"_s{i}") for i, s in enumerate(scans)]
+        *[_edge_state(s, order, descending).alias(f"_scan_s{i}") for i, s in enumerate(scans)]
     )
     along = Window.partitionBy(*keys).orderBy(CHUNK)
     carry = edges.select(
         *scoped,
-        *[_carry(s, F.col(f"_s{i}"), along).alias(f"_c{i}") for i, s in enumerate(scans)],
-        F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_spans"),
-    ).filter("_spans > 1").drop("_spans")
+        *[_carry(s, F.col(f"_scan_s{i}"), along).alias(f"_scan_c{i}") for i, s in enumerate(scans)],
+        F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_scan_spans"),
+    ).filter("_scan_spans > 1").drop("_scan_spans")
     for name in scoped:
-        carry = carry.withColumnRenamed(name, f"_j{name}")
+        carry = carry.withColumnRenamed(name, f"_scan_j{name}")
     match = reduce(
         lambda a, b: a & b,
-        [F.col(CHUNK) == F.col(f"_j{CHUNK}")] + [F.col(k).eqNullSafe(F.col(f"_j{k}")) for k in keys],
+        [F.col(CHUNK) == F.col(f"_scan_j{CHUNK}")] + [F.col(k).eqNullSafe(F.col(f"_scan_j{k}")) for k in keys],
     )
     joined = local.join(F.broadcast(carry), match, "left")
     return joined.select(
         *stored.columns,
-        *[_combine(s, F.col(f"_l{i}"), F.col(f"_c{i}")).alias(s.alias) for i, s in enumerate(scans)],
+        *[_combine(s, F.col(f"_scan_l{i}"), F.col(f"_scan_c{i}")).alias(s.alias) for i, s in enumerate(scans)],
     )
 
 
@@ -224,9 +224,9 @@ def _carry(scan: Scan, state: Column, along: WindowSpec) -> Column:
 def _combine(scan: Scan, local: Column, carry: Column) -> Column:
     match scan.kind:
         case "previous":
-            return F.when(F.col("_first"), carry).otherwise(local)
+            return F.when(F.col("_scan_first"), carry).otherwise(local)
         case "following":
-            return F.when(F.col("_more"), local).otherwise(carry)
+            return F.when(F.col("_scan_more"), local).otherwise(carry)
         case "sum" | "total":
             return F.when(local.isNull(), carry).when(carry.isNull(), local).otherwise(local + carry)
         case "max" | "earlier_max":

@@ -165,12 +165,12 @@ _WAVE = f"""
 
 @query(f"""
     WITH {_WAVE}
-    SELECT user_id, win, round((SELECT avg(d * d) FROM l1 WHERE l1.user_id = w.user_id AND l1.win = w.win), 4) AS detail_1_energy,
-      round((SELECT avg(d * d) FROM l2 WHERE l2.user_id = w.user_id AND l2.win = w.win), 4) AS detail_2_energy,
-      round((SELECT avg(a * a) FROM l2 WHERE l2.user_id = w.user_id AND l2.win = w.win), 4) AS approx_energy FROM (SELECT DISTINCT user_id, win FROM l0) w""")
+    SELECT user_id, win, round((SELECT avg(d * d) FROM l1 WHERE l1.user_id = w.user_id AND l1.win = w.win), 10) AS detail_1_energy,
+      round((SELECT avg(d * d) FROM l2 WHERE l2.user_id = w.user_id AND l2.win = w.win), 10) AS detail_2_energy,
+      round((SELECT avg(a * a) FROM l2 WHERE l2.user_id = w.user_id AND l2.win = w.win), 10) AS approx_energy FROM (SELECT DISTINCT user_id, win FROM l0) w""")
 def wavelet(spark, folder):
     out = signal.wavelet_energy(sample_windows(spark, folder), levels=2)
-    return out.select("user_id", "win", *[F.round(c, 4).alias(c) for c in ("detail_1_energy", "detail_2_energy", "approx_energy")])
+    return out.select("user_id", "win", *[F.round(c, 10).alias(c) for c in ("detail_1_energy", "detail_2_energy", "approx_energy")])
 
 
 @query(f"""
