@@ -189,7 +189,8 @@ def suppression(key: str, key_type: str, radius_m: float = 50.0, window_s: float
         for o in open_:
             bands.setdefault(math.floor(o[1] / band), []).append(o)
         ids, originals = [], []
-        for t, row_id, lat, lon in zip(*[pdf[c].tolist() for c in ("t", "row_id", "lat", "lon")]):
+        places = [pdf[c].astype(float).tolist() for c in ("lat", "lon")]
+        for t, row_id, lat, lon in zip(pdf["t"].tolist(), pdf["row_id"].tolist(), *places):
             here = math.floor(lat / band)
             near = []
             for b in (here - 1, here, here + 1):

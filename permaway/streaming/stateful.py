@@ -115,31 +115,28 @@ def stream_traces(df: DataFrame, *, ttl_s: int = 60, sla_ms: float = 5000.0, del
 def windowed_correlations(df: DataFrame, ts: str = "ts", *, length: str = "5 seconds", slide: str = "1 second", delay: str | None = None) -> DataFrame:
     """Correlated anomalies by trailing window; with ``delay`` the frame is a stream.
 
-    In a stream exact distinct counts are not available, so the parties of a
-    window are gathered as a set; a window of seconds bounds it.
+    The stream counts distinct parties by two aggregations in a row: first one
+    row per window, subject and party, then one per window and subject. Nothing
+    is gathered, however many anomalies fall into a window.
     """
     window = F.window(ts, length, slide)
     if delay is None:
         return correlations(df, [window])
-    marked = df.withWatermark(ts, delay)
-    parties = lambda c: F.size(F.collect_set(c))
-    # Both rules leave one aggregation as tagged groups, as a stream allows only one here.
-    tagged = marked.select(
+    pair = lambda kind, subject, party: F.struct(F.lit(kind).alias("kind"), F.col(subject).alias("subject"), F.col(party).cast("string").alias("party"))
+    tagged = df.withWatermark(ts, delay).select(
         ts, "severity", "confidence",
-        F.explode(F.array(
-            F.struct(F.lit("multi_sensor_same_node").alias("kind"), F.col("node_id").alias("subject"), F.col("sensor_id").alias("party")),
-            F.struct(F.lit("multi_node_same_anomaly").alias("kind"), F.col("anomaly_type").alias("subject"), F.col("node_id").alias("party")),
-        )).alias("_g"),
+        F.explode(F.array(pair("multi_sensor_same_node", "node_id", "sensor_id"), pair("multi_node_same_anomaly", "anomaly_type", "node_id"))).alias("_g"),
     ).select(ts, "severity", "confidence", "_g.*")
-    grouped = tagged.groupBy(window.alias("window"), "kind", "subject").agg(
-        parties("party").alias("parties"), F.count(F.lit(1)).alias("anomaly_count"),
-        F.max("severity").alias("_s"), F.avg("confidence").alias("_c"),
+    parties = tagged.groupBy(window.alias("window"), "kind", "subject", "party").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("severity").alias("_s"), F.sum("confidence").alias("_c")
+    )
+    grouped = parties.groupBy("window", "kind", "subject").agg(
+        F.count(F.lit(1)).alias("parties"), F.sum("_n").alias("anomaly_count"), F.max("_s").alias("_s"), F.sum("_c").alias("_c")
     ).filter("parties >= 2")
     node = F.col("kind") == "multi_sensor_same_node"
     return grouped.select(
-        "window", "kind", "subject", F.col("parties").cast("bigint").alias("parties"), "anomaly_count",
-        F.when(node, F.col("_s")).otherwise(2).cast("int").alias("severity"),
-        F.least(F.lit(1.0), F.when(node, F.col("_c") + 0.2).otherwise(F.col("parties") * 0.3)).alias("confidence"),
+        "window", "kind", "subject", "parties", "anomaly_count", F.when(node, F.col("_s")).otherwise(2).cast("int").alias("severity"),
+        F.least(F.lit(1.0), F.when(node, F.col("_c") / F.col("anomaly_count") + 0.2).otherwise(F.col("parties") * 0.3)).alias("confidence"),
     )
 
 
