@@ -23,56 +23,75 @@ DRAG = 0.45
 RESULTS = ["reaction_m", "propagation_m", "braking_m", "brake_s", "total_time_s", "peak_decel"]
 
 
-def _deceleration(v, mu, s):
-    v_kmh = v * 3.6
-    brake = mu * s["mass_kg"] * GRAVITY * np.cos(s["gradient"]) * (s["braked_pct"] / 100.0)
-    wind = (v_kmh + s["headwind_kmh"]) / 3.6
-    air = 0.5 * AIR_DENSITY * DRAG * s["area_m2"] * wind * wind
-    rolling = (1.5 + 0.0075 * v_kmh + 0.00014 * s["area_m2"] / s["t_per_m"] * v_kmh * v_kmh) * s["mass_t"]
-    climb = s["mass_kg"] * GRAVITY * np.sin(s["gradient"])
-    curve = np.where(s["curve_radius"] > 0, 700.0 / np.where(s["curve_radius"] > 0, s["curve_radius"], 1.0), 0.0) * s["mass_t"]
-    return np.minimum((brake + air + rolling + climb + curve) / (s["mass_kg"] * s["rotating"]), mu * GRAVITY)
-
-
-def _fade(v, t, ambient):
-    heat = 1.0 + np.maximum(0.0, ambient - 30.0) * 0.005
-    fade = 1.0 - 0.15 * heat * (1.0 - np.exp(-(v * v * t) / 50_000.0))
-    return np.clip(fade, 0.5, 1.0) if t > 0 else np.ones_like(v)
-
-
-def stop_distances(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Reaction, brake build-up and full braking of all rows in step; distances in metres."""
-    s = dict(s)
-    s["mass_kg"] = s["mass_t"] * 1000.0
-    s["t_per_m"] = s["mass_t"] / np.maximum(s["length_m"], 1.0)
-    v = np.maximum(s["speed_kmh"] / 3.6, 0.0)
-    moving = v > 0
-    reaction = v * s["reaction_s"]
-    built_up, t = np.zeros_like(v), 0.0
+def _force_terms(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Deceleration of each row as ``mu * grip + a0 + a1 * v + a2 * v * v``, held at ``mu * g``."""
+    inertia = s["mass_t"] * 1000.0 * s["rotating"]
+    air = 0.5 * AIR_DENSITY * DRAG * s["area_m2"] / inertia
+    wind = s["headwind_kmh"] / 3.6
+    per_metre = s["mass_t"] / np.maximum(s["length_m"], 1.0)
+    rolling = s["mass_t"] / inertia
+    curved = s["curve_radius"] > 0
+    curve = np.where(curved, 700.0 / np.where(curved, s["curve_radius"], 1.0), 0.0)
+    return {
+        "grip": GRAVITY * np.cos(s["gradient"]) * (s["braked_pct"] / 100.0) / s["rotating"],
+        "a0": air * wind * wind + rolling * (1.5 + curve) + GRAVITY * np.sin(s["gradient"]) / s["rotating"],
+        "a1": 2.0 * air * wind + rolling * 0.0075 * 3.6,
+        "a2": air + rolling * 0.00014 * s["area_m2"] / per_metre * 3.6 * 3.6,
+        "mu": s["mu"],
+        "fade": 0.15 * (1.0 + np.maximum(0.0, s["ambient_c"] - 30.0) * 0.005),
+        "ramp_s": s["propagation_s"],
+    }
+
+
+def _decelerate(v, mu, f):
+    return np.minimum(mu * f["grip"] + f["a0"] + (f["a1"] + f["a2"] * v) * v, mu * GRAVITY)
+
+
+def stop_distances(s: dict[str, np.ndarray], trim: int = 40) -> dict[str, np.ndarray]:
+    """Reaction, brake build-up and full braking of all rows in step; distances in metres.
+
+    Every ``trim`` steps the rows that have stopped leave the working arrays.
+    """
+    speed = np.maximum(s["speed_kmh"] / 3.6, 0.0)
+    n = len(speed)
+    built_up, braking, spent, peak = (np.zeros(n) for _ in range(4))
+    f, v = _force_terms(s), speed.copy()
+    t = 0.0
     while True:
-        on = (t < s["propagation_s"]) & (v > 0)
+        on = (t < f["ramp_s"]) & (v > 0)
         if not on.any():
             break
-        ramp = t / np.maximum(s["propagation_s"], 0.1)
-        slower = np.maximum(0.0, v - _deceleration(v, s["mu"] * ramp, s) * STEP_S)
-        v = np.where(on, slower, v)
+        mu = f["mu"] * (t / np.maximum(f["ramp_s"], 0.1))
+        v = np.where(on, np.maximum(0.0, v - _decelerate(v, mu, f) * STEP_S), v)
         built_up += np.where(on, v * STEP_S, 0.0)
         t += STEP_S
-    braking, spent, peak, t = np.zeros_like(v), np.zeros_like(v), np.zeros_like(v), 0.0
-    while True:
+    at, t, step = np.flatnonzero(v > STOP_MS), 0.0, 0
+    f, v = {k: x[at] for k, x in f.items()}, v[at]
+    far, time, top = (np.zeros(len(at)) for _ in range(3))
+    while len(at):
         on = v > STOP_MS
-        if not on.any() or t > LONGEST_S:
-            break
-        mu = s["mu"] * _fade(v, t, s["ambient_c"])
-        mu = np.where(v < 5.0, mu * (1.0 + 0.05 * (5.0 - v) / 5.0), mu)
-        a = _deceleration(v, mu, s)
-        peak = np.where(on, np.maximum(peak, a), peak)
-        v = np.where(on, np.maximum(0.0, v - a * STEP_S), v)
-        braking += np.where(on, v * STEP_S, 0.0)
-        spent = np.where(on, spent + STEP_S, spent)
+        if step % trim == 0 or not on.any() or t > LONGEST_S:
+            done = ~on if t <= LONGEST_S else np.ones(len(at), dtype=bool)
+            braking[at[done]], spent[at[done]], peak[at[done]] = far[done], time[done], top[done]
+            left = ~done
+            at, v, far, time, top, on = at[left], v[left], far[left], time[left], top[left], on[left]
+            f = {k: x[left] for k, x in f.items()}
+            if not len(at):
+                break
+        mu = f["mu"]
+        if t > 0:
+            mu = mu * np.clip(1.0 - f["fade"] * (1.0 - np.exp(v * v * (-t / 50_000.0))), 0.5, 1.0)
+        mu = mu * (1.0 + 0.01 * np.maximum(0.0, 5.0 - v))
+        a = _decelerate(v, mu, f)
+        moved = np.maximum(0.0, v - a * STEP_S)
+        v = np.where(on, moved, v)
+        top = np.where(on, np.maximum(top, a), top)
+        far += np.where(on, v * STEP_S, 0.0)
+        time += np.where(on, STEP_S, 0.0)
         t += STEP_S
-    total_time = np.where(moving, s["reaction_s"] + s["propagation_s"] + spent, 0.0)
-    return dict(zip(RESULTS, (reaction, built_up, braking, spent, total_time, peak)))
+        step += 1
+    total_time = np.where(speed > 0, s["reaction_s"] + s["propagation_s"] + spent, 0.0)
+    return dict(zip(RESULTS, (speed * s["reaction_s"], built_up, braking, spent, total_time, peak)))
 
 
 def stopping_advisories(states: DataFrame, geometry: DataFrame, *, key: str = "row_id") -> DataFrame:

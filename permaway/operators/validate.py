@@ -7,6 +7,8 @@ batch and streaming frames alike.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,9 +169,11 @@ def validate_events(df: DataFrame, strictness: str = "lenient", value: str = "va
     def entry(path: str, message: str) -> Column:
         return F.struct(F.lit(path).alias("path"), F.lit(message).alias("message"))
 
-    found = F.array_compact(
-        F.array(*[F.when(F.coalesce(bad, F.lit(False)), entry(p, m)) for p, m, bad in event_rules(strictness)])
-    )
+    rules = event_rules(strictness)
+    listed = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), entry(p, m)) for p, m, bad in rules]))
+    # A valid message is settled by one condition and builds no list.
+    broken = reduce(lambda a, b: a | b, [F.coalesce(bad, F.lit(False)) for _, _, bad in rules])
+    found = F.when(broken, listed).otherwise(F.array().cast(f"array<{error}>"))
     errors = (
         F.when(F.col("_f.root_type").isNull(), F.array(entry(ROOT, "not JSON")))
         .when(F.col("_f.root_type") != "OBJECT", F.array(entry(ROOT, "not an object")))

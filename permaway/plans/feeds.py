@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from permaway.functions import risk
 from permaway.operators import rules, validate
-from permaway.plans.registry import EVENTS_SQL, col_map, events, query, sql_map, table
+from permaway.plans.registry import EVENTS_SQL, col_map, events, query, spread, sql_map, table
 from permaway.sources import archive, corridor, feeds, series
 
 SENSORS = {"click": "vibration", "purchase": "temperature", "signup": "gps", "view": "acoustic"}
@@ -21,7 +21,7 @@ LOGS = {
 
 def messages(spark, folder):
     """Events as raw JSON texts with flaws that depend on ``k``: 99 is cut short, 98 lacks the asset."""
-    e = events(spark, folder)
+    e = spread(events(spark, folder))
     asset = F.when(F.col("k") == 98, F.lit("")).otherwise(F.format_string('"assetId":"a-%d",', "user_id"))
     extra = F.when(F.col("k") % 7 == 0, F.lit(',"zone":"z1"')).otherwise(F.lit(""))
     payload = F.when(F.col("k") % 5 == 0, F.lit("{}")).otherwise(

@@ -21,21 +21,31 @@ LOG_TAGS = [
 
 def to_points(df: DataFrame, value: str = "value", topic: str = "topic") -> DataFrame:
     """Canonical event texts as points: measurement, tags, numeric and text fields, time."""
-    event = F.col("_event")
-    text = lambda path, default: F.coalesce(F.try_variant_get(event, f"$.{path}", "string"), F.lit(default))
-    payload = F.try_variant_get(event, "$.payload", "map<string,variant>")
+    top = "struct<sensorType: string, assetId: string, sourceId: string, zone: string, timestamp_utc: string, payload: map<string,variant>>"
     number_type = "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"
-    is_number = lambda v: F.schema_of_variant(v).rlike(number_type)
-    numbers = F.map_filter(payload, lambda _, v: is_number(v))
-    others = F.map_filter(payload, lambda _, v: ~is_number(v) & (F.schema_of_variant(v) != "VOID"))
-    return df.withColumn("_event", F.try_parse_json(F.col(value))).filter(event.isNotNull()).select(
+    # The message is opened once, and the type of every payload entry is looked up once.
+    opened = (
+        df.withColumn("_event", F.try_parse_json(F.col(value)))
+        .filter(F.col("_event").isNotNull())
+        .withColumn("_top", F.try_variant_get("_event", "$", top))
+        .withColumn("_entries", F.transform(
+            F.map_entries("_top.payload"),
+            lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("type")),
+        ))
+    )
+    entries = F.col("_entries")
+    text = lambda path, default: F.coalesce(F.col(f"_top.{path}"), F.lit(default))
+    numbers = F.filter(entries, lambda e: e["type"].rlike(number_type))
+    others = F.filter(entries, lambda e: ~e["type"].rlike(number_type) & (e["type"] != "VOID"))
+    read = lambda kind: lambda e: F.struct(e["key"].alias("key"), F.try_variant_get(e["value"], "$", kind).alias("value"))
+    return opened.select(
         text("sensorType", "unknown").alias("measurement"),
         F.create_map(
             F.lit("asset_id"), text("assetId", "unknown"), F.lit("source_id"), text("sourceId", "unknown"),
             F.lit("zone"), text("zone", "unknown"), F.lit("topic"), F.col(topic),
         ).alias("tags"),
-        F.transform_values(numbers, lambda _, v: F.try_variant_get(v, "$", "double")).alias("numbers"),
-        F.transform_values(others, lambda _, v: F.try_variant_get(v, "$", "string")).alias("texts"),
+        F.map_from_entries(F.transform(numbers, read("double"))).alias("numbers"),
+        F.map_from_entries(F.transform(others, read("string"))).alias("texts"),
         text("timestamp_utc", "").alias("time"),
     )
 
