@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from permaway.operators.fold import ordered_fold
 from permaway.operators.scan import earlier_max, last_known, next_known, ordered_scan, running_max
+from permaway.session import union_mode
 from permaway.sources.corridor import CONFIG_FIELDS, TRAIN_CONFIGS
 
 
@@ -59,6 +60,7 @@ def range_lookup(
     wins from there on; points take the entry before them in one ordered scan
     and fetch the range by an equi join. No point meets every range.
     """
+    mode = mode or union_mode(points, ranges)
     ends = ranges.select(
         F.col(order).cast("bigint").alias("_order"),
         F.explode(F.array(
@@ -96,6 +98,7 @@ def nearest_lookup(
 
     With ``within``, only points closer than that are kept.
     """
+    mode = mode or union_mode(points, places)
     both = points.select(
         F.col(at).cast("double").alias("_at"), F.struct("*").alias("_p"), F.lit(None).cast("string").alias("_place"),
         F.col(point_id).cast("string").alias("_id"), F.lit(1).alias("_kind"),
@@ -137,6 +140,7 @@ def defect_marks(
     ``touch``: an end of a defect lies inside the segment. ``overlap``: the
     two share any place, also when the defect spans the whole segment.
     """
+    scan_mode = scan_mode or union_mode(segments, defects)
     segs = segments.select(
         F.struct("*").alias("_s"), F.col("start_km").alias("_lo"), F.col("end_km").alias("_hi"),
         F.col(segment).cast("string").alias("_id"),
@@ -266,6 +270,7 @@ def retention_due(
     The time test is a scan: a row is covered when the furthest end among the
     holds that started by then is not before it.
     """
+    mode = mode or union_mode(rows, holds)
     expired = rows.filter(F.col(ts) < as_of - F.make_interval(days=retention_days(F.col("category"))))
     active = holds.filter("active")
     by_id = active.filter(F.col("alert_id").isNotNull()).select("alert_id").distinct()
@@ -289,6 +294,7 @@ def detection_rate(
     patterns: DataFrame, anomalies: DataFrame, *, seconds: int = 60, least: float = 0.80, mode: str | None = None
 ) -> DataFrame:
     """Share of injected patterns (pattern_id, ts) followed by an anomaly (ts) within the window."""
+    mode = mode or union_mode(patterns, anomalies)
     none = F.lit(None).cast("timestamp")
     both = patterns.select(
         F.col("ts").alias("_at"), F.col("pattern_id").cast("string").alias("_id"), none.alias("_seen"), F.lit(0).alias("_kind")

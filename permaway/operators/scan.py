@@ -246,6 +246,8 @@ def grouped_quantiles(
     ordered scan over the distinct values, so no group is gathered anywhere.
     Returns keys, ``n`` and ``quantiles`` (one array entry per probability).
     """
+    # Distinct values are at most the rows, so the cheap count of rows decides.
+    mode = mode or group_mode(df, keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = ordered_scan(counts, keys, [value], [running_sum("_n", "_upto"), total("_n", "n")], mode=mode)
     # A value covers the zero-based positions [_upto - _n, _upto - 1].

@@ -72,6 +72,12 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return int(row[0] or 0)
 
 
+def union_mode(*inputs: DataFrame) -> str:
+    """Mode of a scan over the union of ``inputs`` without a key, by their row counts."""
+    rows = sum(df.count() for df in inputs)
+    return "plain" if rows <= group_limit(inputs[0].sparkSession) else "chunked"
+
+
 def group_mode(df: DataFrame, keys: list[str]) -> str:
     """``plain`` when every group fits one task, otherwise ``chunked``."""
     return "plain" if largest_group(df, keys) <= group_limit(df.sparkSession) else "chunked"

@@ -25,7 +25,8 @@ def to_points(df: DataFrame, value: str = "value", topic: str = "topic") -> Data
     number_type = "^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"
     # The message is opened once, and the type of every payload entry is looked up once.
     opened = (
-        df.withColumn("_event", F.try_parse_json(F.col(value)))
+        # Through an explode of one entry the filter stays here and the parse is not repeated for it.
+        df.select("*", F.explode(F.array(F.try_parse_json(F.col(value)))).alias("_event"))
         .filter(F.col("_event").isNotNull())
         .withColumn("_top", F.try_variant_get("_event", "$", top))
         .withColumn("_entries", F.transform(
@@ -52,7 +53,8 @@ def to_points(df: DataFrame, value: str = "value", topic: str = "topic") -> Data
 
 def points_long(points: DataFrame) -> DataFrame:
     """One row per numeric field."""
-    return points.select("measurement", "tags", "time", F.explode("numbers").alias("field", "value"))
+    long = points.select("measurement", "tags", "time", F.explode_outer("numbers").alias("field", "value"))
+    return long.filter(F.col("field").isNotNull())
 
 
 def write_with_retry(
