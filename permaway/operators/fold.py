@@ -17,11 +17,14 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from permaway.operators.scan import CHUNK, chunked
 from permaway.session import group_mode
@@ -29,6 +32,20 @@ from permaway.session import group_mode
 Step = Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]]
 
 
+@dataclass(frozen=True)
+class Jump:
+    """How a chunk of one key moves any state.
+
+    ``build(rows, state)`` sums up a chunk from ``columns`` of its rows and the
+    state it reaches from nothing; ``apply(summary, before)`` gives the state after it.
+    """
+
+    build: Callable[[pd.DataFrame, object], object]
+    apply: Callable[[object, object], object]
+    columns: list[str]
+
+
+
 def ordered_fold(
     df: DataFrame,
     keys: list[str],
@@ -38,6 +55,7 @@ def ordered_fold(
     *,
     mode: str | None = None,
     tolerance: float = 1e-12,
+    jump: Jump | None = None,
 ) -> DataFrame:
     """Run ``step`` over each key in ``order``; ``schema`` is the DDL of its output."""
     mode = mode or group_mode(df, keys)
@@ -45,10 +63,46 @@ def ordered_fold(
         placed = df.repartition(*keys) if keys else df.repartition(1)
         return placed.sortWithinPartitions(*keys, *order).mapInPandas(_emitter(keys, step, {}), schema)
     stored = chunked(df, keys, order)
-    carries = _settle(stored, keys, step, tolerance)
+    split = _split_keys(stored, keys)
+    carries = _follow(split, keys, step, jump) if jump else _settle(split, keys, step, tolerance)
     return stored.mapInPandas(_emitter(keys, step, carries), schema)
 
 
+def _split_keys(stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the keys that lie in more than one chunk; only their states travel.
+
+    At most one key is split at each border between chunks, so the list is shorter than the chunks.
+    """
+    if not keys:
+        return stored
+    key = F.struct(*keys)
+    edges = {
+        r[CHUNK]: (r["low"], r["high"])
+        for r in stored.groupBy(CHUNK).agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
+    }
+    order = sorted(edges)
+    split = {tuple(edges[a][1]) for a, b in zip(order, order[1:]) if edges[a][1] == edges[b][0]}
+    renamed = StructType([StructField(f"_split_{k}", stored.schema[k].dataType) for k in keys])
+    wanted = stored.sparkSession.createDataFrame(list(split), renamed)
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_split_{k}")) for k in keys])
+    return stored.join(F.broadcast(wanted), match, "left_semi")
+
+
+def _follow(stored: DataFrame, keys: list[str], step: Step, jump: Jump) -> dict[int, str]:
+    """The state entering each chunk, from one pass and the summaries of the chunks."""
+    chunks = _summaries(stored, keys, step, {}, jump)
+    carries: dict[int, str] = {}
+    order = sorted(chunks)
+    for before, after in zip(order, order[1:]):
+        if chunks[before]["last"] != chunks[after]["first"]:
+            continue
+        carries[after] = chunks[before]["state"]
+        if chunks[after]["single"]:
+            moved = jump.apply(json.loads(chunks[after]["summary"]), json.loads(carries[after]))
+            chunks[after]["state"] = json.dumps(moved)
+    return carries
+
+
 def _settle(stored: DataFrame, keys: list[str], step: Step, tolerance: float) -> dict[int, str]:
     """The state entering each chunk, found by repeated runs until stable."""
     chunks = _summaries(stored, keys, step, {})
@@ -70,10 +124,12 @@ def _settle(stored: DataFrame, keys: list[str], step: Step, tolerance: float) ->
             chunks[number] = row
 
 
-def _summaries(stored: DataFrame, keys: list[str], step: Step, carries: dict[int, str]) -> dict[int, dict]:
+def _summaries(
+    stored: DataFrame, keys: list[str], step: Step, carries: dict[int, str], jump: Jump | None = None
+) -> dict[int, dict]:
     rows = stored.mapInPandas(
-        _summariser(keys, step, carries),
-        f"{CHUNK} int, first string, last string, single boolean, state string",
+        _summariser(keys, step, carries, jump),
+        f"{CHUNK} int, first string, last string, single boolean, state string, summary string",
     ).collect()  # one row per chunk
     return {r[CHUNK]: r.asDict() for r in rows}
 
@@ -95,7 +151,7 @@ def _segments(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[str, pd.Data
 
 
 def _walk(batches, keys, step, carries):
-    """Yield (key, output, state, chunk) for every run of rows, carrying state along."""
+    """Yield (key, rows, output, state, chunk) for every run of rows, carrying state along."""
     key, state = None, None
     for pdf in batches:
         chunk = int(pdf[CHUNK].iloc[0]) if CHUNK in pdf.columns and len(pdf) else -1
@@ -105,13 +161,13 @@ def _walk(batches, keys, step, carries):
                 state = json.loads(carried) if carried is not None else None
                 key = name
             out, state = step(part, state)
-            yield key, out, state, chunk
+            yield key, part, out, state, chunk
 
 
 def _emitter(keys, step, carries):
     def run(batches):
         held, rows = [], 0
-        for _, out, _, _ in _walk(batches, keys, step, carries):
+        for _, _, out, _, _ in _walk(batches, keys, step, carries):
             if len(out):
                 held.append(out)
                 rows += len(out)
@@ -124,18 +180,22 @@ def _emitter(keys, step, carries):
     return run
 
 
-def _summariser(keys, step, carries):
+def _summariser(keys, step, carries, jump):
     def run(batches):
         first = key = state = None
-        chunk, single = -1, True
-        for key, _, state, chunk in _walk(batches, keys, step, carries):
+        chunk, single, seen = -1, True, []
+        for key, part, _, state, chunk in _walk(batches, keys, step, carries):
             if first is None:
                 first = key
             single = single and key == first
+            if jump and single:
+                seen.append(part[jump.columns])
         if first is not None:
-            yield pd.DataFrame(
-                {CHUNK: [chunk], "first": [first], "last": [key], "single": [single], "state": [json.dumps(state)]}
-            )
+            summary = json.dumps(jump.build(pd.concat(seen), state)) if jump and single else None
+            yield pd.DataFrame({
+                CHUNK: [chunk], "first": [first], "last": [key], "single": [single],
+                "state": [json.dumps(state)], "summary": pd.Series([summary], dtype=object),
+            })
 
     return run
 

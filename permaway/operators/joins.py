@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permaway.operators.fold import ordered_fold
+from permaway.operators.fold import Jump, ordered_fold
 from permaway.operators.scan import earlier_max, last_known, next_known, ordered_scan, running_max
 from permaway.session import union_mode
 from permaway.sources.corridor import CONFIG_FIELDS, TRAIN_CONFIGS
@@ -50,6 +50,16 @@ def _first_open_range(pdf: pd.DataFrame, active: list | None) -> tuple[pd.DataFr
     return out, active
 
 
+def _range_changes(pdf: pd.DataFrame, left_open: list) -> dict:
+    """Ranges a chunk leaves open, and those it closes that were open before."""
+    opened = set(pdf["_order"][pdf["_kind"] == 0])
+    return {"open": left_open, "closed": [int(o) for o in pdf["_order"][pdf["_kind"] == 2] if o not in opened]}
+
+
+def _change_ranges(summary: dict, before: list) -> list:
+    return sorted((set(before) - set(summary["closed"])) | set(summary["open"]))
+
+
 def range_lookup(
     points: DataFrame, ranges: DataFrame, *, at: str, order: str, start: str, end: str, keep: list[str],
     point_id: str, mode: str | None = None,
@@ -69,7 +79,8 @@ def range_lookup(
         )).alias("_e"),
     ).select("_e.*", "_order")
     winners = ordered_fold(
-        ends, [], ["_at", "_kind", "_order"], _first_open_range, "_at double, _kind int, _seq bigint, _hit bigint", mode=mode
+        ends, [], ["_at", "_kind", "_order"], _first_open_range, "_at double, _kind int, _seq bigint, _hit bigint", mode=mode,
+        jump=Jump(_range_changes, _change_ranges, ["_order", "_kind"]),
     )
     # Order at one place: starts (0), points (1), ends (2).
     both = points.select(
@@ -202,25 +213,31 @@ def slot_conflicts(
     )
     kind = spans.schema[slot].dataType.simpleString()
     flags = ordered_fold(
-        spans, keys, ["_enter", slot], _rival_conflicts(slot), f"{slot} {kind}, conflict boolean", mode=mode
+        spans, keys, ["_enter", slot], _rival_conflicts(slot), f"{slot} {kind}, conflict boolean", mode=mode,
+        jump=Jump(lambda _, reached: reached, lambda own, before: _latest_two(own + before), []),
     )
     return usable.join(flags, slot)
 
 
+def _latest_two(exits: list) -> list:
+    """The latest exit of each of the two trains that leave last."""
+    best: dict[str, int] = {}
+    for until, who in exits:
+        best[who] = max(until, best.get(who, until))
+    return sorted(([until, who] for who, until in best.items()), reverse=True)[:2]
+
+
 def _rival_conflicts(slot: str):
-    """Step that keeps the latest exits of the two trains that leave last."""
+    """Step that flags a slot entered before another train has left."""
 
     def step(pdf: pd.DataFrame, state: list | None) -> tuple[pd.DataFrame, list]:
-        latest = [tuple(x) for x in state or []]
+        latest = state or []
         flags = []
         for who, enter, leave in zip(pdf["_train"], pdf["_enter"].tolist(), pdf["_exit"].tolist()):
-            rivals = [until for until, name in latest if name != who]
-            flags.append(enter < leave and bool(rivals) and max(rivals) > enter)
+            flags.append(enter < leave and any(until > enter for until, name in latest if name != who))
             if enter < leave:
-                mine = max([until for until, name in latest if name == who] + [leave])
-                others = [x for x in latest if x[1] != who]
-                latest = sorted(others + [(mine, who)], reverse=True)[:2]
-        return pd.DataFrame({slot: pdf[slot].to_numpy(), "conflict": flags}), [list(x) for x in latest]
+                latest = _latest_two(latest + [[leave, who]])
+        return pd.DataFrame({slot: pdf[slot].to_numpy(), "conflict": flags}), latest
 
     return step
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from permaway.operators.fold import Step, ordered_fold
+from permaway.operators.fold import Jump, Step, ordered_fold
 
 
 @dataclass(frozen=True)
@@ -25,11 +25,12 @@ class Machine:
     step: Step
     schema: str
     order: list[str]
+    jump: Jump | None = None
 
 
 def run(df: DataFrame, keys: list[str], machine: Machine, *, mode: str | None = None) -> DataFrame:
     """Batch form of a machine."""
-    return ordered_fold(df, keys, machine.order, machine.step, machine.schema, mode=mode)
+    return ordered_fold(df, keys, machine.order, machine.step, machine.schema, mode=mode, jump=machine.jump)
 
 
 def cooldown(key: str, key_type: str, seconds: float = 60.0) -> Machine:
@@ -47,7 +48,35 @@ def cooldown(key: str, key_type: str, seconds: float = 60.0) -> Machine:
             i = int(np.searchsorted(t, last + seconds, side="left"))
         return pdf.iloc[picks][[key, "row_id", "t"]], last
 
-    return Machine(step, f"{key} {key_type}, row_id bigint, t double", ["t", "row_id"])
+    def build(pdf, _):
+        """The chunk's last alert for every first alert it can have.
+
+        First alerts lie within one cooldown of the chunk's start; those that
+        lead to the same last alert are one entry ``[latest first, last]``.
+        """
+        t = pdf["t"].to_numpy(dtype=float)
+        n = len(t)
+        after = np.searchsorted(t, t + seconds, side="left")
+        end = np.where(after < n, after, np.arange(n))
+        while True:  # follow all chains at once, doubling the stride
+            further = end[end]
+            if np.array_equal(further, end):
+                break
+            end = further
+        entries = min(n, int(np.searchsorted(t, t[0] + seconds, side="left")) + 1)
+        last = t[end[:entries]]
+        block_ends = np.flatnonzero(np.append(last[1:] != last[:-1], True))
+        return [[float(t[i]), float(last[i])] for i in block_ends] + [[float(t[-1]), None]]
+
+    def apply(summary, before):
+        due = before + seconds
+        *blocks, (newest, _) = summary
+        if due > newest:
+            return before
+        return next(last for latest, last in blocks if latest >= due)
+
+    jump = Jump(build, apply, ["t"])
+    return Machine(step, f"{key} {key_type}, row_id bigint, t double", ["t", "row_id"], jump)
 
 
 def link_states(key: str, key_type: str, threshold: int = 3, window_s: float = 30.0) -> Machine:
