@@ -24,6 +24,7 @@ def build_session(app: str = "permaway", cores: str = "*") -> SparkSession:
         # Without call sites per column, building a wide plan is several times faster.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
