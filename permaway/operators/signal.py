@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from permaway.functions.arrays import haar_step
 from permaway.operators.ordered import tumbling_windows
 from permaway.operators.stateful import kalman_level, run
+from permaway.session import group_mode
 
 # Bands of the usual defects in Hz (fixed values).
 BANDS = [(0, 50), (50, 200), (200, 1000), (1000, 2000)]
@@ -153,6 +154,7 @@ def window_pipeline(
     levels: int = 4, envelope: bool = False, mode: str | None = None,
 ) -> DataFrame:
     """Samples (sensor, t, row_id, value) to window features: smooth, stack, spectrum, wavelet, envelope."""
+    mode = mode or group_mode(df, [sensor])
     smooth = run(df, [sensor], kalman_level(sensor, sensor_type), mode=mode)
     numbered = tumbling_windows(smooth, [sensor], ["row_id"], size, mode=mode)
     windows = stack_windows(numbered, [sensor, "win"], "filtered")

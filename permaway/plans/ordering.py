@@ -9,6 +9,7 @@ from permaway.functions.risk import delay_interval, risk_score, risk_tier, sever
 from permaway.operators import ordered, ranking
 from permaway.plans.joining import order_slots
 from permaway.plans.registry import EVENTS_SQL, col_map, events, query, table
+from permaway.session import group_mode
 
 ORDER = ["ts", "event_id"]
 _W = "(PARTITION BY user_id ORDER BY ts, event_id)"
@@ -25,9 +26,10 @@ def assets_in_violation(spark, folder):
     """Assets whose newest events are errors: since when, how many, and the risk tier."""
     e = events(spark, folder).select("user_id", "event_id", "event_type", "ts", "us", "value")
     bad = F.col("event_type") == "error"
-    runs = ordered.run_position(e, ["user_id"], ORDER, bad, "run")
+    mode = group_mode(e, ["user_id"])
+    runs = ordered.run_position(e, ["user_id"], ORDER, bad, "run", mode=mode)
     begun = ordered.ordered_scan(
-        runs.withColumn("_start", F.when(F.col("run") == 1, F.col("us"))), ["user_id"], ORDER, [ordered.last_known("_start", "since_us")]
+        runs.withColumn("_start", F.when(F.col("run") == 1, F.col("us"))), ["user_id"], ORDER, [ordered.last_known("_start", "since_us")], mode=mode
     )
     newest = ordered.latest_per_key(begun, ["user_id"], ORDER).filter("run > 0")
     score = risk_score(F.col("value") / 25, severity_weight(F.lit("CRITICAL")))

@@ -254,11 +254,15 @@ def corridor_trains(spark, folder):
     )
 
 
+def live_graph(spark, folder):
+    at = F.abs("s_acctbal") / 140
+    defects = table(spark, folder, "supplier").select(at.alias("start_km"), (at + 1).alias("end_km"))
+    return graph.corridor_graph(corridor_trains(spark, folder), corridor.stations(spark), corridor.segments(spark), defects)
+
+
 @query()
 def delay_forecast(spark, folder):
-    at = F.abs("s_acctbal") / 140
-    defects = table(spark, folder, "supplier").filter("s_nationkey = 3").select(at.alias("start_km"), (at + 1).alias("end_km"))
-    nodes, edges = graph.corridor_graph(corridor_trains(spark, folder), corridor.stations(spark), corridor.segments(spark), defects)
+    nodes, edges = live_graph(spark, folder)
     return graph.predict_delays(nodes, edges, graph.seeded_weights())
 
 
@@ -268,8 +272,7 @@ def delay_forecast(spark, folder):
 def graph_nodes(spark, folder):
     from permaway.operators.aggregates import node_counts
 
-    none = table(spark, folder, "supplier").filter("false").select(F.col("s_acctbal").alias("start_km"), F.col("s_acctbal").alias("end_km"))
-    nodes, _ = graph.corridor_graph(corridor_trains(spark, folder), corridor.stations(spark), corridor.segments(spark), none)
+    nodes, _ = live_graph(spark, folder)
     return node_counts(nodes)
 
 
@@ -280,8 +283,7 @@ def graph_nodes(spark, folder):
 def segment_occupancy(spark, folder):
     from permaway.operators.aggregates import occupancy
 
-    none = table(spark, folder, "supplier").filter("false").select(F.col("s_acctbal").alias("start_km"), F.col("s_acctbal").alias("end_km"))
-    _, edges = graph.corridor_graph(corridor_trains(spark, folder), corridor.stations(spark), corridor.segments(spark), none)
+    _, edges = live_graph(spark, folder)
     return occupancy(edges)
 
 
