@@ -78,7 +78,13 @@ def kalman(spark, folder):
     return out.withColumn("filtered", F.round("filtered", 6))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE r AS {_R}, s AS (
+      SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, 0::DOUBLE AS pos, 0::DOUBLE AS vel, 1::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, 1::DOUBLE AS d FROM r
+      UNION ALL SELECT user_id, rn, event_id, p + a / (a + 1) * (z - p), vel + c / (a + 1) * (z - p), a - a / (a + 1) * a, b - a / (a + 1) * b, c - c / (a + 1) * a, d - c / (a + 1) * b FROM (
+        SELECT r.user_id, r.rn, r.event_id, r.value AS z, s.pos + s.vel * 0.1 AS p, s.vel, s.a + 0.1 * (s.b + s.c) + 0.01 * s.d + 0.01 AS a, s.b + 0.1 * s.d AS b, s.c + 0.1 * s.d AS c, s.d + 0.1 AS d
+        FROM s JOIN r ON r.user_id = s.user_id AND r.rn = s.rn + 1) x)
+    SELECT user_id, event_id AS row_id, round(pos, 6) AS position, round(vel, 6) AS velocity FROM s WHERE rn > 0""")
 def kalman_motion(spark, folder):
     out = stateful.run(readings(spark, folder), ["user_id"], stateful.kalman_motion("user_id", "bigint"))
     return out.select("user_id", "row_id", F.round("position", 6).alias("position"), F.round("velocity", 6).alias("velocity"))
@@ -144,7 +150,16 @@ def sample_windows(spark, folder, size: int = 32):
     return signal.stack_windows(numbered, ["user_id", "win"])
 
 
-@query()
+@query(f"""
+    WITH r AS (SELECT user_id, (rn - 1) // 32 AS win, (rn - 1) % 32 AS pos, value, count(*) OVER (PARTITION BY user_id) AS n FROM {_R} x),
+    x AS (SELECT * FROM r WHERE (win + 1) * 32 <= n),
+    p AS (SELECT user_id, win, b.k, b.k * 125.0::DOUBLE AS f, power(sum(value * cos(2 * pi() * b.k * pos / 32)), 2) + power(sum(value * sin(2 * pi() * b.k * pos / 32)), 2) + 1e-12 AS w
+      FROM x, (SELECT unnest(range(16)) AS k) b GROUP BY user_id, win, b.k)
+    SELECT user_id, win, round(arg_max(f, w) FILTER (WHERE k > 0), 4) AS dominant_hz, round(10 * log10(max(w) FILTER (WHERE k > 0)), 4) AS dominant_db,
+      round(sum(f * w) / sum(w), 4) AS centroid_hz, round(10 * log10(sum(w) FILTER (WHERE f <= 50) + 1e-12), 4) AS band_0_50_db,
+      round(10 * log10(sum(w) FILTER (WHERE f BETWEEN 50 AND 200) + 1e-12), 4) AS band_50_200_db,
+      round(10 * log10(sum(w) FILTER (WHERE f BETWEEN 200 AND 1000) + 1e-12), 4) AS band_200_1000_db,
+      round(10 * log10(sum(w) FILTER (WHERE f BETWEEN 1000 AND 2000) + 1e-12), 4) AS band_1000_2000_db FROM p GROUP BY user_id, win""")
 def spectrum(spark, folder):
     out = signal.spectral_features(sample_windows(spark, folder))
     return out.select("user_id", "win", *[F.round(c, 4).alias(c) for c in signal.SPECTRAL_FIELDS])
