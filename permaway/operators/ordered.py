@@ -300,6 +300,16 @@ def sliding_windows(
     return seen.withColumn("win", F.explode(wins)).withColumn("pos", at - F.col("win") * step).drop("_rn", "_all")
 
 
+def window_evidence(
+    df: DataFrame, keys: list[str], order: list[str], evidence: list[str], size: int = 60, step: int = 10, *, mode: str | None = None
+) -> DataFrame:
+    """Complete sliding windows with their rows in order; a list holds exactly ``size`` rows."""
+    held = F.array_sort(F.collect_list(F.struct("pos", *evidence)))
+    return sliding_windows(df, keys, order, size, step, mode=mode).groupBy(*keys, "win").agg(
+        F.transform(held, lambda h: F.struct(*[h[c].alias(c) for c in evidence])).alias("evidence")
+    )
+
+
 def stale_flags(df: DataFrame, keys: list[str], ts: str, as_of: Column, *, seconds: float = 60.0) -> DataFrame:
     """Age of the newest row per key at ``as_of`` and whether it is over the limit."""
     newest = df.groupBy(*keys).agg(F.max(ts).alias("last_seen"))

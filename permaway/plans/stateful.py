@@ -140,9 +140,9 @@ def asset_windows(spark, folder):
     WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM {EVENTS_SQL} e)
     SELECT user_id, event_id AS row_id, 30 AS rows FROM r WHERE rn >= 30 AND (rn - 30) % 10 = 0""")
 def traffic_evidence(spark, folder):
-    e = readings(spark, folder).withColumns({"features": F.array("value", F.col("k").cast("double")), "raw": F.concat(F.lit("m"), "row_id")})
-    out = stateful.run(e, ["user_id"], stateful.sliding_evidence("user_id", "bigint", 30, 10))
-    return out.select("user_id", "row_id", F.size("evidence").alias("rows"))
+    e = readings(spark, folder).withColumn("raw", F.concat(F.lit("m"), "row_id"))
+    out = ordered.window_evidence(e, ["user_id"], ["t", "row_id"], ["row_id", "value", "raw"], 30, 10)
+    return out.select("user_id", F.element_at("evidence", -1)["row_id"].alias("row_id"), F.size("evidence").alias("rows"))
 
 
 def sample_windows(spark, folder, size: int = 32):

@@ -68,6 +68,16 @@ def test_machine_streams_like_batch(spark, replay, name):
     )
 
 
+def test_evidence_streams_like_the_native_windows(spark, replay):
+    shape = lambda df: df.withColumns({"features": F.array("value"), "raw": F.col("event_type")})
+    batch, stream = replay
+    whole = ordered.window_evidence(batch, ["user_id"], ["t", "row_id"], ["row_id", "event_type"], 12, 4).select(
+        "user_id", F.element_at("evidence", -1)["row_id"].alias("row_id"), F.col("evidence.event_type").alias("evidence")
+    )
+    machine = stateful.sliding_evidence("user_id", "bigint", 12, 4)
+    same_rows(whole, collect(spark, streams.stream_machine(shape(stream), ["user_id"], machine), "m_ev").select("user_id", "row_id", "evidence"))
+
+
 def test_suppression_streams_like_batch(spark, replay):
     place = {"lat": F.expr("28.6D + (user_id % 12) * 0.0003D"), "lon": F.expr("77.2D + (k % 5) * 0.0002D"), "t": F.col("t") / 200}
     machine = stateful.suppression("event_type", "string")
