@@ -26,7 +26,8 @@ def test_tree_gives_the_bins_of_a_plain_search(seed):
 
 
 def test_shards_are_near_equal():
-    sizes = sorted((random.Random(1).randint(1, 1000) for _ in range(5000)), reverse=True)
+    pick = random.Random(1)
+    sizes = sorted((pick.randint(1, 1000) for _ in range(5000)), reverse=True)
     bins = sharding.fewest_bytes(sizes, 24)
     load = [sum(s for s, b in zip(sizes, bins) if b == k) for k in range(24)]
     assert max(load) - min(load) < 0.02 * max(load)
