@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import sharding
+from permaway.llm import sharding, substrings
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,11 @@ def op1_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir), 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words that a document with a smaller id has too."""
+    found = substrings.repeated_substrings(documents(spark, sf_dir), 50)
+    kept = F.coalesce(F.sha2("kept_text", 256), F.lower(F.hex("words_sha256")))
+    return found.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
