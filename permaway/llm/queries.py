@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import sharding, substrings
+from permaway.llm import neardup, sharding, substrings
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,9 @@ def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeated_substrings(documents(spark, sf_dir), 50)
     kept = F.coalesce(F.sha2("kept_text", 256), F.lower(F.hex("words_sha256")))
     return found.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their five-word shingles."""
+    return neardup.near_duplicates(documents(spark, sf_dir), percent=85, shingle=5)
