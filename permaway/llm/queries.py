@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import neardup, sharding, substrings
+from permaway.llm import bpe, neardup, sharding, substrings
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +43,13 @@ def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their five-word shingles."""
     return neardup.near_duplicates(documents(spark, sf_dir), percent=85, shingle=5)
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the multilingual byte-level ranks, and what they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    digests = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"))
+    return bpe.decode(digests, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
