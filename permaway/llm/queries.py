@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import bpe, neardup, packing, sharding, substrings
+from permaway.llm import bpe, language, neardup, packing, sharding, substrings
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,15 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of 4096 tokens."""
     packed = packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def language_model(docs: DataFrame, learn: Column) -> language.LanguageModel:
+    return language.fit(*language.training_sample(docs, learn))
+
+
+@query
+def op3_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every text, learned from three quarters of the ids."""
+    docs, held = documents(spark, sf_dir), language.held_out(4, 2)
+    found = language.identify(docs, language_model(docs, F.col("doc_id").isNotNull() & ~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
