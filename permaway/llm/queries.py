@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import bpe, language, neardup, packing, sharding, substrings
+from permaway.llm import bpe, language, neardup, packing, quality, sharding, substrings
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,11 @@ def op3_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), language.held_out(4, 2)
     found = language.identify(docs, language_model(docs, F.col("doc_id").isNotNull() & ~held))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, and whether it is kept."""
+    docs = documents(spark, sf_dir)
+    found = quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
