@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permaway.llm.samples import labelled
 from permaway.llm.store import map_batches, text_of
 from permaway.llm.words import SPACE, Words, grams, mix, slices, span_hashes, split_words, text_bytes
 
@@ -216,11 +217,9 @@ def content_words(field: Field, lines: Lines) -> np.ndarray:
 
 def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Field:
     """Fit on at most `most` texts of each value of `quality`, picked by the hash of the id."""
-    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
-    rows = text_of(documents).where((F.octet_length("text") <= SAMPLE_BYTES) & (F.size(F.split("text", "\n")) <= SAMPLE_LINES)).join(label, "doc_id")
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    picked = sorted(rows.withColumn("rank", rank).where(F.col("rank") <= most).collect(), key=lambda r: (r["quality"], r["rank"]))
-    return fit([r["text"] for r in picked], [r["quality"] == 0 for r in picked])
+    short = (F.octet_length("text") <= SAMPLE_BYTES) & (F.size(F.split("text", "\n")) <= SAMPLE_LINES)
+    picked = labelled(documents, labels, "quality", most, short)
+    return fit([r["text"] for r in picked], [r["label"] == 0 for r in picked])
 
 
 def judge(documents: DataFrame, field: Field) -> DataFrame:
