@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import bpe, language, neardup, packing, quality, sharding, substrings
+from permaway.llm import bpe, language, neardup, packing, quality, sharding, substrings, toxicity
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,11 @@ def op4_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op5_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from four fifths of the ids."""
+    docs, held = documents(spark, sf_dir), language.held_out(5, 0)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("doc_id").isNotNull() & ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
