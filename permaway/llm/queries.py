@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import bpe, language, neardup, packing, quality, sharding, substrings, toxicity
+from permaway.llm import bpe, hamming, language, neardup, packing, quality, sharding, substrings, toxicity
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,23 @@ def op5_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = documents(spark, sf_dir), language.held_out(5, 0)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.col("doc_id").isNotNull() & ~held)
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows nearest to each hundredth row, by the signs of their embeddings."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
+    return hamming.nearest(rows, rows.where("id % 100 = 0"), 10)
+
+
+ORACLES["op7_multi_index_hashing"] = """
+WITH codes AS (
+    SELECT vec_id, list_aggregate(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN '1' ELSE '0' END), 'string_agg', '')::BIT AS code
+    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), pairs AS (
+    SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id, CAST(bit_count(xor(q.code, r.code)) AS INTEGER) AS distance
+    FROM codes q JOIN codes r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs) WHERE rank <= 10
+"""
