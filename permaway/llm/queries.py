@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import bpe, hamming, language, neardup, packing, quality, sharding, substrings, toxicity
+from permaway.llm import bpe, hamming, language, neardup, packing, quality, sharding, substrings, toxicity, wordpiece
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,10 @@ WITH codes AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs) WHERE rank <= 10
 """
+
+
+@query
+def op9_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest-match tokens of every text by the pieces of a public model."""
+    pieces = wordpiece.sentence_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return wordpiece.count_tokens(documents(spark, sf_dir), pieces, marker="\u2581")
