@@ -2,7 +2,7 @@
 
 A first pass over the texts gives each row the hash of its shingle set and the hashes of its signature's bands. Sets that
 share a band with another set are mates; all others are done. Mates are dealt into chunks of a bounded number of shingles,
-those of one crowded bucket side by side, and two chunks meet in a task only if a bucket has members of both. There,
+components of the graph of shared bands side by side, and two chunks meet in a task only if a band has members of both. There,
 candidates (pairs that share a band) are compared by batches of signature values: after each batch a pair is dropped when,
 by the posterior of its similarity under a uniform prior, it reaches the threshold with less than the miss probability.
 What survives is verified on the full sets, except where both are already in one component of the task. A task puts out
@@ -200,6 +200,27 @@ def components(links: DataFrame) -> DataFrame:
     return edges.withColumnRenamed("low", "label")
 
 
+def _chunked(shared: DataFrame, reached: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, doc_id and chunk of each mate.
+
+    Whole components of the bucket graph share chunks with others while they are small. Large ones are cut so that members of
+    their most crowded bucket stay together.
+    """
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
+    homes = shared.join(sizes, "bucket").groupBy("node").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("home"))
+    homes = homes.join(reached, "node", "left").join(reps, "node").select(
+        "node", "home", F.coalesce("label", "node").alias("group"), F.col("rep_id").alias("doc_id"), (F.col("n_shingles") + SET_WEIGHT).alias("weight")
+    )
+    homes = durable(homes, "op6-homes")
+    by_home = homes.groupBy("home", "group").agg(F.sum("weight").alias("home_weight"))
+    by_group = homes.groupBy("group").agg(F.sum("weight").alias("group_weight"))
+    small = max(1, -(-(homes.agg(F.sum("weight")).first()[0] or 0) // CHUNK_SHINGLES))
+    part_of_home = F.pmod(F.xxhash64("node"), F.ceil(F.col("home_weight") / CHUNK_SHINGLES))
+    piece = F.pmod(F.xxhash64("home", part_of_home), F.ceil(F.col("group_weight") / CHUNK_SHINGLES))
+    chunk = F.when(F.col("group_weight") <= CHUNK_SHINGLES, F.pmod(F.xxhash64("group"), F.lit(small))).otherwise(F.xxhash64("group", piece))
+    return durable(homes.join(by_home, ["home", "group"]).join(by_group, "group").select("node", "doc_id", chunk.alias("chunk")), "op6-mates")
+
+
 def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -212,22 +233,18 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     rows = durable(map_batches(texts, _banded(shingle), "doc_id long, n_shingles long, node long, bands array<long>"), "op6-bands")
     known = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
     banded = known.select("node", F.explode("bands").alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
+    crowded = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
     shared = durable(banded.join(crowded, "bucket").distinct(), "op6-shared")
 
     reps = known.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n_shingles"))
-    sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
-    homes = shared.join(sizes, "bucket").groupBy("node").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("home")).join(reps, "node")
-    weights = homes.groupBy("home").agg(F.sum(F.col("n_shingles") + SET_WEIGHT).alias("weight"))
-    pieces = F.ceil(F.col("weight") / CHUNK_SHINGLES)
-    mates = durable(homes.join(weights, "home").select(
-        "node", F.col("rep_id").alias("doc_id"), F.xxhash64("home", F.pmod(F.xxhash64("node"), pieces)).alias("chunk")
-    ), "op6-mates")
+    reached = components(shared.where("low < node").select("node", "low"))
+    mates = _chunked(shared, reached, reps)
     meeting = shared.join(mates.select("node", "chunk"), "node").select("bucket", "chunk").distinct()
     blocks = meeting.join(meeting.withColumnRenamed("chunk", "other"), "bucket").where("chunk <= other").select("chunk", "other").distinct()
     blocks = blocks.select(F.xxhash64("chunk", "other").alias("block"), F.explode(F.array_distinct(F.array("chunk", "other"))).alias("chunk"))
     sets = durable(map_batches(
-        texts.join(mates, "doc_id").select("text", "node", "chunk"), _mate_sets(shingle), "node long, chunk long, signature binary, shingles binary"
+        # One way of joining at every size: the texts travel once.
+        texts.join(mates.hint("merge"), "doc_id").select("text", "node", "chunk"), _mate_sets(shingle), "node long, chunk long, signature binary, shingles binary"
     ).dropDuplicates(["node"]), "op6-sets")
 
     def verify(table: pa.Table) -> pa.Table:
