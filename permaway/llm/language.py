@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from permaway.llm.store import map_batches
+from permaway.llm.store import text_column, text_of
 from permaway.llm.words import LOWER, slices, text_bytes
 
 #: Lengths of the n-grams, and the buckets of each length (a power of two).
@@ -97,26 +97,30 @@ def training_sample(documents: DataFrame, learn: Column, most: int = SAMPLE) ->
     return [r["text"] for r in picked], [r["lang"] for r in picked]
 
 
-def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """documents (doc_id, text and any other columns) as doc_id, lang_pred and score of every row.
-
-    Texts that are null or have no letter are `und` with score 0, as is every text if no language was learned. Of equal
-    scores the first language by name wins. Repeated rows and null ids are rows like any other.
-    """
+def prediction(text: Column, model: LanguageModel) -> Column:
+    """A struct of lang_pred and score of a text."""
     names = pa.array([*model.languages, "und"])
 
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        data, offsets = text_bytes(batch.column("text"))
-        lettered = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
+    def work(texts: pa.Array, lettered: pa.Array) -> Iterator[dict]:
+        data, offsets = text_bytes(texts)
+        letters = lettered.to_numpy(zero_copy_only=False).astype(bool)
         for low, high in slices(offsets, rows=ROWS):
             got = scores(model, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-            known = lettered[low:high] & bool(model.languages)
+            known = letters[low:high] & bool(model.languages)
             best = np.where(known, got.argmax(1), len(model.languages)) if model.languages else np.zeros(high - low, np.int64)
             top = np.where(known, np.clip(got.max(1, initial=0), 0, 1), 0.0)
-            yield {"doc_id": batch.column("doc_id")[low:high], "lang_pred": names.take(pa.array(best)), "score": pa.array(top, pa.float64())}
+            yield {"lang_pred": names.take(pa.array(best)), "score": pa.array(top, pa.float64())}
+
+    return text_column(work, "lang_pred string, score double")(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lettered), work, "doc_id long, lang_pred string, score double")
+
+def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, lang_pred and score of every row.
+
+    Texts that are null or have no letter are `und` with score 0, as is every text if no language was learned. Of equal
+    scores the first language by name wins. Repeated rows and null ids are rows like any other; no rows give no rows.
+    """
+    return text_of(documents).select("doc_id", prediction(F.col("text"), model).alias("found")).select("doc_id", "found.*")
 
 
 def held_out(parts: int, part: int) -> Column:

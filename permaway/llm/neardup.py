@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permaway.llm.store import durable, map_batches, text_of
+from permaway.llm.store import durable, map_batches, text_hash, text_of
 from permaway.llm.words import GRAM, LOWER, grams, mix, slices, split_words, text_bytes
 
 #: A pair at similarity 0.85 shares no band once in 40 million.
@@ -84,6 +84,7 @@ def _banded(size: int):
                 bands = band_hashes(signatures(values, begins))
             yield {
                 "doc_id": batch.column("doc_id")[low:high],
+                "text_hash": batch.column("text_hash")[low:high],
                 "n_shingles": pa.array(counts, pa.int64()),
                 "node": pa.array(node, mask=counts == 0),
                 "bands": pa.ListArray.from_arrays(
@@ -222,7 +223,7 @@ def _chunked(shared: DataFrame, reached: DataFrame, reps: DataFrame) -> DataFram
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+    """doc_id, text_hash, n_shingles, component_id and kept of every row.
 
     A text's set is its distinct shingles of so many words, ASCII letters in lower case; a text with fewer words is one
     shingle. Rows link when 100 * intersection >= percent * union. component_id is the smallest id that links reach. Rows
@@ -230,7 +231,9 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     component and are kept. Rows that repeat an id are judged by their own texts.
     """
     texts = text_of(documents)
-    rows = durable(map_batches(texts, _banded(shingle), "doc_id long, n_shingles long, node long, bands array<long>"), "op6-bands")
+    rows = durable(map_batches(
+        texts.withColumn("text_hash", text_hash()), _banded(shingle), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"
+    ), "op6-bands")
     known = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
     banded = known.select("node", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
@@ -261,6 +264,6 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
         "node", F.coalesce("lowest", "rep_id").alias("lowest")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))
-    return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
+    return rows.select("doc_id", "text_hash", "n_shingles", "node").join(of_node, "node", "left").select(
+        "doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )

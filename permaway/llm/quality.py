@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permaway.llm.samples import labelled
-from permaway.llm.store import map_batches, text_of
+from permaway.llm.store import text_column, text_of
 from permaway.llm.words import SPACE, Words, grams, mix, slices, span_hashes, split_words, text_bytes
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -222,6 +222,31 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Field:
     return fit([r["text"] for r in picked], [r["label"] == 0 for r in picked])
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def verdict(text: Column, field: Field) -> Column:
+    """A struct of the counts of a text and content_words, its words in content lines."""
+
+    def work(texts: pa.Array) -> Iterator[dict]:
+        data, offsets = text_bytes(texts)
+        for low, high in slices(offsets):
+            counts, lines = measure(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+            yield {**{k: pa.array(counts[k], pa.int64()) for k in COUNTS}, "content_words": pa.array(content_words(field, lines), pa.int64())}
+
+    return text_column(work, ", ".join(f"{x} long" for x in (*COUNTS, "content_words")))(text)
+
+
+def failed(found: str) -> Column:
+    """Whether the counts in the struct column fail."""
+    return (F.col(f"{found}.n_words") < 10) | (100 * F.col(f"{found}.n_repeat_words") > 20 * F.col(f"{found}.n_words"))
+
+
+def kept(found: str) -> Column:
+    """Whether a text stays by the struct column of its verdict."""
+    return ~failed(found) & (F.col(f"{found}.content_words") >= CONTENT_SHARE * F.col(f"{found}.n_words"))
+
+
 def judge(documents: DataFrame, field: Field) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_words and kept of every row.
 
@@ -229,15 +254,5 @@ def judge(documents: DataFrame, field: Field) -> DataFrame:
     hold CONTENT_SHARE of the words. A null or empty text has no words and fails. Repeated rows and null ids are rows like
     any other; no rows give no rows.
     """
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        data, offsets = text_bytes(batch.column("text"))
-        for low, high in slices(offsets):
-            counts, lines = measure(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-            columns = {k: pa.array(counts[k], pa.int64()) for k in names}
-            yield {"doc_id": batch.column("doc_id")[low:high], **columns, "content_words": pa.array(content_words(field, lines), pa.int64())}
-
-    found = map_batches(text_of(documents), work, "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", content_words long")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("content_words") >= CONTENT_SHARE * F.col("n_words")))
+    found = text_of(documents).select("doc_id", verdict(F.col("text"), field).alias("found"))
+    return found.select("doc_id", *(f"found.{x}" for x in COUNTS), failed("found").alias("base_failed"), "found.content_words", kept("found").alias("kept"))

@@ -42,7 +42,7 @@ def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their five-word shingles."""
-    return neardup.near_duplicates(documents(spark, sf_dir), percent=85, shingle=5)
+    return neardup.near_duplicates(documents(spark, sf_dir), percent=85, shingle=5).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query

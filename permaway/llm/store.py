@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LONG_MAX = (1 << 63) - 1
@@ -47,6 +47,21 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]],
     return df.mapInArrow(run, schema)
 
 
+def text_column(work: Callable[..., Iterator[dict]], schema: str) -> Callable[..., Column]:
+    """A struct column of what `work` yields, in order, for an Arrow array of texts and others of the same length."""
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    @F.arrow_udf(schema)
+    def run(texts: pa.Array, *others: pa.Array) -> pa.Array:
+        parts = list(work(texts, *others)) if len(texts) else []
+        if not parts:
+            return pa.StructArray.from_arrays([pa.array([], kinds[x]) for x in names], names)
+        return pa.StructArray.from_arrays([pa.concat_arrays([part[x] for part in parts]) for x in names], names)
+
+    kinds = {x.split(" ")[0]: {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[x.split(" ")[1]] for x in schema.split(", ")}
+    return run
+
+
 def list_array(offsets, values: pa.Array) -> pa.Array:
     """An array column from the offsets of its rows in the values."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
@@ -55,3 +70,8 @@ def list_array(offsets, values: pa.Array) -> pa.Array:
 def text_of(documents: DataFrame) -> DataFrame:
     """Only the columns that operators use, so that others cannot clash with theirs."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def text_hash() -> Column:
+    """Tells rows apart that repeat an id."""
+    return F.xxhash64(F.col("text").cast("string"))

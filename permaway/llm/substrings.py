@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permaway.llm.store import durable, list_array, map_batches, text_of
+from permaway.llm.store import durable, list_array, map_batches, text_hash, text_of
 from permaway.llm.words import Words, grams, slices, split_words, text_bytes
 
 
@@ -69,6 +69,7 @@ def _first_level(half: int, length: int):
             hashes, text = hashes[new], text[new]
             yield {
                 "doc_id": batch.column("doc_id")[low:high],
+                "text_hash": batch.column("text_hash")[low:high],
                 "n_words": pa.array(words.counts(), pa.int64()),
                 "words_sha256": pa.array([hashlib.sha256(x).digest() for x in joined], pa.binary()),
                 "windows": list_array(np.searchsorted(text, np.arange(high - low + 1)), pa.array(hashes.view(np.int64))),
@@ -134,7 +135,7 @@ def _removed(length: int):
 
 
 def repeated_substrings(documents: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text and words_sha256 of every row.
+    """doc_id, text_hash, n_words, n_removed, kept_text and words_sha256 of every row.
 
     Words covered by a window of `length` words whose sequence also starts in a document with a smaller id are removed;
     kept_text joins the others by one space and is null where nothing is removed; words_sha256 (binary) is of all words so
@@ -143,7 +144,9 @@ def repeated_substrings(documents: DataFrame, length: int = 50) -> DataFrame:
     """
     half = -(-length // 2)
     texts = text_of(documents)
-    first = durable(map_batches(texts, _first_level(half, length), "doc_id long, n_words long, words_sha256 binary, windows array<long>"), "op2-first")
+    first = durable(map_batches(
+        texts.withColumn("text_hash", text_hash()), _first_level(half, length), "doc_id long, text_hash long, n_words long, words_sha256 binary, windows array<long>"
+    ), "op2-first")
 
     # Of equal word sequences the smallest id stands for all.
     whole = first.where(f"doc_id IS NOT NULL AND n_words >= {length}")
@@ -164,10 +167,10 @@ def repeated_substrings(documents: DataFrame, length: int = 50) -> DataFrame:
         _removed(length), "doc_id long, words_sha256 binary, n_removed long, kept_text string",
     ).dropDuplicates(["doc_id", "words_sha256"])
     copied = smallest.where("copies > 1").select("words_sha256", "smallest_id")
-    rows = first.select("doc_id", "n_words", "words_sha256").join(cut, ["doc_id", "words_sha256"], "left").join(copied, "words_sha256", "left")
+    rows = first.select("doc_id", "text_hash", "n_words", "words_sha256").join(cut, ["doc_id", "words_sha256"], "left").join(copied, "words_sha256", "left")
     copy = F.col("smallest_id") < F.col("doc_id")
     return rows.select(
-        "doc_id", "n_words", "words_sha256",
+        "doc_id", "text_hash", "n_words", "words_sha256",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
     )
