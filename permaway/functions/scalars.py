@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6_371_000
@@ -91,3 +91,12 @@ def change_hash(*parts: Column) -> Column:
 def default_label(class_index: Column) -> Column:
     """A centred bounding-box label line for an image without annotation."""
     return F.format_string("%d 0.500000 0.500000 0.500000 0.400000\n", class_index)
+
+
+def one_per_key(df: DataFrame, key: list[str], order: list[str] = ()) -> DataFrame:
+    """The smallest row of each key by ``order`` and then by the other columns, so that a repeated task picks the same one."""
+    rest = [c for c in df.columns if c not in key and c not in order]
+    if not rest and not order:
+        return df.distinct()
+    smallest = df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_row"))
+    return smallest.select(*[F.col(c) if c in key else F.col("_row")[c].alias(c) for c in df.columns])

@@ -15,7 +15,7 @@ def first_submissions(updates: DataFrame) -> DataFrame:
     """The first update of each station in a round."""
     rest = [c for c in updates.columns if c not in ("round_id", "station_id")]
     return updates.groupBy("round_id", "station_id").agg(
-        F.min_by(F.struct(*rest), "submitted_at").alias("_u")
+        F.min(F.struct("submitted_at", *[c for c in rest if c != "submitted_at"])).alias("_u")
     ).select("round_id", "station_id", "_u.*")
 
 
@@ -48,19 +48,22 @@ def admit_updates(
 
 
 def federated_average(
-    updates: DataFrame, *, keys: list[str] = ["round_id"], vector: str = "gradients", weight: str | None = "sample_count", mu: float = 0.0
+    updates: DataFrame, *, keys: list[str] = ["round_id"], vector: str = "gradients", weight: str | None = "sample_count", mu: float = 0.0,
+    order: list[str] = ["submitted_at", "station_id"],
 ) -> DataFrame:
     """Average vector per round as rows ``(round, pos, average)``, damped by ``1 - mu``.
 
     Weighted by samples, or equally when they sum to 0. Positions become rows,
-    and their partial sums, not the vectors, are shuffled.
+    and their partial sums, not the vectors, are shuffled. The average has the
+    length of the vector that is first by ``order``; longer ones are cut.
     """
     n = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    totals = updates.groupBy(*keys).agg(F.sum(n).alias("_w"), F.count(F.lit(1)).alias("_n"))
+    first = F.min_by(F.size(vector), F.struct(*order))
+    totals = updates.groupBy(*keys).agg(F.sum(n).alias("_w"), F.count(F.lit(1)).alias("_n"), first.alias("_length"))
     flat = updates.select(*keys, n.alias("_weight"), F.posexplode(vector).alias("pos", "x"))
     sums = flat.groupBy(*keys, "pos").agg(F.sum(F.col("x") * F.col("_weight")).alias("_s"), F.sum("x").alias("_e"))
     value = F.when(F.col("_w") != 0, F.col("_s") / F.col("_w")).otherwise(F.col("_e") / F.col("_n")) * (1.0 - mu)
-    return sums.join(totals, keys).select(*keys, "pos", value.alias("average"))
+    return sums.join(totals, keys).filter(F.col("pos") < F.col("_length")).select(*keys, "pos", value.alias("average"))
 
 
 def average_vectors(averages: DataFrame, keys: list[str] = ["round_id"]) -> DataFrame:

@@ -103,7 +103,8 @@ def edge_scores(edges: DataFrame, nodes: DataFrame, weights: Weights) -> DataFra
     """Edges with the features of their source and the attention score of their message."""
     size = len(next(iter(weights.matrices.values())))
     sources = nodes.select(F.col("id").alias("src"), fit_length(F.col("features"), size).alias("x"))
-    seen = edges.join(sources, "src")
+    # A type without a matrix of its own uses the first.
+    seen = edges.join(sources, "src").withColumn("type", F.when(F.col("type").isin(list(weights.matrices)), F.col("type")).otherwise(next(iter(weights.matrices))))
     score = F.lit(0.0)
     for kind, matrix in weights.matrices.items():
         toward = [float(sum(w * a for w, a in zip(row, weights.attention))) for row in matrix]
@@ -112,18 +113,20 @@ def edge_scores(edges: DataFrame, nodes: DataFrame, weights: Weights) -> DataFra
 
 
 def attention_sums(scored: DataFrame, kinds: list[str], size: int, floor: float = 1e-8) -> DataFrame:
-    """Per target the attention-weighted feature sums of each edge type, in one aggregation.
+    """Per target the attention-weighted feature sums of each edge type.
 
-    The weights are ``exp(s - max) / (sum(exp(s - max)) + floor)``. Multiplying
-    both parts by ``exp(max)`` gives the same number without a pass for the maximum.
+    The weights are ``exp(s - max) / (sum(exp(s - max)) + floor)``; the maximum
+    of each target comes first, so that no score is too large for ``exp``.
     """
-    e = F.exp("score")
+    tops = scored.groupBy("dst").agg(F.max("score").alias("_top"))
+    scored = scored.join(tops, "dst")
+    e = F.exp(F.col("score") - F.col("_top"))
     parts = [
         F.sum(F.when(F.col("type") == k, e * F.col("weight") * F.get("x", i)).otherwise(0.0)).alias(f"_s{n}_{i}")
         for n, k in enumerate(kinds) for i in range(size)
     ]
-    sums = scored.groupBy(F.col("dst").alias("id")).agg(F.sum(e).alias("_e"), F.exp(F.max("score")).alias("_top"), *parts)
-    share = lambda n, i: F.col(f"_s{n}_{i}") / (F.col("_e") + floor * F.col("_top"))
+    sums = scored.groupBy(F.col("dst").alias("id")).agg(F.sum(e).alias("_e"), *parts)
+    share = lambda n, i: F.col(f"_s{n}_{i}") / (F.col("_e") + floor)
     return sums.select("id", *[F.array(*[share(n, i) for i in range(size)]).alias(f"m{n}") for n in range(len(kinds))])
 
 

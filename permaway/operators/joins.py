@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from permaway.functions.scalars import one_per_key
 from permaway.operators.fold import Jump, ordered_fold
 from permaway.operators.scan import earlier_max, last_known, next_known, ordered_scan, running_max
 from permaway.session import union_mode
@@ -183,7 +184,7 @@ def defect_marks(
 
 def zone_of(df: DataFrame, zones: DataFrame, place: str, kind: str = "stations") -> DataFrame:
     """Add ``zone`` of a station or segment id; unknown places keep null."""
-    named = zones.select(F.explode(kind).alias(place), "zone").dropDuplicates([place])
+    named = one_per_key(zones.select(F.explode(kind).alias(place), "zone"), [place])
     return df.join(named, place, "left")
 
 
@@ -250,9 +251,9 @@ def conflict_free(slots: DataFrame, proposal: str = "proposalId", segment: str =
 
 def geometry_lookup(df: DataFrame, geometry: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Add track ``gradient`` and ``curve_radius`` by coordinates rounded to 4 places; 0 when unknown."""
-    keyed = geometry.select(
+    keyed = one_per_key(geometry.select(
         F.round("lat", 4).alias("_glat"), F.round("lon", 4).alias("_glon"), "gradient", "curve_radius"
-    ).dropDuplicates(["_glat", "_glon"])
+    ), ["_glat", "_glon"])
     here = df.withColumns({"_glat": F.round(lat, 4), "_glon": F.round(lon, 4)})
     out = here.join(keyed, ["_glat", "_glon"], "left").drop("_glat", "_glon")
     return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("gradient", "curve_radius")})
@@ -369,7 +370,7 @@ def authorisations(requests: DataFrame, controllers: DataFrame) -> DataFrame:
     (controller, role); an unknown controller counts as OC. A tier-1 advisory
     needs two different controllers.
     """
-    named = requests.join(controllers.select("controller", "role").dropDuplicates(["controller"]), "controller", "left")
+    named = requests.join(one_per_key(controllers.select("controller", "role"), ["controller"]), "controller", "left")
     role = F.coalesce("role", F.lit("OC"))
     tiers = F.coalesce(
         F.create_map(*[x for r, t in ROLE_TIERS.items() for x in (F.lit(r), F.array(*[F.lit(i) for i in t]))])[role],

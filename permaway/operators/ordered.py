@@ -6,10 +6,10 @@ never gathered per key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from permaway.functions.scalars import change_hash, key_hash
+from permaway.functions.scalars import change_hash, key_hash, one_per_key
 from permaway.operators.scan import (
     following, last_known, ordered_scan, previous, row_number, running_sum, total,
 )
@@ -95,15 +95,21 @@ def trace_latency(spans: DataFrame, *, trace: str = "trace_id", sla_ms: float =
     """Complete traces with latency, breach and slowest stage.
 
     ``spans`` holds trace_id, span_name, start_ns, alert_type and the arrival
-    second ``arrival_s``. A stage keeps its latest start; a trace counts when
-    first and last stage are there and the last one came within the time to
-    live of the first arrival. Nine conditional maxima per trace, no ordering.
+    second ``arrival_s``. The first arrival of the last stage after the first
+    stage closes a trace, and counts if it comes within the time to live of
+    the trace's first arrival; later spans are ignored. Until then a stage
+    keeps its latest start. A trace has few spans, so a window over it is bounded.
     """
     known = spans.filter(F.col("span_name").isin(STAGES) & F.col(trace).isNotNull() & (F.col(trace) != ""))
-    wide = known.groupBy(trace).agg(
+    whole = Window.partitionBy(trace)
+    arrival = F.col("arrival_s")
+    begun = known.withColumn("_begun", F.min(F.when(F.col("span_name") == STAGES[0], arrival)).over(whole))
+    ends = (F.col("span_name") == STAGES[-1]) & (arrival >= F.col("_begun"))
+    closing = begun.withColumn("_closing", F.min(F.when(ends, arrival)).over(whole))
+    wide = closing.filter(arrival <= F.col("_closing")).groupBy(trace).agg(
         *[F.max_by(F.when(F.col("span_name") == s, F.col("start_ns")), F.when(F.col("span_name") == s, F.col("arrival_s"))).alias(s) for s in STAGES],
         F.min("arrival_s").alias("_opened"),
-        F.max(F.when(F.col("span_name") == STAGES[-1], F.col("arrival_s"))).alias("_closed"),
+        F.max("_closing").alias("_closed"),
         F.coalesce(F.min_by("alert_type", "arrival_s"), F.lit("unknown")).alias("alert_type"),
     )
     first, last = F.col(STAGES[0]), F.col(STAGES[-1])
@@ -170,8 +176,8 @@ def latest_occupancy(df: DataFrame, segment: str, train: str, order: list[str])
 def bounded_buffer(
     df: DataFrame, node: str, event_id: str, ts: str, *, size: int = 864_000, mode: str | None = None
 ) -> DataFrame:
-    """Add ``kept``: among the newest ``size`` events of the node; repeated ids count once, the first stays."""
-    once = df.dropDuplicates([node, event_id])
+    """Add ``kept``: among the newest ``size`` events of the node; repeated ids count once, the earliest stays."""
+    once = one_per_key(df, [node, event_id], [ts])
     seen = ordered_scan(once, [node], [ts, event_id], [row_number("_rank")], descending=True, mode=mode)
     return seen.withColumn("kept", F.col("_rank") <= size).drop("_rank")
 

@@ -156,7 +156,7 @@ def window_pipeline(
     """Samples (sensor, t, row_id, value) to window features: smooth, stack, spectrum, wavelet, envelope."""
     mode = mode or group_mode(df, [sensor])
     smooth = run(df, [sensor], kalman_level(sensor, sensor_type), mode=mode)
-    numbered = tumbling_windows(smooth, [sensor], ["row_id"], size, mode=mode)
+    numbered = tumbling_windows(smooth, [sensor], ["t", "row_id"], size, mode=mode)
     windows = stack_windows(numbered, [sensor, "win"], "filtered")
     x = F.col("samples")
     n = F.size(x)

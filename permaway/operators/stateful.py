@@ -253,10 +253,10 @@ def kalman_level(key: str, key_type: str, q: float = 0.01, r: float = 0.1, x0: f
             x += gain * (z - x)
             p *= 1 - gain
             line.append(x)
-        out = pd.DataFrame({key: pdf[key].to_numpy(), "row_id": pdf["row_id"].to_numpy(), "filtered": line})
+        out = pd.DataFrame({key: pdf[key].to_numpy(), "t": pdf["t"].to_numpy(), "row_id": pdf["row_id"].to_numpy(), "filtered": line})
         return out, [x, p]
 
-    return Machine(step, f"{key} {key_type}, row_id bigint, filtered double", ["t", "row_id"])
+    return Machine(step, f"{key} {key_type}, t double, row_id bigint, filtered double", ["t", "row_id"])
 
 
 def kalman_motion(

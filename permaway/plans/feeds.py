@@ -130,7 +130,7 @@ def log_index_daily(spark, folder):
 
 
 @query("""
-    SELECT count(*) AS points FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 2880 MINUTE AND event_type = 'click'""")
+    SELECT count(*) AS points FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 2880 MINUTE AND ts < TIMESTAMP '2024-01-20 00:00:00' AND event_type = 'click'""")
 def recent_points(spark, folder):
     e = events(spark, folder).withColumnRenamed("event_type", "measurement")
     return series.recent_count(e, F.lit("2024-01-20 00:00:00").cast("timestamp"), "click", minutes=2880)

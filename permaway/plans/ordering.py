@@ -116,7 +116,10 @@ _SPANS = """(SELECT l_orderkey AS trace, CASE l_linenumber WHEN 1 THEN 0 WHEN 7
 
 
 @query(f"""
-    WITH s AS (SELECT trace, stage, arg_max(start_ns, arrival) AS start_ns FROM {_SPANS} x GROUP BY trace, stage),
+    WITH b AS (SELECT trace, min(arrival) AS opened, min(arrival) FILTER (WHERE stage = 0) AS begun FROM {_SPANS} x GROUP BY trace),
+    c AS (SELECT trace, min(arrival) AS closing FROM {_SPANS} x JOIN b USING (trace) WHERE stage = 8 AND arrival >= begun GROUP BY trace),
+    s AS (SELECT trace, stage, arg_max(start_ns, arrival) AS start_ns FROM {_SPANS} x JOIN b USING (trace) JOIN c USING (trace)
+      WHERE arrival <= closing AND closing - opened <= 60 GROUP BY trace, stage),
     t AS (SELECT trace, max(start_ns) FILTER (WHERE stage = 0) AS a, max(start_ns) FILTER (WHERE stage = 8) AS z FROM s GROUP BY trace),
     g AS (SELECT trace, stage, start_ns - lag(start_ns) OVER (PARTITION BY trace ORDER BY stage) AS gap FROM s),
     m AS (SELECT trace, stage, row_number() OVER (PARTITION BY trace ORDER BY gap DESC, stage) AS r FROM g WHERE gap > 0)
@@ -132,7 +135,7 @@ def trace_latency(spark, folder):
         (F.col("l_suppkey") * 100000000 + F.col("l_partkey") * 1000 + number.cast("bigint") * 1500000000).alias("start_ns"),
         F.lit("t").alias("alert_type"), (F.col("l_quantity") + F.col("l_partkey") / 10000.0).alias("arrival_s"),
     )
-    out = ordered.trace_latency(spans, ttl_s=None)
+    out = ordered.trace_latency(spans)
     return out.select(F.col("trace_id").cast("bigint").alias("trace_id"), "latency_ms", "breach", "slowest_stage")
 
 

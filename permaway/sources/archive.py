@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.functions.scalars import dataset_version_id, preprocessing_hash
+from permaway.functions.scalars import dataset_version_id, one_per_key, preprocessing_hash
 from permaway.schemas import ARCHIVE_TABLES
 
 AUDIT_DAYS = 365
@@ -32,7 +32,12 @@ def append_archive(df: DataFrame, name: str, root: str, fmt: str = "parquet") ->
     adaptive execution split a zone that holds most of the rows over many tasks.
     """
     _, keys = ARCHIVE_TABLES[name]
-    df.hint("rebalance", *keys).write.format(fmt).mode("append").partitionBy(*keys).save(f"{root}/{name}")
+    spread = df.hint("rebalance", *keys)
+    if df.sparkSession.catalog.tableExists(name):
+        # Through the table, so that new partitions are known to it.
+        spread.select(*df.sparkSession.table(name).columns).write.insertInto(name)
+    else:
+        spread.write.format(fmt).mode("append").partitionBy(*keys).save(f"{root}/{name}")
 
 
 def read_archive(spark: SparkSession, name: str, root: str, fmt: str = "parquet") -> DataFrame:
@@ -54,21 +59,24 @@ def archive_rows(events: DataFrame, zone: Column, archived_at: Column) -> DataFr
 
 
 def compact_partition(
-    spark: SparkSession, path: str, partition: dict[str, str], target_files: int, sort: list[str], staging: str
+    spark: SparkSession, path: str, keys: list[str], partition: dict[str, str], target_files: int, sort: list[str], staging: str
 ) -> None:
     """Rewrite the small files of one partition as ``target_files`` range-sorted files.
 
+    ``keys`` are all partition columns of the table; ``partition`` may name some of them, which rewrites every partition below.
+
     The rows go to ``staging`` first, so a lost job never leaves the partition
     half written; only then is the partition overwritten from there.
     """
-    condition = " AND ".join(f"{k} = '{v}'" for k, v in partition.items())
-    rows = spark.read.parquet(path).filter(condition)
+    rows = spark.read.parquet(path)
+    for name, value in partition.items():
+        rows = rows.filter(F.col(name) == F.lit(value))
     rows.repartitionByRange(target_files, *sort).sortWithinPartitions(*sort).write.mode("overwrite").parquet(staging)
     (
         spark.read.parquet(staging)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition)
+        .partitionBy(*keys)
         .parquet(path)
     )
 
@@ -84,8 +92,8 @@ def append_audit(df: DataFrame, path: str, created: str = "created_at") -> None:
 
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not in ``existing``, one per key."""
-    return new.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    """Rows of ``new`` whose key is not in ``existing``; of rows with one key the smallest."""
+    return one_per_key(new, key).join(existing.select(*key), key, "left_anti")
 
 
 def steps_as_json(steps: Column) -> Column:

@@ -120,8 +120,8 @@ def write_log_index(rows: DataFrame, path: str) -> None:
 
 
 def recent_count(df: DataFrame, as_of: Column, measurement: str | None = None, minutes: int = 2) -> DataFrame:
-    """Points of the last minutes, optionally of one measurement."""
-    kept = df.filter(F.col("ts") >= as_of - F.make_interval(mins=F.lit(minutes)))
+    """Points of the last minutes before ``as_of``, optionally of one measurement."""
+    kept = df.filter((F.col("ts") >= as_of - F.make_interval(mins=F.lit(minutes))) & (F.col("ts") < as_of))
     if measurement is not None:
         kept = kept.filter(F.col("measurement") == measurement)
     return kept.agg(F.count(F.lit(1)).alias("points"))

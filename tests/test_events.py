@@ -143,7 +143,7 @@ def test_archive_round(spark, tmp_path):
         archive.append_archive(spark.createDataFrame([(f"a{i}", "x", 0.5, "north"), (f"b{i}", "y", 0.7, "south")], columns), "maintenance_advisories", root)
     path = f"{root}/maintenance_advisories"
     for _ in range(2):
-        archive.compact_partition(spark, path, {"zone": "north"}, 1, ["asset_id", "alert_id"], f"{root}/staging")
+        archive.compact_partition(spark, path, ["zone"], {"zone": "north"}, 1, ["asset_id", "alert_id"], f"{root}/staging")
         rows = archive.read_archive(spark, "maintenance_advisories", root)
         assert rows.count() == 6 and rows.filter("zone = 'south'").count() == 3
     import glob
@@ -151,6 +151,46 @@ def test_archive_round(spark, tmp_path):
     assert len(glob.glob(f"{path}/zone=north/*.parquet")) == 1
 
 
+def test_compaction_of_two_keys(spark, tmp_path):
+    path = f"{tmp_path}/events"
+    columns = "event_id string, zone string, sensor_type string"
+    for i in range(3):
+        rows = [(f"a{i}", "z1", "o'clock"), (f"b{i}", "z1", "plain"), (f"c{i}", "z2", "plain")]
+        spark.createDataFrame(rows, columns).write.mode("append").partitionBy("zone", "sensor_type").parquet(path)
+    archive.compact_partition(spark, path, ["zone", "sensor_type"], {"zone": "z1"}, 2, ["event_id"], f"{tmp_path}/one")
+    archive.compact_partition(spark, path, ["zone", "sensor_type"], {"zone": "z1", "sensor_type": "o'clock"}, 1, ["event_id"], f"{tmp_path}/two")
+    rows = spark.read.parquet(path)
+    assert rows.count() == 9 and rows.filter(F.col("sensor_type") == "o'clock").count() == 3
+    assert sorted(rows.columns) == ["event_id", "sensor_type", "zone"]
+
+
+def test_appended_rows_are_in_the_table(spark, tmp_path):
+    root, name = str(tmp_path), "maintenance_advisories"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    try:
+        archive.create_archive_table(spark, name, root)
+        full = spark.table(name)
+        row = spark.createDataFrame([("a", "north")], "alert_id string, zone string")
+        df = row.select(*[F.col(c.name) if c.name in row.columns else F.lit(None).cast(c.dataType).alias(c.name) for c in full.schema])
+        archive.append_archive(df.select(*reversed(df.columns)), name, root)
+        spark.catalog.refreshTable(name)
+        assert [(r["alert_id"], r["zone"]) for r in spark.table(name).collect()] == [("a", "north")]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_recent_points_end_at_as_of(spark):
+    df = spark.sql("SELECT explode(array(timestamp'2024-01-01 11:59:00', timestamp'2024-01-01 12:00:30', timestamp'2024-02-01 00:00:00')) AS ts, 'm' AS measurement")
+    assert series.recent_count(df, F.lit("2024-01-01 12:00:00").cast("timestamp")).first()["points"] == 1
+
+
+def test_repeats_do_not_depend_on_the_plan(spark):
+    new = spark.createDataFrame([(1, 5, "x"), (1, 2, "y"), (2, 9, "z")], "k int, v int, w string")
+    for df in (new, new.orderBy("v")):
+        kept = archive.insert_or_ignore(new.filter("k = 2"), df, ["k"]).collect()
+        assert [tuple(r) for r in kept] == [(1, 2, "y")]
+
+
 def test_audit_and_registration(spark, tmp_path):
     df = spark.createDataFrame([("1", "2024-01-01")], "id string, created string").select("id", F.col("created").cast("timestamp").alias("created_at"))
     archive.append_audit(df, f"{tmp_path}/audit")
