@@ -9,6 +9,7 @@ the emptiest, as are those left at the end; the last one is cut at powers of two
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from permaway.llm.memo import Memo
 from permaway.llm.store import text_of
 
 #: Windows that a task holds open.
@@ -120,18 +122,17 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.known = Memo(self._encode, KNOWN)
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in encoded]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [(x or "").encode().split() for x in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > KNOWN:
-            self.known, new = {}, set().union(*words)
-        fresh = list(new)
-        encoded = self.tokenizer.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)
-        self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(fresh, encoded, strict=True))
-        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+        ids = self.known.values(set().union(*words))
+        return [b"".join(map(ids.__getitem__, x)) for x in words]
 
 
 @lru_cache(maxsize=2)
