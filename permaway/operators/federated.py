@@ -22,7 +22,6 @@ def first_submissions(updates: DataFrame) -> DataFrame:
 def admit_updates(
     updates: DataFrame, participants: DataFrame, *, max_norm: float = 10.0, max_drift: float = 0.15,
     closing_share: float = 0.6, clip: float = 1.0, global_mean: float = 0.0, global_var: float = 1.0,
-    mode: str | None = None,
 ) -> DataFrame:
     """Updates that enter each round, clipped.
 
@@ -40,7 +39,7 @@ def admit_updates(
     )
     # A refused update leaves the station free to try again, so the first fitting one counts.
     first = first_submissions(fit)
-    placed = ordered_scan(first, ["round_id"], ["submitted_at", "station_id"], [row_number("place")], mode=mode)
+    placed = ordered_scan(first, ["round_id"], ["submitted_at", "station_id"], [row_number("place")])
     return (
         placed.join(needed, "round_id").filter(F.col("place") <= F.col("_needed"))
         .withColumn("gradients", clip_to_norm(g, clip)).drop("_needed")
@@ -66,12 +65,6 @@ def federated_average(
     return sums.join(totals, keys).filter(F.col("pos") < F.col("_length")).select(*keys, "pos", value.alias("average"))
 
 
-def average_vectors(averages: DataFrame, keys: list[str] = ["round_id"]) -> DataFrame:
-    """The averages as one array per round, of the length of one vector."""
-    entries = F.array_sort(F.collect_list(F.struct("pos", "average")))
-    return averages.groupBy(*keys).agg(F.transform(entries, lambda e: e["average"]).alias("average"))
-
-
 def private_noise(updates: DataFrame, key: str, *, vector: str = "gradients", sigma: float = NOISE_SIGMA, seed: int = 7) -> DataFrame:
     """Vectors plus Gaussian noise that depends only on the row key, position and seed.
 

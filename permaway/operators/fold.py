@@ -5,11 +5,11 @@ and the state left by the rows before it, and returns the output frame and the
 new state. States are JSON values, so the same step also drives the streaming
 form (streaming.stateful).
 
-Rows stream through ``mapInPandas`` in sorted order: no task ever holds a
-whole group. When one key is larger than a task should take, the rows are cut
-into range chunks; every chunk first runs on its own, then the chunks whose
-carried-in state turned out different run again until nothing changes. Only
-one state per chunk reaches the driver.
+The rows are cut into range chunks by key and order and stream through
+``mapInPandas`` sorted: no task ever holds a whole group. For the keys that lie
+in more than one chunk, every chunk first runs on its own, then the chunks
+whose carried-in state turned out different run again until nothing changes.
+Only one state per chunk reaches the driver. Inputs of all sizes take this one path.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from permaway.operators.scan import CHUNK, chunked
-from permaway.session import group_mode
 
 Step = Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]]
 
@@ -53,15 +52,10 @@ def ordered_fold(
     step: Step,
     schema: str,
     *,
-    mode: str | None = None,
     tolerance: float = 1e-12,
     jump: Jump | None = None,
 ) -> DataFrame:
     """Run ``step`` over each key in ``order``; ``schema`` is the DDL of its output."""
-    mode = mode or group_mode(df, keys)
-    if mode == "plain":
-        placed = df.repartition(*keys) if keys else df.repartition(1)
-        return placed.sortWithinPartitions(*keys, *order).mapInPandas(_emitter(keys, step, {}), schema)
     stored = chunked(df, keys, order)
     split = _split_keys(stored, keys)
     carries = _follow(split, keys, step, jump) if jump else _settle(split, keys, step, tolerance)

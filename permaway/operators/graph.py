@@ -49,7 +49,7 @@ def train_features(trains: DataFrame) -> Column:
 
 
 def corridor_graph(
-    trains: DataFrame, stations: DataFrame, segments: DataFrame, defects: DataFrame, *, mode: str | None = None
+    trains: DataFrame, stations: DataFrame, segments: DataFrame, defects: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges from trains (id, km, speed, delay, priority, direction) and the corridor dimensions.
 
@@ -59,29 +59,29 @@ def corridor_graph(
     """
     on = durable(range_lookup(
         trains.select("id", "km"), segments.withColumnRenamed("id", "segment"), at="km", order="seg_order",
-        start="start_km", end="end_km", keep=["segment"], point_id="id", mode=mode,
+        start="start_km", end="end_km", keep=["segment"], point_id="id",
     ).filter(F.col("segment").isNotNull()))
     runs = on.select(F.concat(F.lit("train-"), "id").alias("src"), F.col("segment").alias("dst"), F.lit("runs_on").alias("type"), F.lit(1.0).alias("weight"))
     stops = nearest_lookup(
-        trains.select("id", "km"), stations, at="km", place_at="km", place_id="id", point_id="id", within=5.0, mode=mode
+        trains.select("id", "km"), stations, at="km", place_at="km", place_id="id", point_id="id", within=5.0
     ).select(
         F.concat(F.lit("train-"), "id").alias("src"), F.concat(F.lit("stn-"), "nearest").alias("dst"),
         F.lit("stops_at").alias("type"), F.lit(1.0).alias("weight"),
     )
-    follows = following_edges(trains, [], "km", "id", mode=mode).select(
+    follows = following_edges(trains, [], "km", "id").select(
         F.concat(F.lit("train-"), "src").alias("src"), F.concat(F.lit("train-"), "dst").alias("dst"), "type", "weight"
     )
-    hops = following_edges(stations.withColumnRenamed("id", "s"), [], "km", "s", within=float("inf"), mode=mode)
+    hops = following_edges(stations.withColumnRenamed("id", "s"), [], "km", "s", within=float("inf"))
     both_ways = lambda s, d: F.struct(F.concat(F.lit("stn-"), s).alias("src"), F.concat(F.lit("stn-"), d).alias("dst"))
     connects = hops.select(F.explode(F.array(both_ways("src", "dst"), both_ways("dst", "src"))).alias("e"), "weight").select(
         "e.*", F.lit("connects_to").alias("type"), "weight"
     )
-    feeds = following_edges(segments.select("seg_order", F.col("id").alias("g")), [], "seg_order", "g", within=1.5, mode=mode).select(
+    feeds = following_edges(segments.select("seg_order", F.col("id").alias("g")), [], "seg_order", "g", within=1.5).select(
         "src", "dst", F.lit("feeds_into").alias("type"), F.lit(1.0).alias("weight")
     )
     edges = runs.unionByName(stops).unionByName(follows).unionByName(connects).unionByName(feeds)
     held = on.groupBy(F.col("segment").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("occupancy"))
-    marked = defect_marks(segments, defects, scan_mode=mode).join(held, "id", "left")
+    marked = defect_marks(segments, defects).join(held, "id", "left")
     nodes = (
         trains.select(F.concat(F.lit("train-"), "id").alias("id"), F.lit("train").alias("type"), train_features(trains).alias("features"))
         .unionByName(stations.select(

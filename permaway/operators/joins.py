@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from permaway.functions.scalars import one_per_key
 from permaway.operators.fold import Jump, ordered_fold
 from permaway.operators.scan import earlier_max, last_known, next_known, ordered_scan, running_max
-from permaway.session import union_mode
 from permaway.sources.corridor import CONFIG_FIELDS, TRAIN_CONFIGS
 
 
@@ -63,7 +62,7 @@ def _change_ranges(summary: dict, before: list) -> list:
 
 def range_lookup(
     points: DataFrame, ranges: DataFrame, *, at: str, order: str, start: str, end: str, keep: list[str],
-    point_id: str, mode: str | None = None,
+    point_id: str,
 ) -> DataFrame:
     """Add the first range (by its unique integer ``order``) that holds each point, both ends included.
 
@@ -71,7 +70,6 @@ def range_lookup(
     wins from there on; points take the entry before them in one ordered scan
     and fetch the range by an equi join. No point meets every range.
     """
-    mode = mode or union_mode(points, ranges)
     ends = ranges.select(
         F.col(order).cast("bigint").alias("_order"),
         F.explode(F.array(
@@ -80,7 +78,7 @@ def range_lookup(
         )).alias("_e"),
     ).select("_e.*", "_order")
     winners = ordered_fold(
-        ends, [], ["_at", "_kind", "_order"], _first_open_range, "_at double, _kind int, _seq bigint, _hit bigint", mode=mode,
+        ends, [], ["_at", "_kind", "_order"], _first_open_range, "_at double, _kind int, _seq bigint, _hit bigint",
         jump=Jump(_range_changes, _change_ranges, ["_order", "_kind"]),
     )
     # Order at one place: starts (0), points (1), ends (2).
@@ -93,7 +91,7 @@ def range_lookup(
             F.lit(None).cast(points.schema).alias("_p"),
         )
     )
-    seen = ordered_scan(both, [], ["_at", "_kind", "_id"], [last_known("_w", "_last")], mode=mode)
+    seen = ordered_scan(both, [], ["_at", "_kind", "_id"], [last_known("_w", "_last")])
     placed = seen.filter(F.col("_p").isNotNull()).select("_p.*", F.col("_last.hit").alias("_hit"))
     named = ranges.select(
         F.col(order).cast("bigint").alias("_hit"),
@@ -104,13 +102,12 @@ def range_lookup(
 
 def nearest_lookup(
     points: DataFrame, places: DataFrame, *, at: str, place_at: str, place_id: str, point_id: str,
-    within: float | None = None, mode: str | None = None,
+    within: float | None = None,
 ) -> DataFrame:
     """Add ``nearest`` and ``distance``: the place closest on the line; on a tie the one before.
 
     With ``within``, only points closer than that are kept.
     """
-    mode = mode or union_mode(points, places)
     both = points.select(
         F.col(at).cast("double").alias("_at"), F.struct("*").alias("_p"), F.lit(None).cast("string").alias("_place"),
         F.col(point_id).cast("string").alias("_id"), F.lit(1).alias("_kind"),
@@ -123,7 +120,7 @@ def nearest_lookup(
     )
     mark = F.when(F.col("_place").isNotNull(), F.struct("_at", "_place"))
     seen = ordered_scan(
-        both, [], ["_at", "_kind", "_id"], [last_known(mark, "_b"), next_known(mark, "_a")], mode=mode
+        both, [], ["_at", "_kind", "_id"], [last_known(mark, "_b"), next_known(mark, "_a")]
     ).filter(F.col("_p").isNotNull())
     before, after = F.col("_at") - F.col("_b._at"), F.col("_a._at") - F.col("_at")
     use_after = F.col("_b").isNull() | (after < before)
@@ -135,24 +132,23 @@ def nearest_lookup(
     return out if within is None else out.filter(F.col("distance") < within)
 
 
-def signal_aspects(signals: DataFrame, trains: DataFrame, *, signal: str, km: str, mode: str | None = None) -> DataFrame:
+def signal_aspects(signals: DataFrame, trains: DataFrame, *, signal: str, km: str) -> DataFrame:
     """Add ``aspect``: red under 2 km to the nearest train, yellow under 5, else green."""
     seen = nearest_lookup(
-        signals, trains.select("km").distinct(), at=km, place_at="km", place_id="km", point_id=signal, mode=mode
+        signals, trains.select("km").distinct(), at=km, place_at="km", place_id="km", point_id=signal
     )
     d = F.col("distance")
     return seen.withColumn("aspect", F.when(d < 2, "red").when(d < 5, "yellow").otherwise("green")).drop("nearest")
 
 
 def defect_marks(
-    segments: DataFrame, defects: DataFrame, *, segment: str = "id", mode: str = "touch", scan_mode: str | None = None
+    segments: DataFrame, defects: DataFrame, *, segment: str = "id", mode: str = "touch"
 ) -> DataFrame:
     """Add ``has_defect`` to segments (start_km, end_km) by defects (start_km, end_km).
 
     ``touch``: an end of a defect lies inside the segment. ``overlap``: the
     two share any place, also when the defect spans the whole segment.
     """
-    scan_mode = scan_mode or union_mode(segments, defects)
     segs = segments.select(
         F.struct("*").alias("_s"), F.col("start_km").alias("_lo"), F.col("end_km").alias("_hi"),
         F.col(segment).cast("string").alias("_id"),
@@ -166,14 +162,14 @@ def defect_marks(
                 empty.alias("_s"), none.alias("_hi"), "_at", F.col("_at").alias("_d"), F.lit("").alias("_id"), F.lit(1).alias("_kind")
             )
         )
-        seen = ordered_scan(both, [], ["_at", "_kind", "_id"], [next_known("_d", "_next")], mode=scan_mode)
+        seen = ordered_scan(both, [], ["_at", "_kind", "_id"], [next_known("_d", "_next")])
         hit = F.col("_next") <= F.col("_hi")
     elif mode == "overlap":
         spans = defects.groupBy(F.col("start_km").alias("_at")).agg(F.max("end_km").alias("_d"))
         both = segs.select("_s", "_lo", F.col("_hi").alias("_at"), none.alias("_d"), "_id", F.lit(1).alias("_kind")).unionByName(
             spans.select(empty.alias("_s"), none.alias("_lo"), "_at", "_d", F.lit("").alias("_id"), F.lit(0).alias("_kind"))
         )
-        seen = ordered_scan(both, [], ["_at", "_kind", "_id"], [running_max("_d", "_reach")], mode=scan_mode)
+        seen = ordered_scan(both, [], ["_at", "_kind", "_id"], [running_max("_d", "_reach")])
         hit = F.col("_reach") >= F.col("_lo")
     else:
         raise ValueError(mode)
@@ -190,7 +186,7 @@ def zone_of(df: DataFrame, zones: DataFrame, place: str, kind: str = "stations")
 
 def slot_conflicts(
     slots: DataFrame, keys: list[str], *, enter: str = "enterAt", leave: str = "exitAt", slot: str = "slot_id",
-    train: str = "trainId", same_train: bool = True, mode: str | None = None,
+    train: str = "trainId", same_train: bool = True,
 ) -> DataFrame:
     """Add ``conflict``: the slot overlaps an earlier-entering slot on the same key.
 
@@ -205,7 +201,7 @@ def slot_conflicts(
         order = [enter, slot]
         # An empty or reversed window can overlap nothing.
         until = F.when(F.col(enter) < F.col(leave), F.col(leave))
-        seen = ordered_scan(usable, keys, order, [earlier_max(until, "_before")], mode=mode)
+        seen = ordered_scan(usable, keys, order, [earlier_max(until, "_before")])
         hit = (F.col(enter) < F.col(leave)) & (F.col("_before") > F.col(enter))
         return seen.withColumn("conflict", F.coalesce(hit, F.lit(False))).drop("_before")
     spans = usable.select(
@@ -214,7 +210,7 @@ def slot_conflicts(
     )
     kind = spans.schema[slot].dataType.simpleString()
     flags = ordered_fold(
-        spans, keys, ["_enter", slot], _rival_conflicts(slot), f"{slot} {kind}, conflict boolean", mode=mode,
+        spans, keys, ["_enter", slot], _rival_conflicts(slot), f"{slot} {kind}, conflict boolean",
         jump=Jump(lambda _, reached: reached, lambda own, before: _latest_two(own + before), []),
     )
     return usable.join(flags, slot)
@@ -281,14 +277,13 @@ def retention_days(category: Column) -> Column:
 
 
 def retention_due(
-    rows: DataFrame, holds: DataFrame, as_of: Column, *, ts: str = "ts", row_id: str = "row_id", mode: str | None = None
+    rows: DataFrame, holds: DataFrame, as_of: Column, *, ts: str = "ts", row_id: str = "row_id"
 ) -> DataFrame:
     """Rows past their time to live that no active hold covers, by alert id or by time range.
 
     The time test is a scan: a row is covered when the furthest end among the
     holds that started by then is not before it.
     """
-    mode = mode or union_mode(rows, holds)
     expired = rows.filter(F.col(ts) < as_of - F.make_interval(days=retention_days(F.col("category"))))
     active = holds.filter("active")
     by_id = active.filter(F.col("alert_id").isNotNull()).select("alert_id").distinct()
@@ -303,16 +298,15 @@ def retention_due(
             F.lit("").alias("_id"), F.lit(0).alias("_kind"),
         )
     )
-    seen = ordered_scan(both, [], ["_at", "_kind", "_id"], [running_max("_end", "_held")], mode=mode)
+    seen = ordered_scan(both, [], ["_at", "_kind", "_id"], [running_max("_end", "_held")])
     kept = F.col("_held").isNull() | (F.col("_held") < F.col("_at"))
     return seen.filter(F.col("_row").isNotNull() & kept).select("_row.*")
 
 
 def detection_rate(
-    patterns: DataFrame, anomalies: DataFrame, *, seconds: int = 60, least: float = 0.80, mode: str | None = None
+    patterns: DataFrame, anomalies: DataFrame, *, seconds: int = 60, least: float = 0.80
 ) -> DataFrame:
     """Share of injected patterns (pattern_id, ts) followed by an anomaly (ts) within the window."""
-    mode = mode or union_mode(patterns, anomalies)
     none = F.lit(None).cast("timestamp")
     both = patterns.select(
         F.col("ts").alias("_at"), F.col("pattern_id").cast("string").alias("_id"), none.alias("_seen"), F.lit(0).alias("_kind")
@@ -321,7 +315,7 @@ def detection_rate(
             F.col("ts").alias("_at"), F.lit("").alias("_id"), F.col("ts").alias("_seen"), F.lit(1).alias("_kind")
         )
     )
-    seen = ordered_scan(both, [], ["_at", "_kind", "_id"], [next_known("_seen", "_next")], mode=mode)
+    seen = ordered_scan(both, [], ["_at", "_kind", "_id"], [next_known("_seen", "_next")])
     hit = F.col("_next") <= F.col("_at") + F.make_interval(secs=F.lit(seconds))
     return (
         seen.filter(F.col("_kind") == 0)
@@ -335,7 +329,7 @@ def detection_rate(
 
 
 def as_of_join(
-    left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], *, row_id: str, mode: str | None = None
+    left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], *, row_id: str
 ) -> DataFrame:
     """Add the last right-hand ``values`` at or before each left row of the same key."""
     hold = F.struct(*values)
@@ -348,13 +342,13 @@ def as_of_join(
             "_k", "_at", F.lit(None).cast(left.schema).alias("_l"), "_r", F.lit("").alias("_id"), F.lit(0).alias("_kind")
         )
     )
-    seen = ordered_scan(both, ["_k"], ["_at", "_kind", "_id"], [last_known("_r", "_v")], mode=mode)
+    seen = ordered_scan(both, ["_k"], ["_at", "_kind", "_id"], [last_known("_r", "_v")])
     return seen.filter(F.col("_l").isNotNull()).select("_l.*", *[F.col(f"_v.{v}").alias(f"right_{v}") for v in values])
 
 
-def position_error(simulated: DataFrame, recorded: DataFrame, *, row_id: str, mode: str | None = None) -> DataFrame:
+def position_error(simulated: DataFrame, recorded: DataFrame, *, row_id: str) -> DataFrame:
     """Mean absolute difference between simulated and last recorded position (train, ts, km), in metres."""
-    paired = as_of_join(simulated, recorded, "train", "ts", ["km"], row_id=row_id, mode=mode)
+    paired = as_of_join(simulated, recorded, "train", "ts", ["km"], row_id=row_id)
     err = F.avg(F.abs(F.col("km") - F.col("right_km")) * 1000)
     return paired.agg(F.count("right_km").alias("steps"), err.alias("mae_m")).withColumn("passed", F.col("mae_m") <= 500)
 
@@ -470,8 +464,11 @@ def acknowledged(anomalies: DataFrame, acknowledgements: DataFrame) -> DataFrame
 
 
 def rollout_targets(deployments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(model, node) pairs: the listed nodes, or every alive and healthy node when the list is empty."""
-    listed = deployments.filter(F.size("targets") > 0).select("model", F.explode("targets").alias("node_id"))
-    healthy = nodes.filter("alive AND health = 'HEALTHY'").select("node_id", F.lit(1).alias("_all"))
-    open_ = deployments.filter(F.coalesce(F.size("targets"), F.lit(0)) <= 0).select("model", F.lit(1).alias("_all"))
-    return listed.unionByName(open_.join(healthy, "_all").select("model", "node_id"))
+    """Model, node_id and healthy_nodes: one row for each listed node; a deployment without a list goes to every alive
+    and healthy node and is one row with their number."""
+    healthy = nodes.filter("alive AND health = 'HEALTHY'").agg(F.count(F.lit(1)).alias("healthy_nodes"))
+    listed = deployments.filter(F.size("targets") > 0).select("model", F.explode("targets").alias("node_id"), F.lit(None).cast("bigint").alias("healthy_nodes"))
+    open_ = deployments.filter(F.coalesce(F.size("targets"), F.lit(0)) <= 0).select(
+        "model", F.lit(None).cast("bigint").alias("node_id"), healthy.scalar().alias("healthy_nodes")
+    )
+    return listed.unionByName(open_)

@@ -22,14 +22,14 @@ STAGES = [
 
 
 def run_position(
-    df: DataFrame, keys: list[str], order: list[str], bad: Column, alias: str = "run", *, mode: str | None = None
+    df: DataFrame, keys: list[str], order: list[str], bad: Column, alias: str = "run"
 ) -> DataFrame:
     """Add the length of the current run of ``bad`` rows (0 on any other row)."""
     flag = F.coalesce(bad, F.lit(False))
     at_reset = F.when(F.col("_bad") == 0, F.col("_upto"))
     runs = ordered_scan(
         df.withColumn("_bad", F.when(flag, 1).otherwise(0)), keys, order,
-        [running_sum("_bad", "_upto")], [last_known(at_reset, "_reset")], mode=mode,
+        [running_sum("_bad", "_upto")], [last_known(at_reset, "_reset")],
     )
     return runs.withColumn(alias, F.when(F.col("_bad") == 1, F.col("_upto") - F.coalesce("_reset", F.lit(0))).otherwise(0)).drop(
         "_bad", "_upto", "_reset"
@@ -37,10 +37,10 @@ def run_position(
 
 
 def failure_runs(
-    df: DataFrame, keys: list[str], order: list[str], failed: Column, *, threshold: int = 3, mode: str | None = None
+    df: DataFrame, keys: list[str], order: list[str], failed: Column, *, threshold: int = 3
 ) -> DataFrame:
     """The rows at which a run of failures reaches the threshold; the count then starts again."""
-    return run_position(df, keys, order, failed, "run", mode=mode).filter(
+    return run_position(df, keys, order, failed, "run").filter(
         (F.col("run") > 0) & (F.col("run") % threshold == 0)
     )
 
@@ -57,33 +57,33 @@ def dead_letters(fired: DataFrame, *, source: str, payload: str, adapter: str, v
 
 
 def drift_streaks(
-    df: DataFrame, keys: list[str], order: list[str], score: str, *, limit: float = 0.2, days: int = 3, mode: str | None = None
+    df: DataFrame, keys: list[str], order: list[str], score: str, *, limit: float = 0.2, days: int = 3
 ) -> DataFrame:
     """Add ``consecutive``, ``warning`` (from the third violation on) and ``alert`` (once per streak)."""
-    out = run_position(df, keys, order, F.col(score) >= limit, "consecutive", mode=mode)
+    out = run_position(df, keys, order, F.col(score) >= limit, "consecutive")
     return out.withColumns({"warning": F.col("consecutive") >= days, "alert": F.col("consecutive") == days})
 
 
 def zone_isolation(
-    df: DataFrame, zone: str, order: list[str], restored: Column, *, threshold: int = 3, mode: str | None = None
+    df: DataFrame, zone: str, order: list[str], restored: Column, *, threshold: int = 3
 ) -> DataFrame:
     """Add ``alert_count`` since the last restore, ``isolated`` and ``entered`` (once until restored)."""
-    out = run_position(df, [zone], order, ~F.coalesce(restored, F.lit(False)), "alert_count", mode=mode)
+    out = run_position(df, [zone], order, ~F.coalesce(restored, F.lit(False)), "alert_count")
     return out.withColumns({"isolated": F.col("alert_count") >= threshold, "entered": F.col("alert_count") == threshold})
 
 
-def headway_pairs(df: DataFrame, segment: str, order: list[str], train: str, *, mode: str | None = None) -> DataFrame:
+def headway_pairs(df: DataFrame, segment: str, order: list[str], train: str) -> DataFrame:
     """Consecutive trains on a segment as edges."""
-    seen = ordered_scan(df.filter(F.col(segment) != ""), [segment], order, [following(train, "dst")], mode=mode)
+    seen = ordered_scan(df.filter(F.col(segment) != ""), [segment], order, [following(train, "dst")])
     return seen.filter(F.col("dst").isNotNull()).select(segment, F.col(train).alias("src"), "dst")
 
 
 def following_edges(
-    df: DataFrame, keys: list[str], km: str, train: str, *, within: float = 10.0, mode: str | None = None
+    df: DataFrame, keys: list[str], km: str, train: str, *, within: float = 10.0
 ) -> DataFrame:
     """Edges between neighbouring trains less than ``within`` km apart, weight 1/gap."""
     pair = F.struct(F.col(km).alias("km"), F.col(train).alias("train"))
-    seen = ordered_scan(df, keys, [km, train], [previous(pair, "_p")], mode=mode)
+    seen = ordered_scan(df, keys, [km, train], [previous(pair, "_p")])
     gap = F.col(km) - F.col("_p.km")
     return seen.filter((gap > 0) & (gap < within)).select(
         *keys, F.col("_p.train").alias("src"), F.col(train).alias("dst"), F.lit("follows").alias("type"),
@@ -150,7 +150,7 @@ def upsert_merge(df: DataFrame, key: str, order: list[str], updated: list[str])
 
 
 def segment_admission(
-    df: DataFrame, segment: str, train: str, order: list[str], *, capacity: Column | int = 1, mode: str | None = None
+    df: DataFrame, segment: str, train: str, order: list[str], *, capacity: Column | int = 1
 ) -> DataFrame:
     """Add ``accepted``: the train is among the first ``capacity`` different trains of its segment.
 
@@ -159,7 +159,7 @@ def segment_admission(
     """
     limit = capacity if isinstance(capacity, Column) else F.lit(capacity)
     arrivals = df.groupBy(segment, train).agg(F.min(F.struct(*order)).alias("_first"))
-    ranked = ordered_scan(arrivals, [segment], ["_first", train], [row_number("_rank")], mode=mode)
+    ranked = ordered_scan(arrivals, [segment], ["_first", train], [row_number("_rank")])
     admitted = ranked.filter(F.col("_rank") <= limit).select(segment, train, F.lit(True).alias("_in"))
     placed = df.join(admitted, [segment, train], "left")
     no_segment = F.coalesce(F.col(segment).cast("string"), F.lit("")) == ""
@@ -174,11 +174,11 @@ def latest_occupancy(df: DataFrame, segment: str, train: str, order: list[str])
 
 
 def bounded_buffer(
-    df: DataFrame, node: str, event_id: str, ts: str, *, size: int = 864_000, mode: str | None = None
+    df: DataFrame, node: str, event_id: str, ts: str, *, size: int = 864_000
 ) -> DataFrame:
     """Add ``kept``: among the newest ``size`` events of the node; repeated ids count once, the earliest stays."""
     once = one_per_key(df, [node, event_id], [ts])
-    seen = ordered_scan(once, [node], [ts, event_id], [row_number("_rank")], descending=True, mode=mode)
+    seen = ordered_scan(once, [node], [ts, event_id], [row_number("_rank")], descending=True)
     return seen.withColumn("kept", F.col("_rank") <= size).drop("_rank")
 
 
@@ -196,18 +196,18 @@ def escalation_timeout(tier: Column) -> Column:
     return F.coalesce(table[tier], F.lit(600.0))
 
 
-def reliability_flips(df: DataFrame, keys: list[str], order: list[str], reliable: str, *, mode: str | None = None) -> DataFrame:
+def reliability_flips(df: DataFrame, keys: list[str], order: list[str], reliable: str) -> DataFrame:
     """Rows where the flag changes; before the first row it counts as reliable."""
-    seen = ordered_scan(df, keys, order, [previous(reliable, "_was")], mode=mode)
+    seen = ordered_scan(df, keys, order, [previous(reliable, "_was")])
     return seen.filter(F.col(reliable) != F.coalesce("_was", F.lit(True))).drop("_was")
 
 
 def counter_increase(
     df: DataFrame, keys: list[str], order: list[str], value: str, ts: str, *,
-    window: str = "5 minutes", step: str | None = None, mode: str | None = None,
+    window: str = "5 minutes", step: str | None = None,
 ) -> DataFrame:
     """Increase and per-second rate of a counter by window, with resets; a reset adds the new value."""
-    seen = ordered_scan(df, keys, order, [previous(value, "_was")], mode=mode)
+    seen = ordered_scan(df, keys, order, [previous(value, "_was")])
     delta = F.when(F.col("_was").isNull(), F.lit(0.0)).when(F.col(value) < F.col("_was"), F.col(value)).otherwise(
         F.col(value) - F.col("_was")
     )
@@ -220,15 +220,14 @@ def counter_increase(
 
 
 def sustained_alerts(
-    df: DataFrame, keys: list[str], order: list[str], condition: Column, ts_seconds: Column, hold_s: float, *,
-    mode: str | None = None,
+    df: DataFrame, keys: list[str], order: list[str], condition: Column, ts_seconds: Column, hold_s: float
 ) -> DataFrame:
     """Rows at which the condition has held since ``hold_s`` seconds; first such row of each stretch is ``fired``."""
     on = F.coalesce(condition, F.lit(False))
     base = df.withColumns({"_on": on, "_t": ts_seconds})
     begins = F.when(F.col("_on") & ~F.coalesce("_was", F.lit(False)), F.col("_t"))
     held = ordered_scan(
-        base, keys, order, [previous("_on", "_was"), previous("_t", "_pt")], [last_known(begins, "_since")], mode=mode
+        base, keys, order, [previous("_on", "_was"), previous("_t", "_pt")], [last_known(begins, "_since")]
     )
     long_enough = F.col("_on") & (F.col("_t") - F.col("_since") >= hold_s)
     before = F.coalesce("_was", F.lit(False)) & (F.col("_pt") - F.col("_since") >= hold_s)
@@ -237,17 +236,17 @@ def sustained_alerts(
 
 def headway_breaches(
     df: DataFrame, keys: list[str], order: list[str], enter_s: Column, exit_s: Column, *,
-    least_s: float = 180.0, mode: str | None = None,
+    least_s: float = 180.0,
 ) -> DataFrame:
     """Slots that begin less than ``least_s`` seconds after the slot before them ended, with the ``gap_s``."""
     base = df.withColumns({"_in": enter_s, "_out": exit_s})
-    seen = ordered_scan(base, keys, order, [previous("_out", "_p")], mode=mode)
+    seen = ordered_scan(base, keys, order, [previous("_out", "_p")])
     return seen.withColumn("gap_s", F.col("_in") - F.col("_p")).filter(F.col("gap_s") < least_s).drop("_in", "_out", "_p")
 
 
 def gap_fill(
     df: DataFrame, asset: str, ts_s: str, features: list[str], tie: str, *,
-    longest_gap_s: float = 300.0, most: int = 1799, mode: str | None = None,
+    longest_gap_s: float = 300.0, most: int = 1799,
 ) -> DataFrame:
     """Readings plus linearly interpolated rows in gaps over ``longest_gap_s``; repeats in time are dropped.
 
@@ -258,7 +257,7 @@ def gap_fill(
     once = df.groupBy(asset, ts_s).agg(F.min_by(F.struct(*features), tie).alias("_f"))
     seen = ordered_scan(
         once.withColumn("_now", F.struct(F.col(ts_s).alias("t"), F.col("_f").alias("f"))), [asset], [ts_s],
-        [previous("_now", "_p")], mode=mode,
+        [previous("_now", "_p")],
     )
     gap = F.col(ts_s) - F.col("_p.t")
     n = F.when(gap > longest_gap_s, F.least(F.rint(gap).cast("int") - 1, F.lit(most))).otherwise(0)
@@ -276,11 +275,11 @@ def gap_fill(
 
 
 def tumbling_windows(
-    df: DataFrame, keys: list[str], order: list[str], size: int = 1800, *, complete: bool = True, mode: str | None = None
+    df: DataFrame, keys: list[str], order: list[str], size: int = 1800, *, complete: bool = True
 ) -> DataFrame:
     """Add ``win`` and ``pos``: windows of ``size`` consecutive rows; incomplete ones are dropped."""
     scans = [row_number("_rn")] + ([total(F.lit(1), "_all")] if complete else [])
-    seen = ordered_scan(df, keys, order, scans, mode=mode)
+    seen = ordered_scan(df, keys, order, scans)
     out = seen.withColumns({"win": F.floor((F.col("_rn") - 1) / size), "pos": F.pmod(F.col("_rn") - 1, F.lit(size))})
     if complete:
         out = out.filter((F.col("win") + 1) * size <= F.col("_all")).drop("_all")
@@ -295,10 +294,10 @@ def window_quality(windows: DataFrame, keys: list[str], flag: str = "is_interpol
 
 
 def sliding_windows(
-    df: DataFrame, keys: list[str], order: list[str], size: int = 60, step: int = 10, *, mode: str | None = None
+    df: DataFrame, keys: list[str], order: list[str], size: int = 60, step: int = 10
 ) -> DataFrame:
     """One copy of each row per complete sliding window that holds it: ``win`` and ``pos``."""
-    seen = ordered_scan(df, keys, order, [row_number("_rn"), total(F.lit(1), "_all")], mode=mode)
+    seen = ordered_scan(df, keys, order, [row_number("_rn"), total(F.lit(1), "_all")])
     at = F.col("_rn") - 1
     first = F.greatest(F.lit(0), F.ceil((at - (size - 1)) / step))
     last = F.least(F.floor(at / step), F.floor((F.col("_all") - size) / step))
@@ -307,11 +306,11 @@ def sliding_windows(
 
 
 def window_evidence(
-    df: DataFrame, keys: list[str], order: list[str], evidence: list[str], size: int = 60, step: int = 10, *, mode: str | None = None
+    df: DataFrame, keys: list[str], order: list[str], evidence: list[str], size: int = 60, step: int = 10
 ) -> DataFrame:
     """Complete sliding windows with their rows in order; a list holds exactly ``size`` rows."""
     held = F.array_sort(F.collect_list(F.struct("pos", *evidence)))
-    return sliding_windows(df, keys, order, size, step, mode=mode).groupBy(*keys, "win").agg(
+    return sliding_windows(df, keys, order, size, step).groupBy(*keys, "win").agg(
         F.transform(held, lambda h: F.struct(*[h[c].alias(c) for c in evidence])).alias("evidence")
     )
 
@@ -324,29 +323,29 @@ def stale_flags(df: DataFrame, keys: list[str], ts: str, as_of: Column, *, secon
 
 
 def stratified_split(
-    df: DataFrame, stratum: str, row_id: str, *, seed: int = 42, train: float = 0.8, val: float = 0.1, mode: str | None = None
+    df: DataFrame, stratum: str, row_id: str, *, seed: int = 42, train: float = 0.8, val: float = 0.1
 ) -> DataFrame:
     """Add ``split``: train, val or test by a seeded shuffle inside each stratum."""
     shuffled = df.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(seed)))
-    seen = ordered_scan(shuffled, [stratum], ["_h", row_id], [row_number("_rn"), total(F.lit(1), "_n")], mode=mode)
+    seen = ordered_scan(shuffled, [stratum], ["_h", row_id], [row_number("_rn"), total(F.lit(1), "_n")])
     n_train, n_val = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
     split = F.when(F.col("_rn") <= n_train, "train").when(F.col("_rn") <= n_train + n_val, "val").otherwise("test")
     return seen.withColumn("split", split).drop("_h", "_rn", "_n")
 
 
-def changed_only(df: DataFrame, keys: list[str], order: list[str], state: list[str], *, mode: str | None = None) -> DataFrame:
+def changed_only(df: DataFrame, keys: list[str], order: list[str], state: list[str]) -> DataFrame:
     """Rows whose state differs from the row before; the first row of a key counts as changed."""
     hashed = df.withColumn("_hash", change_hash(*[F.col(s) for s in state]))
-    seen = ordered_scan(hashed, keys, order, [previous("_hash", "_was")], mode=mode)
+    seen = ordered_scan(hashed, keys, order, [previous("_hash", "_was")])
     return seen.filter(~F.col("_hash").eqNullSafe(F.col("_was"))).drop("_hash", "_was")
 
 
 def feed_silences(
     df: DataFrame, keys: list[str], order: list[str], ts_s: Column, *, seconds: float = 10.0,
-    as_of_s: float | Column | None = None, mode: str | None = None,
+    as_of_s: float | Column | None = None,
 ) -> DataFrame:
     """One row per stretch without messages of at least ``seconds``, up to ``as_of_s`` for the last message."""
     base = df.withColumn("_t", ts_s)
-    seen = ordered_scan(base, keys, order, [following("_t", "_n")], mode=mode)
+    seen = ordered_scan(base, keys, order, [following("_t", "_n")])
     until = F.col("_n") if as_of_s is None else F.coalesce("_n", as_of_s if isinstance(as_of_s, Column) else F.lit(as_of_s))
     return seen.withColumn("silent_s", until - F.col("_t")).filter(F.col("silent_s") >= seconds).drop("_t", "_n")

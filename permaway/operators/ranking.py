@@ -116,9 +116,9 @@ def best_nodes(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def alert_groups(df: DataFrame, by: list[str], order: list[str], most: int = 10, *, mode: str | None = None) -> DataFrame:
+def alert_groups(df: DataFrame, by: list[str], order: list[str], most: int = 10) -> DataFrame:
     """Per group: how many alerts, and the first ones as an ordered list of at most ``most``."""
-    ranked = ordered_scan(df, by, order, [row_number("_rn")], mode=mode)
+    ranked = ordered_scan(df, by, order, [row_number("_rn")])
     sent = F.when(F.col("_rn") <= most, F.struct(F.col("_rn").alias("n"), F.struct(*order).alias("alert")))
     listed = F.transform(F.array_sort(F.collect_list(sent)), lambda x: x["alert"])  # at most `most` entries
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("alerts"), listed.alias("sent"))

@@ -24,7 +24,6 @@ AXLE_KEYS = {"wheel_load_left_kn": "wheel_load_left", "wheel_load_right_kn": "wh
 FEED_KEYS = {name: name for name in FEATURES}
 
 HORIZON_HOURS = 72
-HEALTH_LEVELS = ["HEALTHY", "DEGRADED", "OVERLOADED", "OFFLINE"]
 
 
 def feature_vector(payload: Column, keys: dict[str, str]) -> Column:
@@ -138,6 +137,14 @@ def privilege_alerts(df: DataFrame) -> DataFrame:
     )
 
 
+# Processes, containers and remotes of the runtime rules.
+CONTAINER_RUNTIMES = ["runc", "containerd"]
+IDENTITY_DAEMONS = ["runc", "containerd", "dockerd"]
+FILE_DAEMONS = ["runc", "containerd", "fluentd"]
+WATCHED_CONTAINERS = ["defect-detector", "maintenance-engine", "delay-predictor"]
+KNOWN_REMOTES = ["kafka-bootstrap", "influxdb-primary", "mlflow"]
+
+
 def runtime_rules(namespace: str) -> list[tuple[str, str, Column]]:
     """The four syscall rules as (name, priority, predicate) over flat event columns."""
     inside = F.col("namespace") == namespace
@@ -146,23 +153,23 @@ def runtime_rules(namespace: str) -> list[tuple[str, str, Column]]:
     return [
         (
             "privilege_escalation", "CRITICAL",
-            F.col("syscall").isin("setuid", "setgid") & contained & proc_not("runc", "containerd", "dockerd") & inside,
+            F.col("syscall").isin("setuid", "setgid") & contained & proc_not(*IDENTITY_DAEMONS) & inside,
         ),
         (
             "capability_addition", "CRITICAL",
-            (F.col("syscall") == "capset") & contained & inside & proc_not("runc", "containerd"),
+            (F.col("syscall") == "capset") & contained & inside & proc_not(*CONTAINER_RUNTIMES),
         ),
         (
             "read_only_filesystem", "WARNING",
             F.col("operation").isin("open_write", "rename", "mkdir")
             & (F.col("path").startswith("/etc") | F.col("path").startswith("/proc"))
-            & contained & inside & proc_not("runc", "containerd", "fluentd"),
+            & contained & inside & proc_not(*FILE_DAEMONS),
         ),
         (
             "outbound_connection", "WARNING",
             (F.col("operation") == "connect") & inside
-            & F.col("container").isin("defect-detector", "maintenance-engine", "delay-predictor")
-            & ~F.col("remote").isin("kafka-bootstrap", "influxdb-primary", "mlflow"),
+            & F.col("container").isin(*WATCHED_CONTAINERS)
+            & ~F.col("remote").isin(*KNOWN_REMOTES),
         ),
     ]
 

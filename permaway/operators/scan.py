@@ -1,11 +1,11 @@
 """Ordered column operators that survive a hot key.
 
 ``ordered_scan`` adds running or neighbouring values per key in a given order.
-When the largest group is small it is a plain window. Otherwise the rows are
-range-partitioned by (keys, order), which splits a hot key over many chunks of
-equal size, written down once, scanned chunk by chunk, and joined with the
-state carried in from the earlier chunks of the same key. The carried states
-are at most two rows per chunk, so broadcasting them has a fixed bound.
+The rows are range-partitioned by (keys, order), which splits a hot key over
+many chunks of equal size, written down once, scanned chunk by chunk, and
+joined with the state carried in from the earlier chunks of the same key. The
+carried states are at most two rows per chunk, so broadcasting them has a
+fixed bound. Inputs of all sizes take this one path.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from permaway.session import chunk_count, durable, group_mode
+from permaway.session import chunk_count, durable
 
 CHUNK = "_chunk"
 
@@ -81,21 +81,12 @@ def ordered_scan(
     order: list[str],
     *stages: list[Scan],
     descending: bool = False,
-    mode: str | None = None,
 ) -> DataFrame:
     """Add one column per scan, computed per ``keys`` in ``order``.
 
     A later stage may use the columns of the stages before it; all stages
-    share one shuffle (or one chunked table). ``order`` must be unique within
-    a key and hold no nulls. ``mode`` is ``plain`` or ``chunked``; by default
-    the size of the largest group decides.
+    share one chunked table. ``order`` must be unique within a key and hold no nulls.
     """
-    mode = mode or group_mode(df, keys)
-    if mode == "plain":
-        window = Window.partitionBy(*keys).orderBy(*_ordering(order, descending))
-        for scans in stages:
-            df = df.select("*", *[_local(s, window).alias(s.alias) for s in scans])
-        return df
     seen = chunked(df, keys, order, descending)
     for scans in stages:
         seen = _scan_chunks(seen, keys, order, scans, descending)
@@ -105,7 +96,7 @@ def ordered_scan(
 def chunked(df: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
     """Cut ``df`` into equal range chunks by (keys, order), numbered in ``_chunk``, and write them down."""
     sort = [F.col(k) for k in keys] + _ordering(order, descending)
-    parts = chunk_count(df.sparkSession)
+    parts = chunk_count(df)
     cut = df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
     return durable(cut.withColumn(CHUNK, F.spark_partition_id()))
 
@@ -238,7 +229,7 @@ def _combine(scan: Scan, local: Column, carry: Column) -> Column:
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: list[float], *, mode: str | None = None
+    df: DataFrame, keys: list[str], value: str, probabilities: list[float]
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per key, safe for groups of any size.
 
@@ -246,10 +237,8 @@ def grouped_quantiles(
     ordered scan over the distinct values, so no group is gathered anywhere.
     Returns keys, ``n`` and ``quantiles`` (one array entry per probability).
     """
-    # Distinct values are at most the rows, so the cheap count of rows decides.
-    mode = mode or group_mode(df, keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ordered_scan(counts, keys, [value], [running_sum("_n", "_upto"), total("_n", "n")], mode=mode)
+    ranked = ordered_scan(counts, keys, [value], [running_sum("_n", "_upto"), total("_n", "n")])
     # A value covers the zero-based positions [_upto - _n, _upto - 1].
     picks = []
     for i, p in enumerate(probabilities):

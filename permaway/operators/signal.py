@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from permaway.functions.arrays import haar_step
 from permaway.operators.ordered import tumbling_windows
 from permaway.operators.stateful import kalman_level, run
-from permaway.session import group_mode
 
 # Bands of the usual defects in Hz (fixed values).
 BANDS = [(0, 50), (50, 200), (200, 1000), (1000, 2000)]
@@ -151,12 +150,11 @@ def wavelet_transients(windows: DataFrame, factor: float = 4.0, levels: int = 3)
 
 def window_pipeline(
     df: DataFrame, sensor: str, sensor_type: str, *, size: int = 512, rate_hz: float = 4000.0,
-    levels: int = 4, envelope: bool = False, mode: str | None = None,
+    levels: int = 4, envelope: bool = False,
 ) -> DataFrame:
     """Samples (sensor, t, row_id, value) to window features: smooth, stack, spectrum, wavelet, envelope."""
-    mode = mode or group_mode(df, [sensor])
-    smooth = run(df, [sensor], kalman_level(sensor, sensor_type), mode=mode)
-    numbered = tumbling_windows(smooth, [sensor], ["t", "row_id"], size, mode=mode)
+    smooth = run(df, [sensor], kalman_level(sensor, sensor_type))
+    numbered = tumbling_windows(smooth, [sensor], ["t", "row_id"], size)
     windows = stack_windows(numbered, [sensor, "win"], "filtered")
     x = F.col("samples")
     n = F.size(x)
@@ -180,16 +178,6 @@ def window_pipeline(
     return out.drop("samples")
 
 
-def score_windows(df: DataFrame, score: Callable[[pd.DataFrame], pd.Series], columns: list[str], name: str = "p") -> DataFrame:
-    """Add a score computed on pandas batches; ``score`` may hold a loaded model."""
-    def transform(batches):
-        for pdf in batches:
-            yield pdf.assign(**{name: np.asarray(score(pdf[columns]), dtype=float)})
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {name} double"
-    return df.mapInPandas(transform, schema)
-
-
 def logistic_scorer(train: DataFrame, columns: list[str], label: str):
     """Default scorer: a Spark ML logistic regression; returns ``df -> df`` adding ``p``."""
     from pyspark.ml import Pipeline

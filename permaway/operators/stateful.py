@@ -28,9 +28,9 @@ class Machine:
     jump: Jump | None = None
 
 
-def run(df: DataFrame, keys: list[str], machine: Machine, *, mode: str | None = None) -> DataFrame:
+def run(df: DataFrame, keys: list[str], machine: Machine) -> DataFrame:
     """Batch form of a machine."""
-    return ordered_fold(df, keys, machine.order, machine.step, machine.schema, mode=mode, jump=machine.jump)
+    return ordered_fold(df, keys, machine.order, machine.step, machine.schema, jump=machine.jump)
 
 
 def cooldown(key: str, key_type: str, seconds: float = 60.0) -> Machine:

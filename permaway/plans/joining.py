@@ -336,9 +336,10 @@ def acknowledged(spark, folder):
 
 
 @query("""
-    SELECT n_name AS model, s_suppkey AS node_id FROM nation, supplier WHERE n_regionkey = 0 AND s_acctbal >= 0 AND s_nationkey % 4 <> 0
-    UNION ALL SELECT n_name, CAST(n_nationkey AS BIGINT) FROM nation WHERE n_regionkey <> 0
-    UNION ALL SELECT n_name, CAST(n_nationkey + 100 AS BIGINT) FROM nation WHERE n_regionkey <> 0""")
+    SELECT n_name AS model, CAST(NULL AS BIGINT) AS node_id, (SELECT count(*) FROM supplier WHERE s_acctbal >= 0 AND s_nationkey % 4 <> 0) AS healthy_nodes
+    FROM nation WHERE n_regionkey = 0
+    UNION ALL SELECT n_name, CAST(n_nationkey AS BIGINT), NULL FROM nation WHERE n_regionkey <> 0
+    UNION ALL SELECT n_name, CAST(n_nationkey + 100 AS BIGINT), NULL FROM nation WHERE n_regionkey <> 0""")
 def rollout_targets(spark, folder):
     nodes = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("node_id"), (F.col("s_acctbal") >= 0).alias("alive"),

@@ -42,15 +42,6 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return df.withColumns({"k": F.from_json("props", "k bigint")["k"], "us": F.unix_micros("ts")})
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores, for queries that are heavy per row.
-
-    A table of any size has more splits than cores and passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # The same two columns in SQL.
 EVENTS_SQL = (
     "(SELECT *, CAST(regexp_extract(props, '\"k\": (-?[0-9]+)', 1) AS BIGINT) AS k, epoch_us(ts) AS us FROM events)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from permaway.functions import scalars
 from permaway.operators import braking, federated, graph, ordered, signal, stateful
-from permaway.plans.registry import EVENTS_SQL, col_map, events, query, spread, table
+from permaway.plans.registry import EVENTS_SQL, col_map, events, query, table
 from permaway.sources import corridor
 
 # Events per user with their number, the input of the recursive SQL below.
@@ -74,7 +74,7 @@ def ewma(spark, folder):
       FROM s JOIN r ON r.user_id = s.user_id AND r.rn = s.rn + 1)
     SELECT user_id, event_id AS row_id, round(x, 6) AS filtered FROM s""")
 def kalman(spark, folder):
-    out = stateful.run(readings(spark, folder), ["user_id"], stateful.kalman_level("user_id", "bigint"))
+    out = stateful.run(readings(spark, folder), ["user_id"], stateful.kalman_level("user_id", "bigint")).drop("t")
     return out.withColumn("filtered", F.round("filtered", 6))
 
 
@@ -204,7 +204,7 @@ def signal_pipeline(spark, folder):
 
 @query()
 def stopping_distance(spark, folder):
-    e = spread(events(spark, folder)).select(
+    e = events(spark, folder).select(
         F.col("event_id").alias("row_id"), col_map("event_type", {"click": "vande_bharat", "view": "wdp4d_mail"}, "other").alias("train_type"),
         (F.col("k") * 1.6).alias("speed_kmh"), (20 + F.col("user_id") / 100).alias("lat"), F.lit(77.0).alias("lon"),
         F.when(F.col("event_type") != "error", F.col("value") / 30).alias("vibration_rms"), (F.col("user_id") % 100).cast("double").alias("humidity_pct"),

@@ -1,15 +1,13 @@
-"""Session settings, size limits and durable intermediate tables."""
+"""Session settings, chunk sizes and durable intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A group at or under this many rows is left to one task; larger ones are cut
-# into chunks (see operators.scan and operators.fold).
-MAX_GROUP_ROWS = 5_000_000
+# Bytes of input that a range chunk stands for (see operators.scan and operators.fold).
+CHUNK_BYTES = 32 << 20
 
 
 def build_session(app: str = "permaway", cores: str = "*") -> SparkSession:
@@ -30,14 +28,19 @@ def build_session(app: str = "permaway", cores: str = "*") -> SparkSession:
     )
 
 
-def group_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.permaway.maxGroupRows", str(MAX_GROUP_ROWS)))
+def chunk_count(df: DataFrame) -> int:
+    """How many range chunks the rows of ``df`` are cut into: by the bytes its plan reads, which costs no job.
 
-
-def chunk_count(spark: SparkSession) -> int:
-    """How many range chunks a hot table is cut into."""
-    default = spark.conf.get("spark.sql.shuffle.partitions", "200")
-    return int(spark.conf.get("spark.permaway.chunks", default))
+    At least one for each shuffle partition; ``spark.permaway.chunks`` sets another number.
+    """
+    conf = df.sparkSession.conf
+    fixed = conf.get("spark.permaway.chunks", None)
+    if fixed:
+        return int(fixed)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # a leaf without statistics counts as nothing
+    return max(int(conf.get("spark.sql.shuffle.partitions", "200")), -(-known // CHUNK_BYTES))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -63,22 +66,3 @@ def durable(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows in the largest group; one column-pruned scan with map-side counts."""
-    if not keys:
-        return df.count()
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
-def union_mode(*inputs: DataFrame) -> str:
-    """Mode of a scan over the union of ``inputs`` without a key, by their row counts."""
-    rows = sum(df.count() for df in inputs)
-    return "plain" if rows <= group_limit(inputs[0].sparkSession) else "chunked"
-
-
-def group_mode(df: DataFrame, keys: list[str]) -> str:
-    """``plain`` when every group fits one task, otherwise ``chunked``."""
-    return "plain" if largest_group(df, keys) <= group_limit(df.sparkSession) else "chunked"

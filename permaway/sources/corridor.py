@@ -75,12 +75,6 @@ def zones(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ZONES, "zone string, stations array<string>, segments array<string>")
 
 
-def train_configs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        TRAIN_CONFIGS, "train_type string, " + ", ".join(f"{f} double" for f in CONFIG_FIELDS)
-    )
-
-
 def train_class(train_id: Column) -> Column:
     """Class of a train by the name its id contains; Express when none does."""
     out = F.lit("Express")

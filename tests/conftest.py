@@ -17,11 +17,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def hot(spark):
-    """Every key counts as hot for the time of the test."""
-    spark.conf.set("spark.permaway.maxGroupRows", "0")
-    yield
-    spark.conf.unset("spark.permaway.maxGroupRows")

@@ -40,18 +40,6 @@ def test_query(spark, db, name):
     check(spark, db, name)
 
 
-HOT = [
-    "range_to_segment", "nearest_station", "defect_overlap", "slot_conflicts", "rival_conflicts", "retention_due", "position_error",
-    "failure_runs", "sustained_alerts", "gap_fill", "sliding_windows", "rolling_stats", "psi_by_type", "cooldown_alerts", "thermal_states", "link_states",
-]
-
-
-@pytest.mark.parametrize("name", HOT)
-def test_query_with_hot_keys(spark, db, hot, name):
-    """The same rows when every key is cut into chunks."""
-    check(spark, db, name)
-
-
 def test_entry(spark):
     import __spark_entry__ as contract
 

@@ -31,18 +31,34 @@ def all_scans():
     ]
 
 
+@pytest.fixture
+def chunks(spark):
+    """Sets the number of chunks for the time of the test."""
+    yield lambda n: spark.conf.set("spark.permaway.chunks", str(n))
+    spark.conf.unset("spark.permaway.chunks")
+
+
 @pytest.mark.parametrize("keys", [["key"], []])
 @pytest.mark.parametrize("descending", [False, True])
-def test_chunked_scan_equals_window(skewed, keys, descending):
-    frames = [
-        ordered_scan(skewed, keys, ["t", "row_id"], all_scans(), mode=m, descending=descending).toPandas().sort_values("row_id").reset_index(drop=True)
-        for m in ("plain", "chunked")
-    ]
+def test_chunks_do_not_change_a_scan(skewed, keys, descending, chunks):
+    frames = []
+    for n in (1, 7):
+        chunks(n)
+        out = ordered_scan(skewed, keys, ["t", "row_id"], all_scans(), descending=descending).toPandas()
+        frames.append(out.sort_values("row_id").reset_index(drop=True))
     pd.testing.assert_frame_equal(*frames)
 
 
+def test_chunks_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from permaway import session
+
+    spark.range(200_000).withColumn("x", F.rand(1)).write.parquet(f"{tmp_path}/x")
+    monkeypatch.setattr(session, "CHUNK_BYTES", 100_000)
+    assert session.chunk_count(spark.read.parquet(f"{tmp_path}/x")) > 10
+
+
 def test_scan_against_pandas(skewed):
-    got = ordered_scan(skewed, ["key"], ["t", "row_id"], [previous("value", "p"), running_max("value", "m")], mode="chunked").toPandas()
+    got = ordered_scan(skewed, ["key"], ["t", "row_id"], [previous("value", "p"), running_max("value", "m")]).toPandas()
     pdf = got.sort_values(["t", "row_id"])
     groups = pdf.groupby("key", dropna=False)["value"]
     np.testing.assert_array_equal(pdf["p"], groups.shift())
@@ -52,7 +68,7 @@ def test_scan_against_pandas(skewed):
 def test_row_order_and_partitions_do_not_matter(skewed):
     scans = [running_sum("row_id", "s")]
     a = ordered_scan(skewed.orderBy(F.rand(1)).repartition(7), ["key"], ["t", "row_id"], scans).toPandas()
-    b = ordered_scan(skewed.repartition(2), ["key"], ["t", "row_id"], scans, mode="chunked").toPandas()
+    b = ordered_scan(skewed.repartition(2), ["key"], ["t", "row_id"], scans).toPandas()
     key = lambda d: d.sort_values("row_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(key(a), key(b))
 
@@ -61,7 +77,7 @@ def test_row_order_and_partitions_do_not_matter(skewed):
 def test_quantiles_are_exact(skewed, keys):
     pdf = skewed.toPandas()
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    rows = grouped_quantiles(skewed, keys, "value", probs, mode="chunked").collect()
+    rows = grouped_quantiles(skewed, keys, "value", probs).collect()
     groups = {None: pdf["value"]} if not keys else {k: g["value"] for k, g in pdf.fillna("none").groupby("key")}
     assert len(rows) == len(groups)
     for r in rows:
@@ -93,12 +109,13 @@ def _machines():
 @pytest.mark.parametrize(
     "name", ["cooldown", "average", "kalman", "motion", "failures", "thermal", "silence", "link", "suppression", "windows", "anomalies"]
 )
-def test_chunked_fold_equals_plain(skewed, name):
+def test_chunks_do_not_change_a_fold(skewed, name, chunks):
     machine, extra = {n: (m, e) for n, m, e in _machines()}[name]
     df = skewed.na.fill({"key": "none"}).withColumns(extra) if extra else skewed.na.fill({"key": "none"})
     frames = []
-    for mode in ("plain", "chunked"):
-        out = stateful.run(df, ["key"], machine, mode=mode).toPandas()
+    for n in (1, 7):
+        chunks(n)
+        out = stateful.run(df, ["key"], machine).toPandas()
         frames.append(out.sort_values([c for c in out.columns if out[c].dtype != float] + [c for c in out.columns if out[c].dtype == float]).reset_index(drop=True))
     assert len(frames[0])
     pd.testing.assert_frame_equal(*frames, rtol=1e-9)
@@ -111,7 +128,7 @@ def test_fold_streams_a_group_in_batches(spark, skewed):
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
     try:
-        out = ordered_fold(skewed.filter("key = 'hot'"), ["key"], ["t", "row_id"], step, "rows bigint, before bigint", mode="plain").toPandas()
+        out = ordered_fold(skewed.filter("key = 'hot'"), ["key"], ["t", "row_id"], step, "rows bigint, before bigint").toPandas()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(out) > 1 and out["rows"].max() <= 200

@@ -1,9 +1,7 @@
 """Run registered queries beside their SQL in DuckDB and compare all rows.
 
-    python tools/check_queries.py [--chunked] [folder] [name ...]
+    python tools/check_queries.py [folder] [name ...]
 
-With --chunked every key counts as hot, so that all ordered logic runs on
-range chunks.
 """
 
 import glob
@@ -57,12 +55,10 @@ def compare(spark, db, name, folder):
 
 
 def main():
-    args = [a for a in sys.argv[1:] if a != "--chunked"]
+    args = sys.argv[1:]
     folder = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     spark = build_session("check", "8")
     spark.sparkContext.setLogLevel("ERROR")
-    if "--chunked" in sys.argv:
-        spark.conf.set("spark.permaway.maxGroupRows", "0")
     db = duckdb.connect()
     for path in glob.glob(f"{folder}/*.parquet"):
         db.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
