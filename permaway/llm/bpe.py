@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permaway.llm.memo import Memo
 from permaway.llm.store import list_array
 
 NONE = np.int64(1) << np.int64(62)
@@ -46,7 +47,7 @@ class Vocabulary:
         self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[x] for x in self.pair_keys.tolist()], np.int64)
-        self.known: dict[str, bytes] = {}
+        self.known = Memo(lambda pieces: self.encode_pieces([x.encode() for x in pieces]), KNOWN)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of ids, or -1."""
@@ -54,13 +55,10 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1) if len(self.pair_keys) else np.full(len(keys), -1)
 
-    def ids_of(self, pieces: list[str]) -> bytes:
-        """Little-endian 32-bit ids of the pieces, one after the other."""
-        if new := set(pieces).difference(self.known):
-            if len(self.known) + len(new) > KNOWN:
-                self.known, new = {}, set(pieces)
-            self.known.update(zip(new, self.encode_pieces([x.encode() for x in new]), strict=True))
-        return b"".join(map(self.known.__getitem__, pieces))
+    def ids_of(self, texts: list[list[str]]) -> list[bytes]:
+        """Little-endian 32-bit ids of the pieces of each text, one after the other; new pieces of all texts are merged together."""
+        ids = self.known.values(set().union(*texts))
+        return [b"".join(map(ids.__getitem__, x)) for x in texts]
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each piece."""
@@ -182,7 +180,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             while low < len(texts):
                 high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + (2 << 20), side="right")))
                 found = [words.pattern.findall(x or "") for x in texts[low:high].to_pylist()]
-                parts = [words.ids_of(x) for x in found]
+                parts = words.ids_of(found)
                 values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
                 ids = list_array(np.cumsum([0, *(len(x) // 4 for x in parts)]), values)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], ids], ["doc_id", "ids"])
