@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from permaway.functions.scalars import one_per_key
 from permaway.operators.fold import Jump, ordered_fold
-from permaway.operators.scan import earlier_max, last_known, next_known, ordered_scan, running_max
+from permaway.operators.scan import earlier_max, last_known, next_known, ordered_scan, running_max, running_min
 from permaway.sources.corridor import CONFIG_FIELDS, TRAIN_CONFIGS
 
 
@@ -357,12 +357,12 @@ def position_error(simulated: DataFrame, recorded: DataFrame, *, row_id: str) ->
 ROLE_TIERS = {"SENIOR_OC": [1, 2, 3], "OC": [2, 3], "SUPERVISOR": [3]}
 
 
-def authorisations(requests: DataFrame, controllers: DataFrame) -> DataFrame:
-    """State of each advisory after its authorisation requests.
+def gate_decisions(requests: DataFrame, controllers: DataFrame, order: list[str]) -> DataFrame:
+    """Requests with the ``status`` that the gate answers, in the order of each advisory.
 
-    Requests (advisory_id, risk_tier, controller) join the controllers
-    (controller, role); an unknown controller counts as OC. A tier-1 advisory
-    needs two different controllers.
+    Requests hold advisory_id, risk_tier, controller and action; ``order`` is unique within an advisory. Controllers
+    (controller, role) decide which tiers may be authorised; an unknown one counts as OC. A tier-1 advisory needs two
+    different controllers. The first decision closes an advisory; requests after it find nothing.
     """
     named = requests.join(one_per_key(controllers.select("controller", "role"), ["controller"]), "controller", "left")
     role = F.coalesce("role", F.lit("OC"))
@@ -370,22 +370,25 @@ def authorisations(requests: DataFrame, controllers: DataFrame) -> DataFrame:
         F.create_map(*[x for r, t in ROLE_TIERS.items() for x in (F.lit(r), F.array(*[F.lit(i) for i in t]))])[role],
         F.array(*[F.lit(i) for i in ROLE_TIERS["OC"]]),
     )
+    action, dual = F.upper(F.col("action")), F.col("risk_tier") == 1
     allowed = F.array_contains(tiers, F.col("risk_tier").cast("int"))
-    counted = (
-        named.withColumn("_ok", allowed)
-        .groupBy("advisory_id", "risk_tier")
-        .agg(
-            F.countDistinct(F.when(F.col("_ok"), F.col("controller"))).alias("controllers"),
-            F.count_if(~F.col("_ok")).alias("refused"),
-        )
+    place = F.struct(*order, "controller")
+    first = F.when(allowed & (action == "AUTHORIZE"), place)
+    seconds = F.col("_first.controller") != F.col("controller")
+    decides = allowed & ((action == "REJECT") | ((action == "AUTHORIZE") & (~dual | seconds)))
+    seen = ordered_scan(
+        named, ["advisory_id"], order, [running_min(first, "_first")], [earlier_max(F.coalesce(decides, F.lit(False)).cast("int"), "_closed")]
     )
-    needed = F.when(F.col("risk_tier") == 1, 2).otherwise(1)
     status = (
-        F.when(F.col("controllers") >= needed, "AUTHORIZED")
-        .when(F.col("controllers") == 1, "AWAITING_SECOND_AUTH")
-        .otherwise("PENDING")
+        F.when(F.col("_closed") == 1, "NOT_FOUND")
+        .when(~allowed, "REFUSED_ROLE")
+        .when(action == "REJECT", "REJECTED")
+        .when(F.coalesce(action != "AUTHORIZE", F.lit(True)), "INVALID_ACTION")
+        .when(~dual | seconds, "AUTHORIZED")
+        .when(F.col("_first") == place, "AWAITING_SECOND_AUTH")
+        .otherwise("REFUSED_SAME_CONTROLLER")
     )
-    return counted.withColumn("status", status)
+    return seen.withColumn("status", status).drop("_first", "_closed", "role")
 
 
 def train_config(train_type: Column) -> Column:

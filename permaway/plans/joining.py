@@ -261,22 +261,32 @@ def position_error(spark, folder):
 
 
 @query("""
-    WITH r AS (SELECT l_orderkey AS advisory_id, 1 + l_orderkey % 3 AS tier, l_suppkey AS controller,
-        CASE WHEN s_nationkey % 4 = 0 THEN 'SENIOR_OC' WHEN s_nationkey % 4 = 1 THEN 'SUPERVISOR' ELSE 'OC' END AS role
-      FROM lineitem LEFT JOIN supplier s ON s_suppkey = l_suppkey),
+    WITH r AS (SELECT l_orderkey AS advisory_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, l_extendedprice AS price,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, 1 + l_orderkey % 3 AS tier, l_suppkey % 5 AS controller,
+        CASE WHEN l_partkey % 6 = 5 THEN 'REJECT' WHEN l_partkey % 11 = 10 THEN 'HOLD' ELSE 'AUTHORIZE' END AS action,
+        CASE l_suppkey % 5 WHEN 0 THEN 'SENIOR_OC' WHEN 1 THEN 'SUPERVISOR' WHEN 2 THEN 'SENIOR_OC' WHEN 3 THEN 'SENIOR_OC' ELSE 'OC' END AS role FROM lineitem),
     ok AS (SELECT *, CASE role WHEN 'SENIOR_OC' THEN TRUE WHEN 'OC' THEN tier >= 2 ELSE tier = 3 END AS allowed FROM r),
-    g AS (SELECT advisory_id, tier, count(DISTINCT CASE WHEN allowed THEN controller END) AS controllers, count(*) FILTER (WHERE NOT allowed) AS refused FROM ok GROUP BY 1, 2)
-    SELECT advisory_id, controllers, refused, CASE WHEN controllers >= CASE WHEN tier = 1 THEN 2 ELSE 1 END THEN 'AUTHORIZED'
-      WHEN controllers = 1 THEN 'AWAITING_SECOND_AUTH' ELSE 'PENDING' END AS status FROM g""")
+    f AS (SELECT *, min(n) FILTER (WHERE allowed AND action = 'AUTHORIZE') OVER w AS first_n,
+        arg_min(controller, n) FILTER (WHERE allowed AND action = 'AUTHORIZE') OVER w AS first_by FROM ok WINDOW w AS (PARTITION BY advisory_id)),
+    c AS (SELECT *, min(CASE WHEN allowed AND (action = 'REJECT' OR action = 'AUTHORIZE' AND (tier <> 1 OR n > first_n AND controller <> first_by)) THEN n END)
+        OVER (PARTITION BY advisory_id) AS closed_n FROM f)
+    SELECT advisory_id, line, part, supp, price, CASE WHEN n > closed_n THEN 'NOT_FOUND' WHEN NOT allowed THEN 'REFUSED_ROLE' WHEN action = 'REJECT' THEN 'REJECTED'
+      WHEN action = 'HOLD' THEN 'INVALID_ACTION' WHEN tier <> 1 THEN 'AUTHORIZED' WHEN n = first_n THEN 'AWAITING_SECOND_AUTH'
+      WHEN controller = first_by THEN 'REFUSED_SAME_CONTROLLER' ELSE 'AUTHORIZED' END AS status FROM c""")
 def dual_control(spark, folder):
+    part = F.col("l_partkey")
     requests = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("advisory_id"), (1 + F.col("l_orderkey") % 3).alias("risk_tier"), F.col("l_suppkey").alias("controller")
+        F.col("l_orderkey").alias("advisory_id"), (1 + F.col("l_orderkey") % 3).alias("risk_tier"), (F.col("l_suppkey") % 5).alias("controller"),
+        F.when(part % 6 == 5, "reject").when(part % 11 == 10, "hold").otherwise("authorize").alias("action"),
+        F.col("l_linenumber").alias("line"), part.alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"),
     )
-    part = F.col("s_nationkey") % 4
-    controllers = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("controller"), F.when(part == 0, "SENIOR_OC").when(part == 1, "SUPERVISOR").otherwise("OC").alias("role")
+    # The fifth controller is not listed.
+    key = F.col("r_regionkey").cast("bigint")
+    controllers = table(spark, folder, "region").filter("r_regionkey < 4").select(
+        key.alias("controller"), F.when(F.col("r_regionkey") == 1, "SUPERVISOR").otherwise("SENIOR_OC").alias("role")
     )
-    return joins.authorisations(requests, controllers).select("advisory_id", "controllers", "refused", "status")
+    order = ["line", "part", "supp", "price"]
+    return joins.gate_decisions(requests, controllers, order).select("advisory_id", *order, "status")
 
 
 @query("""
