@@ -124,12 +124,13 @@ def fit(texts: list[str], bad: list[bool]) -> Field:
     n_features = measure(np.zeros(0, np.uint8), np.zeros(2, np.int64))[1].features.shape[1]
     if not texts:
         return Field(np.zeros(n_features), np.zeros((2, 2)), np.zeros(2))
-    lines = measure(*text_bytes(pa.array(texts, pa.string())))[1]
-    length = np.diff(lines.first)
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    parts = [measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1] for i, j in slices(offsets)]
+    length = np.concatenate([np.diff(x.first) for x in parts])
     n, most = len(texts), int(length.max())
     there = np.arange(most) < length[:, None]
     x = np.zeros((n, most, n_features))
-    x[there] = lines.features
+    x[there] = np.concatenate([p.features for p in parts])
     # A good text counts by its words as much as a bad one; both labels have the same weight in all.
     label = np.array(bad, int)
     weight = (n / 2 / np.maximum(np.bincount(label, minlength=2), 1))[label] / length
