@@ -14,7 +14,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from permaway.llm.store import durable
+from permaway.llm.store import Scratch
 
 BITS = 64
 
@@ -68,17 +68,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     # One more than k, for the query itself may be among them. More ids of one code can be no neighbours.
     most = k + 1
     first = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    entries = durable(
+    scratch = Scratch(rows.sparkSession)
+    entries = scratch.table(
         ready(rows).withColumn("place", first).where(F.col("place") <= most).groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "op7-codes"
     )
     codes, found = entries.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     wanted = min(most, found)
     n = segment_count(codes)
     segments = _segments(n)
-    index = durable(
+    index = scratch.table(
         entries.select("code", "ids", F.posexplode(F.array(*(_key("code", *x) for x in segments))).alias("segment", "key")), "op7-index"
     )
-    asked = durable(ready(queries), "op7-queries")
+    asked = scratch.table(ready(queries), "op7-queries")
     best = None
     # bound: the distance of the last wanted row met so far.
     open_ = asked.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(BITS))
@@ -91,17 +92,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         met = met.select("query", distance.alias("distance"), "code", "ids").distinct().select("query", "distance", F.explode("ids").alias("neighbor_id"))
         nearest_first = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor_id"))
         met = met if best is None else met.unionByName(best.select("query", "distance", "neighbor_id")).distinct()
-        best = durable(met.withColumn("place", nearest_first).where(F.col("place") <= most), "op7-best")
+        best = scratch.table(met.withColumn("place", nearest_first).where(F.col("place") <= most), "op7-best")
         covered = n * (radius + 1) - 1
         bounds = best.groupBy("query").agg(F.when(F.count("*") >= wanted, F.max("distance")).alias("met"))
-        open_ = durable(
+        open_ = scratch.table(
             open_.select("query").join(bounds, "query", "left").select("query", F.coalesce("met", F.lit(BITS)).alias("bound")).where(F.col("bound") > covered), "op7-open"
         )
         if open_.isEmpty():
             break
         radius += 1
     if best is None:
+        scratch.drop()
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, neighbor_id long, distance int")
     pairs = best.join(asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")), "query").where("neighbor_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return pairs.select("query_id", rank.alias("rank"), "neighbor_id", "distance").where(F.col("rank") <= k)
+    return scratch.result(pairs.select("query_id", rank.alias("rank"), "neighbor_id", "distance").where(F.col("rank") <= k), "op7-nearest")

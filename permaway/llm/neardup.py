@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permaway.llm.store import durable, map_batches, text_hash, text_of
+from permaway.llm.store import Scratch, map_batches, text_hash, text_of
 from permaway.llm.words import GRAM, LOWER, grams, mix, slices, split_words, text_bytes
 
 #: A pair at similarity 0.85 shares no band once in 40 million.
@@ -178,8 +178,10 @@ def links_of(nodes: np.ndarray, sides: np.ndarray, signature: np.ndarray, sets:
     return np.stack([nodes[moved], nodes[roots[moved]]])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and label, the smallest node it is joined with, of links (node, low) with low < node: rounds of large and small stars."""
+    rounds = Scratch(scratch.spark)
+
     def large(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("low").alias("node"), F.col("node").alias("low")))
         least = both.groupBy("node").agg(F.least(F.min("low"), F.first("node")).alias("least"))
@@ -193,15 +195,17 @@ def components(links: DataFrame) -> DataFrame:
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first())
 
-    before, edges = None, durable(links.distinct(), "links")
+    before, edges = None, rounds.table(links.distinct(), "links")
     now = mark(edges)
     while now != before and now[0]:
-        edges = durable(small(large(edges)), "links")
+        edges = rounds.table(small(large(edges)), "links")
         before, now = now, mark(edges)
-    return edges.withColumnRenamed("low", "label")
+    done = scratch.table(edges.withColumnRenamed("low", "label"), "labels")
+    rounds.drop()
+    return done
 
 
-def _chunked(shared: DataFrame, reached: DataFrame, reps: DataFrame) -> DataFrame:
+def _chunked(shared: DataFrame, reached: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
     """node, doc_id and chunk of each mate.
 
     Whole components of the bucket graph share chunks with others while they are small. Large ones are cut so that members of
@@ -212,14 +216,14 @@ def _chunked(shared: DataFrame, reached: DataFrame, reps: DataFrame) -> DataFram
     homes = homes.join(reached, "node", "left").join(reps, "node").select(
         "node", "home", F.coalesce("label", "node").alias("group"), F.col("rep_id").alias("doc_id"), (F.col("n_shingles") + SET_WEIGHT).alias("weight")
     )
-    homes = durable(homes, "op6-homes")
+    homes = scratch.table(homes, "op6-homes")
     by_home = homes.groupBy("home", "group").agg(F.sum("weight").alias("home_weight"))
     by_group = homes.groupBy("group").agg(F.sum("weight").alias("group_weight"))
     small = max(1, -(-(homes.agg(F.sum("weight")).first()[0] or 0) // CHUNK_SHINGLES))
     part_of_home = F.pmod(F.xxhash64("node"), F.ceil(F.col("home_weight") / CHUNK_SHINGLES))
     piece = F.pmod(F.xxhash64("home", part_of_home), F.ceil(F.col("group_weight") / CHUNK_SHINGLES))
     chunk = F.when(F.col("group_weight") <= CHUNK_SHINGLES, F.pmod(F.xxhash64("group"), F.lit(small))).otherwise(F.xxhash64("group", piece))
-    return durable(homes.join(by_home, ["home", "group"]).join(by_group, "group").select("node", "doc_id", chunk.alias("chunk")), "op6-mates")
+    return scratch.table(homes.join(by_home, ["home", "group"]).join(by_group, "group").select("node", "doc_id", chunk.alias("chunk")), "op6-mates")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
@@ -230,22 +234,22 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
     without words are linked with nothing and are their own component; rows without an id are linked with nothing, have no
     component and are kept. Rows that repeat an id are judged by their own texts.
     """
-    texts = text_of(documents)
-    rows = durable(map_batches(
+    texts, scratch = text_of(documents), Scratch(documents.sparkSession)
+    rows = scratch.table(map_batches(
         texts.withColumn("text_hash", text_hash()), _banded(shingle), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"
     ), "op6-bands")
     known = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
     banded = known.select("node", F.explode("bands").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket", "low")
-    shared = durable(banded.join(crowded, "bucket").distinct(), "op6-shared")
+    shared = scratch.table(banded.join(crowded, "bucket").distinct(), "op6-shared")
 
     reps = known.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.first("n_shingles").alias("n_shingles"))
-    reached = components(shared.where("low < node").select("node", "low"))
-    mates = _chunked(shared, reached, reps)
+    reached = components(shared.where("low < node").select("node", "low"), scratch)
+    mates = _chunked(shared, reached, reps, scratch)
     meeting = shared.join(mates.select("node", "chunk"), "node").select("bucket", "chunk").distinct()
     blocks = meeting.join(meeting.withColumnRenamed("chunk", "other"), "bucket").where("chunk <= other").select("chunk", "other").distinct()
     blocks = blocks.select(F.xxhash64("chunk", "other").alias("block"), F.explode(F.array_distinct(F.array("chunk", "other"))).alias("chunk"))
-    sets = durable(map_batches(
+    sets = scratch.table(map_batches(
         # One way of joining at every size: the texts travel once.
         texts.join(mates.hint("merge"), "doc_id").select("text", "node", "chunk"), _mate_sets(shingle), "node long, chunk long, signature binary, shingles binary"
     ).dropDuplicates(["node"]), "op6-sets")
@@ -257,13 +261,13 @@ def near_duplicates(documents: DataFrame, percent: int = 80, shingle: int = 5) -
         return pa.table({"node": node, "low": low})
 
     links = sets.join(blocks, "chunk").select("block", "node", "chunk", "signature", "shingles").groupBy("block").applyInArrow(verify, "node long, low long")
-    labels = components(links)
+    labels = components(links, scratch)
     tops = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct()).join(reps.select("node", "rep_id"), "node")
     lowest = tops.groupBy("label").agg(F.min("rep_id").alias("lowest"))
     of_node = reps.select("node", "rep_id").join(tops.join(lowest, "label").select("node", "lowest"), "node", "left").select(
         "node", F.coalesce("lowest", "rep_id").alias("lowest")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("lowest", "doc_id"))
-    return rows.select("doc_id", "text_hash", "n_shingles", "node").join(of_node, "node", "left").select(
+    return scratch.result(rows.select("doc_id", "text_hash", "n_shingles", "node").join(of_node, "node", "left").select(
         "doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    ), "op6-components")

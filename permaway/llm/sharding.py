@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from permaway.llm.store import durable, text_of
+from permaway.llm.store import Scratch, text_of
 
 #: A bundle holds 1 / FINENESS of a shard; those of the groups that are kept back to even out the shards, 1 / EVEN of that.
 FINENESS, EVEN = 256, 16
@@ -149,8 +149,9 @@ def shard_by_bytes(documents: DataFrame, shards: int) -> DataFrame:
     Slots run from 0 without gaps in each shard. Repeated rows and null ids are rows like any other; no rows give no rows.
     """
     spark = documents.sparkSession
+    scratch = Scratch(spark)
     text = F.coalesce("text", F.lit(""))
-    rows = durable(text_of(documents).select(
+    rows = scratch.table(text_of(documents).select(
         "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.unhex(F.md5(text)).alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int").alias("slice"),
     ), "op1-rows")
@@ -163,7 +164,7 @@ def shard_by_bytes(documents: DataFrame, shards: int) -> DataFrame:
         "*", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"),
         ((F.col("bytes") <= capacity // EVEN) & (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(EVEN)) == 0)).alias("even"),
     )
-    bundled = durable(_bundled(of_part, capacity), "op1-groups")
+    bundled = scratch.table(_bundled(of_part, capacity), "op1-groups")
 
     # At most two bundles for each share of a shard, and one for each part: bounded whatever the rows.
     bundles = bundled.groupBy("part", "even", "bundle").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).toPandas()
@@ -180,6 +181,6 @@ def shard_by_bytes(documents: DataFrame, shards: int) -> DataFrame:
         "key", "slice", "shard", (F.col("first") + F.col("sliced")).alias("first")
     )
     own = Window.partitionBy("key", "slice").orderBy("doc_id")
-    return rows.join(starts, ["key", "slice"]).select(
+    return scratch.result(rows.join(starts, ["key", "slice"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.row_number().over(own) - 1).alias("slot")
-    )
+    ), "op1-shards")

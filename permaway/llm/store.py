@@ -31,6 +31,31 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+class Scratch:
+    """Durable tables of one operator. `result` writes the last one and removes the others, so that none outlives its use."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folders = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        folder = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.folders.append(folder)
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def drop(self) -> None:
+        """Remove the tables written so far."""
+        for folder in self.folders:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.folders = []
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        done = durable(df, name)
+        self.drop()
+        return done
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permaway.llm.store import durable, list_array, map_batches, text_hash, text_of
+from permaway.llm.store import Scratch, list_array, map_batches, text_hash, text_of
 from permaway.llm.words import Words, grams, slices, split_words, text_bytes
 
 
@@ -143,8 +143,8 @@ def repeated_substrings(documents: DataFrame, length: int = 50) -> DataFrame:
     lose them. Of rows that repeat an id, each is judged by its own words; an equal id is not a smaller one.
     """
     half = -(-length // 2)
-    texts = text_of(documents)
-    first = durable(map_batches(
+    texts, scratch = text_of(documents), Scratch(documents.sparkSession)
+    first = scratch.table(map_batches(
         texts.withColumn("text_hash", text_hash()), _first_level(half, length), "doc_id long, text_hash long, n_words long, words_sha256 binary, windows array<long>"
     ), "op2-first")
 
@@ -152,10 +152,10 @@ def repeated_substrings(documents: DataFrame, length: int = 50) -> DataFrame:
     whole = first.where(f"doc_id IS NOT NULL AND n_words >= {length}")
     smallest = whole.groupBy("words_sha256").agg(F.min("doc_id").alias("smallest_id"), F.count("*").alias("copies"))
     stand = whole.join(smallest.withColumnRenamed("smallest_id", "doc_id"), ["words_sha256", "doc_id"], "left_semi")
-    windows = durable(stand.select("doc_id", F.explode("windows").alias("window")), "op2-windows")
+    windows = scratch.table(stand.select("doc_id", F.explode("windows").alias("window")), "op2-windows")
     repeated = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window")
     survivors = windows.join(repeated, "window").groupBy("doc_id").agg(F.collect_set("window").alias("survivors"))
-    second = durable(map_batches(
+    second = scratch.table(map_batches(
         texts.join(survivors, "doc_id"), _second_level(half, length), "doc_id long, words_sha256 binary, text string, wholes array<long>"
     ).where(F.size("wholes") > 0), "op2-second")
 
@@ -169,8 +169,8 @@ def repeated_substrings(documents: DataFrame, length: int = 50) -> DataFrame:
     copied = smallest.where("copies > 1").select("words_sha256", "smallest_id")
     rows = first.select("doc_id", "text_hash", "n_words", "words_sha256").join(cut, ["doc_id", "words_sha256"], "left").join(copied, "words_sha256", "left")
     copy = F.col("smallest_id") < F.col("doc_id")
-    return rows.select(
+    return scratch.result(rows.select(
         "doc_id", "text_hash", "n_words", "words_sha256",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
-    )
+    ), "op2-kept")

@@ -5,6 +5,7 @@ import numpy as np
 
 from permaway.llm import neardup
 from permaway.llm.queries import QUERIES
+from permaway.llm.store import Scratch
 
 
 def brute_force(rows, percent=85, size=5):
@@ -52,7 +53,7 @@ def test_small_chunks_give_the_same(spark, monkeypatch):
 
 def test_chain_becomes_one_component(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(100, 70)], "node long, low long")
-    got = {r.node: r.label for r in neardup.components(links).collect()}
+    got = {r.node: r.label for r in neardup.components(links, Scratch(spark)).collect()}
     assert got == {**{i + 1: 0 for i in range(50)}, 100: 70}
 
 
