@@ -13,9 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from permaway.llm.samples import smallest_hashes
 from permaway.llm.store import text_column, text_of
 from permaway.llm.words import LOWER, slices, text_bytes
 
@@ -89,12 +90,15 @@ def scores(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.nd
 
 
 def training_sample(documents: DataFrame, learn: Column, most: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Texts and languages of at most `most` rows a language, picked by the hash of the id, among those that `learn` admits."""
-    rows = documents.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= SAMPLE_BYTES))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    picked = rows.select("doc_id", "text", "lang").withColumn("rank", rank).where(F.col("rank") <= most).collect()
-    picked.sort(key=lambda r: (r["lang"], r["rank"]))
-    return [r["text"] for r in picked], [r["lang"] for r in picked]
+    """Texts and languages of at most `most` ids a language, picked by the hash of the id, among those that `learn` admits.
+
+    An id with several texts or languages gives the least of each.
+    """
+    admitted = documents.where(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= SAMPLE_BYTES))
+    picked = smallest_hashes(admitted.groupBy("doc_id").agg(F.min("lang").alias("lang")), "lang", most)
+    rows = admitted.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["lang"], r["rank"]))
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def prediction(text: Column, model: LanguageModel) -> Column:

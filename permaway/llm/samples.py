@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from permaway.llm.store import text_of
 
 
+def smallest_hashes(ids: DataFrame, group: str, most: int) -> DataFrame:
+    """At most `most` rows of each value of `group` (a few values), those with the smallest hash of doc_id, with their rank.
+
+    Counts by value tell under which hash so many rows and some more are expected; only those are ranked, so that what a
+    task gathers does not grow with the rows.
+    """
+    counts = {r[group]: r["count"] for r in ids.groupBy(group).count().collect()}
+    if not counts:
+        return ids.withColumn("rank", F.lit(1))
+    wanted = (most + 6 * most**0.5 + 10) * float(1 << 32)
+    limits = F.create_map(*(F.lit(x) for value, n in counts.items() for x in (value, wanted / n)))
+    low = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < limits[F.col(group)])
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)), "doc_id"))
+    return low.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
 def labelled(documents: DataFrame, labels: DataFrame, column: str, most: int, admit: Column) -> list[Row]:
     """doc_id, text and label of at most `most` documents of each label 0 and 1, picked by the hash of the id.
 
@@ -16,7 +32,6 @@ def labelled(documents: DataFrame, labels: DataFrame, column: str, most: int, ad
     ids = text_of(documents).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & admit).select("doc_id").distinct()
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("label IN (0, 1)")
     label = label.groupBy("doc_id").agg(F.min("label").alias("label")).join(ids, "doc_id", "left_semi")
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = label.withColumn("rank", rank).where(F.col("rank") <= most)
+    picked = smallest_hashes(label, "label", most)
     rows = text_of(documents).where(admit).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "rank").agg(F.min("text").alias("text"))
     return sorted(rows.collect(), key=lambda r: (r["label"], r["rank"]))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from permaway.llm import language
 from permaway.llm.queries import QUERIES
+from permaway.llm.samples import smallest_hashes
 from permaway.llm.words import text_bytes
 
 TEXTS = ["the cat and the dog", "der Hund und die Katze", "le chat et le chien", "the end of the day", "das Ende des Tages", "la fin du jour"]
@@ -63,6 +64,16 @@ def test_sample_is_bounded_and_leaves_out_what_is_held(spark):
     assert len(ids) == 50 and all(i % 3 and zlib.crc32(str(i).encode()) % 4 != 2 for i in ids) and set(langs) == {"en"}
 
 
+def test_picks_are_the_smallest_hashes(spark):
+    ids = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "rare").otherwise("often").alias("lang"))
+    got = {(r.lang, r.doc_id) for r in smallest_hashes(ids, "lang", 200).collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    want = {("rare", r.doc_id) for r in ids.where("lang = 'rare'").orderBy(place).limit(200).collect()}
+    want |= {("often", r.doc_id) for r in ids.where("lang = 'often'").orderBy(place).limit(200).collect()}
+    assert got == want
+    assert smallest_hashes(ids.limit(0), "lang", 5).count() == 0
+
+
 def test_query_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", F.octet_length("text").alias("n"))
