@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text makes a slice of its own.
-SLICE_BYTES = (1 << 20) - 16
+SLICE_BYTES = (1 << 19) - 16
 
 #: Odd and 3 modulo 4, so that the powers of the base keep their order high.
 BASE = 0x9E3779B97F4A7C17
@@ -52,7 +52,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2^64, n of each at least."""
-    return _powers(max(20, (n - 1).bit_length()))
+    return _powers(max(19, (n - 1).bit_length()))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
