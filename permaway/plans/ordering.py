@@ -213,6 +213,25 @@ def gap_fill(spark, folder):
     return out.select("user_id", F.round("t", 3).alias("t"), F.round("value", 6).alias("value"), "is_interpolated")
 
 
+@query(f"""
+    WITH o AS (SELECT user_id, us / 1e6 AS t, arg_min(value, event_id) AS value FROM {EVENTS_SQL} e GROUP BY 1, 2),
+    p AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS pt, lag(value) OVER (PARTITION BY user_id ORDER BY t) AS pv FROM o),
+    n AS (SELECT *, CASE WHEN t - pt > 300 THEN least(CAST(round_even(t - pt, 0) AS BIGINT) - 1, 1799) ELSE 0 END AS n FROM p),
+    f AS (SELECT user_id, t, value, FALSE AS filled FROM n
+      UNION ALL SELECT user_id, pt + i * ((t - pt) / (n + 1)), (1 - i / (n + 1)) * pv + i / (n + 1) * value, TRUE
+        FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n WHERE n > 0) u)
+    SELECT user_id, CAST(floor(t / 3600) AS BIGINT) AS hour, count(*) AS rows, count(*) FILTER (WHERE filled) AS interpolated,
+      round(sum(t - floor(t / 3600) * 3600), 3) AS offset_s, round(sum(value), 6) AS total FROM f GROUP BY 1, 2""")
+def gap_fill_hours(spark, folder):
+    """Every gap filled up to the operator's own limit; the filled rows are added up by asset and hour."""
+    e = events(spark, folder).select("user_id", (F.col("us") / 1e6).alias("t"), "value", "event_id")
+    filled = ordered.gap_fill(e, "user_id", "t", ["value"], "event_id").withColumn("hour", F.floor(F.col("t") / 3600))
+    return filled.groupBy("user_id", "hour").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("is_interpolated").alias("interpolated"),
+        F.round(F.sum(F.col("t") - F.col("hour") * 3600), 3).alias("offset_s"), F.round(F.sum("value"), 6).alias("total"),
+    )
+
+
 @query(f"""
     WITH r AS (SELECT *, row_number() OVER {_W} - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM {EVENTS_SQL} e)
     SELECT user_id, i // 25 AS win, count(*) AS rows, round(count(*) FILTER (WHERE k % 4 = 0) / count(*) * 100, 6) AS interpolation_pct FROM r
