@@ -229,6 +229,20 @@ def reconstruction_scorer(train: DataFrame, columns: list[str], k: int = 2):
     return apply
 
 
+def window_anomalies(scored: DataFrame, evidence: DataFrame, keys: list[str], *, threshold: float = 0.05) -> DataFrame:
+    """Windows whose ``mse`` is over ``threshold``, each with the raw rows that it was made of.
+
+    ``scored`` holds (keys, win, mse), ``evidence`` the rows of ``ordered.window_evidence``. The id is hashed from the
+    window's keys, so a retry gives the same id. An error that is null or not a number is no anomaly.
+    """
+    name = F.sha2(F.concat_ws("|", *[F.coalesce(F.to_json(F.struct(k)), F.lit("")) for k in [*keys, "win"]]), 256)
+    over = scored.filter(~F.isnan("mse") & (F.col("mse") > threshold))
+    return over.select(*keys, "win", "mse").join(evidence, [*keys, "win"]).select(
+        name.alias("alert_id"), *keys, "win", F.lit("SECURITY_ANOMALY").alias("alert_type"),
+        F.round("mse", 6).alias("reconstruction_error"), F.lit(threshold).alias("threshold"), F.lit(False).alias("acknowledged"), "evidence",
+    )
+
+
 def canary_version(request_id: Column, weights: dict[str, float], parts: int = 10_000) -> Column:
     """Model version of a request by traffic weight; the same request always takes the same version."""
     total, upto = sum(weights.values()), 0.0

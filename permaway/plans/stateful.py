@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from permaway.functions import scalars
-from permaway.operators import braking, federated, graph, ordered, signal, stateful
+from permaway.operators import aggregates, braking, federated, graph, ordered, signal, stateful
 from permaway.plans.registry import EVENTS_SQL, col_map, events, query, table
+from permaway.session import durable
 from permaway.sources import corridor
 
 # Events per user with their number, the input of the recursive SQL below.
@@ -229,6 +230,17 @@ def window_score(spark, folder):
     return both.select("user_id", "win", F.round("p", 4).alias("p"), F.round("mse", 4).alias("mse"))
 
 
+@query()
+def anomaly_evidence(spark, folder):
+    """Sliding windows whose reconstruction error is over the limit, with their 60 raw messages."""
+    e = readings(spark, folder).select("user_id", "row_id", "t", "value", F.concat(F.lit("m"), "row_id").alias("raw"))
+    order, columns = ["t", "row_id"], ["mean", "std", "kurtosis", "zcr"]
+    windows = ordered.sliding_windows(e, ["user_id"], order, 60, 10)
+    features = durable(aggregates.window_statistics(windows, ["user_id", "win"], ["pos"], "value"))
+    scored = signal.reconstruction_scorer(features, columns)(features)
+    return signal.window_anomalies(scored, ordered.window_evidence(e, ["user_id"], order, ["row_id", "t", "raw"], 60, 10), ["user_id"])
+
+
 _TOY = graph.Weights(
     {"runs_on": [[0.5, -0.2], [0.1, 0.3], [0.0, 0.4], [-0.3, 0.2], [0.2, 0.1]], "follows": [[-0.4, 0.6], [0.3, 0.0], [0.2, -0.5], [0.1, 0.1], [0.0, 0.7]]},
     [1.5, -2.0],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from permaway.functions.scalars import dataset_version_id, one_per_key, preprocessing_hash
 from permaway.schemas import ARCHIVE_TABLES
+from permaway.session import durable
 
 AUDIT_DAYS = 365
 
@@ -91,6 +92,27 @@ def append_audit(df: DataFrame, path: str, created: str = "created_at") -> None:
     with_retention(df, created).write.mode("append").parquet(path)
 
 
+def append_anomalies(anomalies: DataFrame, root: str, iec62443_zone: str, zone: Column, at: Column, fmt: str = "parquet") -> None:
+    """Append the rows of ``signal.window_anomalies``: one to ``security_anomaly``, one with its raw messages to ``forensic_evidence``.
+
+    The evidence goes first, so that no anomaly in the archive is without it. ``at`` is the time of the anomaly.
+    """
+    held = durable(anomalies.withColumns({"_at": at, "_zone": zone}))
+    append_audit(
+        held.select("alert_id", F.col("_at").alias("created_at"), F.col("reconstruction_error"), "threshold", "evidence"),
+        f"{root}/forensic_evidence",
+    )
+    text, time = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    append_archive(
+        held.select(
+            "alert_id", F.lit(iec62443_zone).alias("iec62443_zone"), F.col("_at").alias("timestamp_utc"), "reconstruction_error", "threshold",
+            "acknowledged", text.alias("acknowledged_by"), time.alias("acknowledged_at"), F.lit(False).alias("escalated"),
+            F.col("alert_id").alias("forensic_artifact_id"), F.col("_zone").alias("zone"),
+        ),
+        "security_anomaly", root, fmt,
+    )
+
+
 def insert_or_ignore(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new`` whose key is not in ``existing``; of rows with one key the smallest."""
     return one_per_key(new, key).join(existing.select(*key), key, "left_anti")

@@ -3,7 +3,11 @@
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
+from permaway.operators import signal
 from permaway.plans import QUERIES
+from permaway.sources import archive
 from tests.conftest import DATA
 
 
@@ -14,3 +18,36 @@ def test_gap_fill_hours_fills_every_gap_to_the_limit(spark):
     out = QUERIES["gap_fill_hours"](spark, DATA).toPandas()
     assert out["interpolated"].sum() == expected
     assert out["rows"].sum() == expected + len(e)
+
+
+def test_anomaly_evidence_holds_every_window_over_the_limit(spark):
+    e = pd.read_parquet(f"{DATA}/events.parquet").sort_values(["user_id", "ts", "event_id"])
+    wins = [(u, o // 10, g.iloc[o:o + 60]) for u, g in e.groupby("user_id") for o in range(0, len(g) - 59, 10)]
+
+    def features(v):
+        c = v - v.mean()
+        return v.mean(), v.std(), (c ** 4).mean() / v.var() ** 2 - 3, (c[1:] * c[:-1] < 0).sum() / len(v)
+
+    x = np.array([features(g["value"].to_numpy()) for _, _, g in wins])
+    z = (x - x.mean(0)) / x.std(0)
+    axes = np.linalg.eigh(np.cov(z.T))[1][:, -2:]
+    mse = ((z - z @ axes @ axes.T) ** 2).mean(1)
+    assert 0 < (mse > 0.05).sum() < len(wins)
+    out = {(r["user_id"], r["win"]): r for r in QUERIES["anomaly_evidence"](spark, DATA).collect()}
+    assert set(out) == {(u, w) for (u, w, _), m in zip(wins, mse) if m > 0.05}
+    for (u, w, g), m in zip(wins, mse):
+        if m > 0.05:
+            assert abs(out[u, w]["reconstruction_error"] - m) < 1e-3
+            assert [h["raw"] for h in out[u, w]["evidence"]] == [f"m{i}" for i in g["event_id"]]
+
+
+def test_anomalies_are_appended_with_their_evidence(spark, tmp_path):
+    scored = spark.createDataFrame([("a", 0, 0.05), ("a", 1, 0.0501), ("b", 0, float("nan")), ("b", 1, None)], "src string, win bigint, mse double")
+    kept = spark.createDataFrame([(k, w, [(f"{k}{w}",)] * 60) for k in "ab" for w in (0, 1)], "src string, win bigint, evidence array<struct<raw:string>>")
+    found = signal.window_anomalies(scored, kept, ["src"])
+    for _ in range(2):
+        archive.append_anomalies(found, str(tmp_path), "Zone-2", F.lit("north"), F.lit("2024-01-01").cast("timestamp"))
+    rows = archive.read_archive(spark, "security_anomaly", str(tmp_path)).collect()
+    held = spark.read.parquet(f"{tmp_path}/forensic_evidence").collect()
+    assert [r["reconstruction_error"] for r in rows] == [0.0501] * 2 and {r["forensic_artifact_id"] for r in rows} == {h["alert_id"] for h in held}
+    assert [[m["raw"] for m in h["evidence"]] for h in held] == [["a1"] * 60] * 2
