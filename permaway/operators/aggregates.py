@@ -278,7 +278,7 @@ def scaling_advice(
 ) -> DataFrame:
     """Scaling advice per tick from node loads (tick, available, gpu_pct, queue_depth).
 
-    Spacing the actions is operators.stateful.cooldown_step over the result.
+    Spacing the actions is operators.stateful.scaling_actions over the result.
     """
     out = ticks.groupBy("tick").agg(
         F.count_if("available").alias("active"), F.avg(F.when(F.col("available"), F.col("gpu_pct"))).alias("mean_gpu_pct"),

@@ -131,10 +131,8 @@ def wavelet_energy(windows: DataFrame, levels: int = 3) -> DataFrame:
     return out.drop("samples", "approx", *names)
 
 
-def wavelet_transients(windows: DataFrame, factor: float = 4.0, levels: int = 3) -> DataFrame:
-    """Detail coefficients over ``factor`` times the mean magnitude of their level, one row each."""
-    out = wavelet_levels(windows, levels)
-    ids = [c for c in windows.columns if c != "samples"]
+def _transients(factor: float, levels: int) -> Column:
+    """The transients in ``detail_1..levels``, as one list."""
     hits = []
     for level in range(1, levels + 1):
         d = F.col(f"detail_{level}")
@@ -143,16 +141,30 @@ def wavelet_transients(windows: DataFrame, factor: float = 4.0, levels: int = 3)
             d, lambda c, i: F.struct(F.lit(level).alias("level"), i.alias("position"), F.abs(c).alias("magnitude"), limit.alias("threshold"))
         )
         hits.append(F.when(F.size(d) > 0, F.filter(marked, lambda h: h["magnitude"] > h["threshold"])).otherwise(F.filter(marked, lambda h: F.lit(False))))
-    return out.select(*ids, F.explode(F.flatten(F.array(*hits))).alias("_h")).select(
+    return F.flatten(F.array(*hits))
+
+
+def wavelet_transients(windows: DataFrame, factor: float = 4.0, levels: int = 3) -> DataFrame:
+    """Detail coefficients over ``factor`` times the mean magnitude of their level, one row each."""
+    out = wavelet_levels(windows, levels)
+    ids = [c for c in windows.columns if c != "samples"]
+    return out.select(*ids, F.explode(_transients(factor, levels)).alias("_h")).select(
         *ids, "_h.*", (F.col("_h.magnitude") / F.col("_h.threshold")).alias("ratio")
     )
 
 
+def transient_count(windows: DataFrame, factor: float = 4.0, levels: int = 3, least: int = 8) -> DataFrame:
+    """Add ``wavelet_transient_count``; null under ``least`` samples."""
+    out = wavelet_levels(windows, levels)
+    count = F.when(F.size("samples") >= least, F.size(_transients(factor, levels)))
+    return out.select(*windows.columns, count.alias("wavelet_transient_count"))
+
+
 def window_pipeline(
     df: DataFrame, sensor: str, sensor_type: str, *, size: int = 512, rate_hz: float = 4000.0,
     levels: int = 4, envelope: bool = False,
 ) -> DataFrame:
-    """Samples (sensor, t, row_id, value) to window features: smooth, stack, spectrum, wavelet, envelope."""
+    """Samples (sensor, t, row_id, value) to window features: smooth, stack, spectrum, wavelet with transients, envelope."""
     smooth = run(df, [sensor], kalman_level(sensor, sensor_type))
     numbered = tumbling_windows(smooth, [sensor], ["t", "row_id"], size)
     windows = stack_windows(numbered, [sensor, "win"], "filtered")
@@ -169,7 +181,7 @@ def window_pipeline(
     ids = [sensor, "win", "mean", "rms", "std", "low", "high"]
     spectral = spectral_features(described.select(*ids, "samples", F.struct("samples").alias("_keep")), rate_hz)
     back = spectral.withColumn("samples", F.col("_keep.samples")).drop("_keep")
-    out = wavelet_levels(back, levels)
+    out = wavelet_levels(transient_count(back), levels)
     names = [f"detail_{i}" for i in range(1, levels + 1)]
     out = out.withColumns({f"{d}_energy": _mean_square(F.col(d)) for d in names} | {"approx_energy": _mean_square(F.col("approx"))})
     out = out.drop("approx", *names)

@@ -13,9 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from permaway.operators.fold import Jump, Step, ordered_fold
+from permaway.operators.scan import last_known, ordered_scan
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,22 @@ def cooldown(key: str, key_type: str, seconds: float = 60.0) -> Machine:
     return Machine(step, f"{key} {key_type}, row_id bigint, t double", ["t", "row_id"], jump)
 
 
+def scaling_actions(advised: DataFrame, tick: str, t: Column, *, seconds: float = 120.0) -> DataFrame:
+    """Scaling advice (tick, active, advice) with NONE in place of advice within ``seconds`` of the last action.
+
+    ``tick`` is an integer, one row each, and ``t`` its time in seconds. Without an active node the advice is no action: it
+    waits for the last action's time, but starts none.
+    """
+    rows = advised.withColumns({"_one": F.lit(1), "_t": t.cast("double")})
+    asked = rows.filter((F.col("advice") != "NONE") & (F.col("active") > 0))
+    fired = run(asked.select("_one", F.col(tick).cast("bigint").alias("row_id"), F.col("_t").alias("t")), ["_one"], cooldown("_one", "int", seconds))
+    acted = rows.join(fired.select(F.col("row_id").alias(tick), F.col("t").alias("_act")), tick, "left")
+    seen = ordered_scan(acted, ["_one"], ["_t", tick], [last_known("_act", "_last")])
+    free = F.coalesce(F.col("_t") - F.col("_last") >= seconds, F.lit(True))
+    stays = F.col("_act").isNotNull() | ((F.col("active") == 0) & free)
+    return seen.withColumn("advice", F.when(stays, F.col("advice")).otherwise("NONE")).drop("_one", "_t", "_act", "_last")
+
+
 def link_states(key: str, key_type: str, threshold: int = 3, window_s: float = 30.0) -> Machine:
     """Connection states: three failures in 30 s cut the link, a success begins to reconnect, an upload completes it.
 

@@ -242,7 +242,9 @@ def scaling_advice(spark, folder):
     e = events(spark, folder).select(
         F.floor(F.col("us") / 3600000000).alias("tick"), (F.col("event_type") != "error").alias("available"), F.col("value").alias("gpu_pct"), F.col("k").alias("queue_depth")
     )
-    return aggregates.scaling_advice(e, up=70.0, target_queue=98).select("tick", "active", "advice")
+    advised = aggregates.scaling_advice(e, up=70.0, target_queue=98).select("tick", "active", "advice")
+    # Ticks of an hour lie further apart than the cool-down, so it takes no advice away here.
+    return stateful.scaling_actions(advised, "tick", F.col("tick") * 3600)
 
 
 @query("""

@@ -5,7 +5,7 @@ import pandas as pd
 
 from pyspark.sql import functions as F
 
-from permaway.operators import signal
+from permaway.operators import signal, stateful
 from permaway.plans import QUERIES
 from permaway.sources import archive
 from tests.conftest import DATA
@@ -51,3 +51,32 @@ def test_anomalies_are_appended_with_their_evidence(spark, tmp_path):
     held = spark.read.parquet(f"{tmp_path}/forensic_evidence").collect()
     assert [r["reconstruction_error"] for r in rows] == [0.0501] * 2 and {r["forensic_artifact_id"] for r in rows} == {h["alert_id"] for h in held}
     assert [[m["raw"] for m in h["evidence"]] for h in held] == [["a1"] * 60] * 2
+
+
+def test_signal_pipeline_counts_transients(spark):
+    df = spark.createDataFrame([("s", float(i), i, 100.0 if i == 21 else float(i % 2)) for i in range(64)], "sensor string, t double, row_id bigint, value double")
+    out = {r["win"]: r for r in signal.window_pipeline(df, "sensor", "string", size=32).collect()}
+    filtered = [r["filtered"] for r in stateful.run(df, ["sensor"], stateful.kalman_level("sensor", "string")).orderBy("t").collect()]
+    for win in (0, 1):
+        approx, expected = np.array(filtered[win * 32:win * 32 + 32]), 0
+        for _ in range(3):
+            detail, approx = (approx[::2] - approx[1::2]) / 2 ** 0.5, (approx[::2] + approx[1::2]) / 2 ** 0.5
+            expected += int((np.abs(detail) > 4 * np.abs(detail).mean()).sum())
+        assert out[win]["wavelet_transient_count"] == expected
+    assert out[0]["wavelet_transient_count"] > 0
+    short = spark.createDataFrame([([0.0] * 7,), ([0.0] * 8,)], "samples array<double>")
+    assert [r["wavelet_transient_count"] for r in signal.transient_count(short).collect()] == [None, 0]
+
+
+def test_scaling_actions_keep_their_distance(spark):
+    advice = ["UP", "DOWN", "NONE", "UP", "UP", "UP", "UP", "UP", "UP", "UP", "UP", "UP", "NONE", "DOWN"]
+    active = [0, 1, 1, 1, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1]
+    df = spark.createDataFrame(list(zip(range(14), active, advice)), "tick bigint, active bigint, advice string")
+    last, expected = None, []
+    for i, (n, a) in enumerate(zip(active, advice)):
+        free = last is None or 30 * i - last >= 120
+        expected.append(a if free else "NONE")
+        last = 30 * i if free and n and a != "NONE" else last
+    out = stateful.scaling_actions(df, "tick", F.col("tick") * 30).orderBy("tick").collect()
+    assert [r["advice"] for r in out] == expected
+    assert expected.count("NONE") > advice.count("NONE")
