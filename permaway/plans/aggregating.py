@@ -303,6 +303,16 @@ def top3_attribution(spark, folder):
     return aggregates.top_attribution(e, "vec_id", "w", [f"f{i}" for i in range(8)]).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("""
+    WITH u AS (SELECT vec_id, unnest(range(len(embedding))) AS i, abs(CAST(unnest(embedding) AS DOUBLE)) AS x FROM embeddings),
+    r AS (SELECT vec_id, i, x / sum(x) OVER (PARTITION BY vec_id) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rank FROM u)
+    SELECT vec_id, rank, 'f' || i AS feature, round(s, 4) AS contribution FROM r WHERE rank <= 3""")
+def top3_of_all_entries(spark, folder):
+    """All 64 numbers of an embedding as importances; top3_attribution ranks the first 8, as many as the source has features."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), F.abs).alias("w"))
+    return aggregates.top_attribution(e, "vec_id", "w", [f"f{i}" for i in range(64)]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("""
     SELECT round(a, 6) AS clean_metric, round(b, 6) AS adversarial_metric, round((a - b) / a, 6) AS degradation, (a - b) / a <= 0.15 AS passed FROM (
       SELECT avg((l_returnflag = CASE WHEN l_tax > 0.04 THEN 'N' ELSE 'A' END)::INTEGER) AS a, avg((l_returnflag = CASE WHEN l_tax > 0.05 THEN 'N' ELSE 'R' END)::INTEGER) AS b FROM lineitem) x""")

@@ -80,3 +80,11 @@ def test_scaling_actions_keep_their_distance(spark):
     out = stateful.scaling_actions(df, "tick", F.col("tick") * 30).orderBy("tick").collect()
     assert [r["advice"] for r in out] == expected
     assert expected.count("NONE") > advice.count("NONE")
+
+
+def test_top3_of_all_entries_ranks_whole_embeddings(spark):
+    v = pd.read_parquet(f"{DATA}/embeddings.parquet")
+    expected = {(i, r + 1, f"f{f}") for i, e in zip(v["vec_id"], v["embedding"]) for r, f in enumerate(np.argsort(-np.abs(np.asarray(e, float)), kind="stable")[:3])}
+    out = QUERIES["top3_of_all_entries"](spark, DATA).collect()
+    assert {(r["vec_id"], r["rank"], r["feature"]) for r in out} == expected
+    assert any(int(r["feature"][1:]) >= 8 for r in out)
