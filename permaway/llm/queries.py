@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import bpe, hamming, language, neardup, packing, quality, sharding, substrings, toxicity, wordpiece
+from permaway.llm import bpe, hamming, language, mixing, neardup, packing, quality, sharding, substrings, toxicity, wordpiece
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,3 +140,27 @@ r AS (SELECT doc_id, doc_id AS low FROM documents UNION SELECT l.y, r.low FROM r
 SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(low) AS component_id, r.doc_id = min(low) AS kept
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+
+@query
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often, and up to which word, a mix of the sources by weights takes each document."""
+    mix = mixing.plan(documents(spark, sf_dir), shards=64, weights=(1, 2, 3), most=3)
+    return mixing.mixed_sizes(mix).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op12_source_mixing"] = f"""
+WITH r AS (SELECT doc_id, source, CAST(len({_WORDS.format("text")}) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 15) AS BIGINT) AS point FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, CAST(sum(size) + count(*) AS BIGINT) AS all_, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM r GROUP BY source),
+w AS (SELECT *, no % 3 + 1 AS w FROM t),
+o AS (SELECT *, sum(s) OVER () - coalesce(sum(3 * s) OVER before, 0) AS left_, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS parts
+    FROM w WINDOW before AS (ORDER BY CAST(s AS DOUBLE) / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, CAST(3 * s AS DOUBLE) * parts < CAST(left_ AS DOUBLE) * w AS capped FROM o),
+f AS (SELECT *, CASE WHEN capped THEN CAST(3 * s AS DOUBLE) ELSE w * (CAST(sum(s) OVER () - coalesce(sum(3 * s) FILTER (capped) OVER (), 0) AS DOUBLE) / CAST(sum(w) FILTER (NOT capped) OVER () AS DOUBLE)) END AS target FROM c),
+q AS (SELECT source, s, target, (all_ + {mixing.BLOCK_WORDS - 1}) // {mixing.BLOCK_WORDS} AS blocks, CASE WHEN s > 0 THEN CAST(round(target) AS BIGINT) // s ELSE 0 END AS full_, CAST(round(target) AS BIGINT) AS words FROM f),
+l AS (SELECT r.*, q.s, q.target, q.full_, q.words - q.full_ * q.s AS rest,
+    coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY point % blocks, point RANGE UNBOUNDED PRECEDING), 0) AS up_to,
+    sum(size) OVER (PARTITION BY r.source, point) AS own, count(*) OVER (PARTITION BY r.source, point) AS rows_
+    FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, s AS source_size, target, CAST(full_ * size + CASE WHEN up_to <= rest THEN size WHEN up_to - own < rest THEN (rest - (up_to - own)) // rows_ ELSE 0 END AS BIGINT) AS taken FROM l
+"""

@@ -15,12 +15,13 @@ LONG_MAX = (1 << 63) - 1
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset, a local master gets a temporary folder; a cluster must name one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="permaway-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="permaway-llm-"))
+        folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
