@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import bpe, hamming, language, mixing, neardup, packing, quality, sharding, substrings, toxicity, wordpiece
+from permaway.llm import bpe, hamming, language, mixing, neardup, packing, quality, sharding, substrings, toxicity, whitening, wordpiece
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,3 +164,9 @@ l AS (SELECT r.*, q.s, q.target, q.full_, q.words - q.full_ * q.s AS rest,
     FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size, s AS source_size, target, CAST(full_ * size + CASE WHEN up_to <= rest THEN size WHEN up_to - own < rest THEN (rest - (up_to - own)) // rows_ ELSE 0 END AS BIGINT) AS taken FROM l
 """
+
+
+@query
+def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings on the sixteen directions in which they vary most, each with unit variance."""
+    return whitening.whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 16).withColumnRenamed("id", "vec_id")
