@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permaway.llm import bpe, hamming, language, mixing, neardup, packing, quality, sharding, substrings, toxicity, whitening, wordpiece
+from permaway.llm import alignment, bpe, hamming, language, mixing, neardup, packing, quality, sharding, substrings, toxicity, whitening, wordpiece
 from permaway.llm.store import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +170,10 @@ SELECT doc_id, size, s AS source_size, target, CAST(full_ * size + CASE WHEN up_
 def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings on the sixteen directions in which they vary most, each with unit variance."""
     return whitening.whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 16).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of a byte-level and of a piece tokenizer in every text, and how common they are."""
+    found = alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
