@@ -1,11 +1,12 @@
 """Alignment of two tokenizers over the same bytes, with corpus-wide counts of linked id pairs.
 
-The first pass over the texts aligns them and finds the pairs; a minimal perfect hash is built over the distinct pairs, in parts
-that tasks build side by side. Counts are dense vectors indexed by that hash, one for each part and some tasks, and summed
-along a tree. The second pass aligns the texts again and looks counts up; the key that stands at an index is compared.
+Texts are encoded once, and the ids written down. The first pass over them aligns the texts and finds the pairs; a minimal perfect
+hash is built over the distinct pairs, in parts that tasks build side by side. Counts are dense vectors indexed by that
+hash, one for each part and some tasks, and summed along a tree. The second pass aligns the texts again and looks counts
+up; the key that stands at an index is compared.
 
-Tokens of both kinds end where a space follows anything but white space, so texts are cut there into chunks, and workers
-remember what a chunk gives.
+Tokens of both kinds end where a space follows anything but white space, so texts are cut there into chunks, and each chunk that
+some texts hold is encoded once for all of them.
 """
 
 from __future__ import annotations
@@ -13,36 +14,42 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permaway.llm.memo import Memo
 from permaway.llm.store import Scratch, list_array, text_of
-from permaway.llm.words import mix
+from permaway.llm.words import mix, slices, text_bytes
 
 #: Pairs that workers hold for look-ups: the most frequent ones; the others are looked up by a join.
 HEAD_PAIRS = 1 << 21
 #: Pairs of one part of the hash, about; tasks whose counts are added to one vector; counts a task holds before it puts them out.
 PART_PAIRS, FAN, TASK_PAIRS = 1 << 15, 64, 1 << 20
-#: Chunks that a worker remembers, and their greatest length; characters of texts that are worked on at once.
-KNOWN, LONG, SLICE = 150_000, 200, 1 << 18
-
-#: A pair is the id of A, then that of B in so many bits.
-B_BITS = 24
+#: Chunks that a worker remembers, and their greatest length; bytes of texts that are worked on at once (a longer text is alone).
+KNOWN, LONG, SLICE = 160_000, 64, 1 << 20
+#: Chunks that are encoded as one text, and fewest that are; bytes of ids that are aligned at once.
+TOGETHER, FEW_CHUNKS, ALIGNED = 256, 8, 1 << 19
+
+#: A pair is the id of A, then that of B in so many bits; together they have so many.
+B_BITS, PAIR_BITS = 16, 34
+PAIR = (1 << PAIR_BITS) - 1
 #: Bits of a pair's mark, whose first bits are its part.
 MARK_BITS = 20
 
 CHUNK = re.compile(r"(?<=\S)(?= [\s\S])")
 
 #: In groups with more links than this, distinct ids are counted first and links are products of counts.
-FEW = 64
+FEW = 4096
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,22 +61,21 @@ def byte_alphabet() -> dict[str, int]:
 
 @dataclass
 class Aligned:
-    """What a chunk gives; no counts where its bytes differ. pairs are sorted and distinct, links how often each occurs."""
+    """What texts give: numbers of groups and of links by text; the distinct pairs of text i, and how often each is linked there, from
+    first[i] to first[i + 1]; where asked for, the groups in writing."""
 
-    fits: bool
-    numbers: tuple[int, int, int, int] = (0, 0, 0, 0)  # tokens of A and of B, groups, links
-    groups: bytes = b""
-    pairs: np.ndarray | None = None
-    links: np.ndarray | None = None
-    # Of pairs that were looked up: links with the best count, sum of counts; pairs that were not found, and their links.
-    looked_up: tuple[int, int] = (0, 0)
-    missing: np.ndarray | None = None
+    groups: np.ndarray
+    links: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+    first: np.ndarray
+    written: pa.Array | None
 
 
-class Aligner:
+class Encoder:
     """Chunks through both tokenizers."""
 
-    def __init__(self, a_model: str, b_model: bytes, table: "PairTable | None" = None) -> None:
+    def __init__(self, a_model: str, b_model: bytes) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -77,64 +83,114 @@ class Aligner:
         self.a = Tokenizer.from_str(a_model)
         self.a.encode_special_tokens = True
         alphabet = byte_alphabet()
-        self.a_bytes = {i: bytes(alphabet[c] for c in piece) for piece, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.b = SentencePieceProcessor(model_proto=b_model)
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.table = table
-        self.known = Memo(self._align, KNOWN)
+        self.a_bytes = {i: bytes(alphabet[c] for c in piece) for piece, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.b_bytes = {i: self._piece(i) for i in range(self.b.get_piece_size())}
+        #: Ids take 16 bits where that is enough, else 32.
+        self.codes = ["H" if max(x) < 1 << 16 else "I" for x in (self.a_bytes, self.b_bytes)]
+        self.known = Memo(self._encode, KNOWN)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def __call__(self, chunks: set[str]) -> dict[str, Aligned]:
-        """What each chunk gives; long ones are not remembered."""
-        long_ = [x for x in chunks if len(x) > LONG]
-        found = self.known.values(chunks.difference(long_))
-        return {**{x: found[x] for x in chunks.difference(long_)}, **dict(zip(long_, self._align(long_), strict=True))} if long_ else found
+    def _encode(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of A and of B for each chunk; None where their bytes are not the chunk's."""
+        found = {}
+        for own in ([x for x in chunks if x.isascii() and not x[-1].isspace()], [x for x in chunks if not (x.isascii() or x[-1].isspace())]):
+            found.update(zip(own, self._together(own), strict=True))
+        others = [x for x in chunks if x not in found]
+        found.update(zip(others, self._alone(others), strict=True))
+        return [found[x] for x in chunks]
 
-    def _align(self, chunks: list[str]) -> list[Aligned]:
+    def _alone(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
         if not chunks:
             return []
-        a = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.b.encode([x[1:] for x in chunks], num_threads=1)
-        out = [self._one(x.encode(), i, j) for x, i, j in zip(chunks, a, b, strict=True)]
-        if self.table is not None:
-            self.table.look_up(out)
+        a, b = self.a.encode_batch_fast(chunks, add_special_tokens=False), self.b.encode([x[1:] for x in chunks], num_threads=1)
+        out = []
+        for chunk, i, j in zip(chunks, a, b, strict=True):
+            i, own = i.ids, chunk.encode()
+            same = b"".join(map(self.a_bytes.__getitem__, i)) == own and b"".join(map(self.b_bytes.__getitem__, j)) == own
+            out.append((array(self.codes[0], i).tobytes(), array(self.codes[1], j).tobytes()) if same else None)
         return out
 
-    def _one(self, chunk: bytes, a: list[int], b: list[int]) -> Aligned:
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != chunk or b"".join(b_parts) != chunk:
-            return Aligned(False)
-        texts, pairs, links, total = [], [], [], 0
-        for own_a, own_b in groups_of(a, [len(x) for x in a_parts], b, [len(x) for x in b_parts]):
-            texts.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            total += len(own_a) * len(own_b)
-            if len(own_a) * len(own_b) <= FEW:
-                pairs.extend((i << B_BITS) | j for i in own_a for j in own_b)
-                links.extend([1] * (len(own_a) * len(own_b)))
-            else:
-                (i, m), (j, n) = np.unique(own_a, return_counts=True), np.unique(own_b, return_counts=True)
-                pairs.extend(((i[:, None].astype(np.int64) << B_BITS) | j).ravel().tolist())
-                links.extend(np.outer(m, n).ravel().tolist())
-        pairs, links = sum_by_key(np.array(pairs, np.int64), np.array(links, np.int64))
-        return Aligned(True, (len(a), len(b), len(texts), total), ";".join(texts).encode(), pairs, links)
-
-
-def groups_of(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-    """The ids of A and of B between offsets at which tokens of both end."""
-    i = j = from_a = from_b = a_end = b_end = 0
-    while i < len(a):
-        if a_end <= b_end:
-            a_end += a_sizes[i]
-            i += 1
-        while b_end < a_end:
-            b_end += b_sizes[j]
-            j += 1
-        if a_end == b_end:
-            yield a[from_a:i], b[from_b:j]
-            from_a, from_b = i, j
+    def _together(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """As `_alone` for chunks that do not end in white space: they are encoded as texts of many, which cost less, and cut apart.
+
+        Where bytes differ, halves are tried, down to few chunks.
+        """
+        if len(chunks) <= FEW_CHUNKS:
+            return self._alone(chunks)
+        texts = ["".join(chunks[i : i + TOGETHER]) for i in range(0, len(chunks), TOGETHER)]
+        whole = "".join(texts).encode()
+        ends, sides = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in chunks]), []
+        a = chain.from_iterable([x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        b = chain.from_iterable(self.b.encode([x[1:] for x in texts], num_threads=1))
+        for ids, strings, code in ((list(a), self.a_bytes, self.codes[0]), (list(b), self.b_bytes, self.codes[1])):
+            parts = [strings[i] for i in ids]
+            stops = np.cumsum([len(x) for x in parts])
+            cuts = np.searchsorted(stops, ends, side="right")
+            if b"".join(parts) != whole or not np.array_equal(stops[cuts - 1], ends):
+                half = len(chunks) // 2
+                return self._together(chunks[:half]) + self._together(chunks[half:])
+            data, cuts = array(code, ids).tobytes(), [0, *(cuts * array(code).itemsize).tolist()]
+            sides.append([data[i:j] for i, j in pairwise(cuts)])
+        return list(zip(*sides, strict=True))
+
+    def __call__(self, texts: list[list[str]]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of texts in chunks; None for those that have no chunk or do not fit. Chunks that are not long are remembered."""
+        chunks = set().union(*texts)
+        long_ = [x for x in chunks if len(x) > LONG]
+        found, rest, out = self.known.values(chunks.difference(long_)), dict(zip(long_, self._alone(long_), strict=True)), []
+        for text in texts:
+            own = [rest[x] if x in rest else found[x] for x in text] if rest else [found[x] for x in text]
+            out.append(None if not own or None in own else (b"".join([x[0] for x in own]), b"".join([x[1] for x in own])))
+        return out
+
+
+@dataclass
+class Sizes:
+    """Bytes of each id of A and of B, and the types that ids are written in."""
+
+    a: np.ndarray
+    b: np.ndarray
+    codes: list[str]
+
+    def align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, write: bool = False) -> Aligned:
+        """Texts by their ids, one after the other, and their numbers of ids."""
+        a_ends, b_ends = np.cumsum(self.a[a]), np.cumsum(self.b[b])
+        # Both end where a text ends, so groups lie within texts.
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_cuts, b_cuts = (np.append(0, np.searchsorted(x, cuts, side="right")) for x in (a_ends, b_ends))
+        text = np.repeat(np.arange(len(n_a)), n_a)[a_cuts[:-1]] if len(a) else np.zeros(0, np.int64)
+        pairs, times = _links(a, b, a_cuts, b_cuts, text)
+        places = np.arange(len(n_a) + 1)
+        links = np.bincount(text, np.diff(a_cuts) * np.diff(b_cuts), minlength=len(n_a)).astype(np.int64)
+        written = group_texts(a, b, a_cuts, b_cuts, np.searchsorted(text, places)) if write else None
+        return Aligned(np.bincount(text, minlength=len(n_a)), links, pairs & PAIR, times, np.searchsorted(pairs >> PAIR_BITS, places), written)
+
+
+def _links(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text, pair), sorted, and how often each is linked."""
+    sizes_a, sizes_b = np.diff(a_cuts), np.diff(b_cuts)
+    many = sizes_a * sizes_b > FEW
+    own = np.repeat(np.where(many, 0, sizes_b), sizes_a)  # links of each token of A
+    token = np.repeat(np.arange(len(a)), own)
+    place = np.arange(len(token)) - np.repeat(np.cumsum(own) - own, own)
+    group = np.repeat(np.arange(len(text)), sizes_a)[token]
+    parts = [(text[group] << PAIR_BITS) | (a[token] << B_BITS) | b[b_cuts[group] + place]]
+    links = [np.ones(len(token), np.int64)]
+    for k in np.flatnonzero(many):
+        (i, m), (j, n) = np.unique(a[a_cuts[k] : a_cuts[k + 1]], return_counts=True), np.unique(b[b_cuts[k] : b_cuts[k + 1]], return_counts=True)
+        parts.append(((text[k] << PAIR_BITS) | (i[:, None] << B_BITS) | j).ravel())
+        links.append(np.outer(m, n).ravel())
+    return sum_by_key(np.concatenate(parts), np.concatenate(links))
+
+
+def group_texts(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, text_cuts: np.ndarray) -> pa.Array:
+    """`a1,a2|b1;a3|b2,b3` of each text."""
+    sides = [pc.binary_join(list_array(cuts, pa.array(ids).cast(pa.string())), ",") for ids, cuts in ((a, a_cuts), (b, b_cuts))]
+    return pc.binary_join(list_array(text_cuts, pc.binary_join_element_wise(*sides, "|")), ";")
 
 
 def sum_by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,66 +267,68 @@ class PairTable:
 
     def __init__(self, hashed: PerfectHash, counts: np.ndarray, best: np.ndarray) -> None:
         self.hashed, self.counts, self.best = hashed, counts, best
-        self._aligner: Aligner | None = None
-
-    def aligner(self, a_model: str, b_model: bytes) -> Aligner:
-        """The aligner that looks pairs up here; a worker keeps it for all its tasks."""
-        if self._aligner is None:
-            self._aligner = Aligner(a_model, b_model, self)
-        return self._aligner
-
-    def look_up(self, aligned: list[Aligned]) -> None:
-        fits = [x for x in aligned if x.fits]
-        if not fits:
-            return
-        pairs, links = np.concatenate([x.pairs for x in fits]), np.concatenate([x.links for x in fits])
+
+    def look_up(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each pair (0 where it is not held), and whether that is the best one."""
         index = self.hashed.index(pairs)
         there = index >= 0
-        count = np.where(there, self.counts[np.maximum(index, 0)] if len(self.counts) else 0, 0)
-        best = np.where(there & (count == self.best[pairs >> B_BITS]), links, 0)
-        edges = np.cumsum([0, *(len(x.pairs) for x in fits)])
-        sums, bests = (np.append(0, np.cumsum(x))[edges] for x in (links * count, best))
-        for k, x in enumerate(fits):
-            x.looked_up = (int(bests[k + 1] - bests[k]), int(sums[k + 1] - sums[k]))
-            own = ~there[edges[k] : edges[k + 1]]
-            x.missing = np.stack([x.pairs[own], x.links[own]]) if own.any() else None
-            x.pairs = x.links = None
-
-
-@lru_cache(maxsize=2)
-def first_aligner(a_model: str, b_model: bytes) -> Aligner:
-    """The aligner of a worker's first pass, with what it remembers."""
-    return Aligner(a_model, b_model)
-
-
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
-    """Chunks of texts, some texts at a time, with the place of the first."""
-    low, size, out = 0, 0, []
-    for i, text in enumerate(texts):
-        out.append(CHUNK.split(f" {text}") if text else [])
-        size += len(text or "")
-        if size > SLICE:
-            yield low, out
-            low, size, out = i + 1, 0, []
-    if out:
-        yield low, out
-
-
-def _pairs_of_texts(aligner: Aligner, texts: list[list[str]]) -> np.ndarray:
-    """The distinct pairs of each text, one text after the other."""
-    found, out = aligner(set().union(*texts)), []
-    for chunks in texts:
-        own = [found[x] for x in set(chunks)]
-        if own and all(x.fits for x in own):
-            out.append(np.unique(np.concatenate([x.pairs for x in own])))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def _count_pairs(documents: DataFrame, a_model: str, b_model: bytes) -> DataFrame:
+        count = np.where(there, self.counts[np.maximum(index, 0)], 0) if len(self.counts) else np.zeros(len(pairs), np.int64)
+        return count, there & (count == self.best[pairs >> B_BITS])
+
+
+@lru_cache(maxsize=1)
+def encoder(a_model: str, b_model: bytes) -> Encoder:
+    """A worker's tokenizers, with what it remembers."""
+    return Encoder(a_model, b_model)
+
+
+def token_sizes(a_model: str, b_model: bytes) -> Sizes:
+    own = Encoder(a_model, b_model)
+    if len(own.b_bytes) > 1 << B_BITS or max(own.a_bytes) >= 1 << (PAIR_BITS - B_BITS):
+        raise ValueError("the vocabularies are too large for the bits of a pair")
+    return Sizes(*(np.array([len(x.get(i, b"")) for i in range(max(x) + 1)]) for x in (own.a_bytes, own.b_bytes)), own.codes)
+
+
+def _text_slices(texts: pa.Array) -> Iterator[tuple[int, list[list[str]]]]:
+    """Chunks of some texts at a time, with the place of the first."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for low, high in slices(np.append(0, np.cumsum(sizes)), SLICE):
+        yield low, [CHUNK.split(f" {x}") if x else [] for x in texts.slice(low, high - low).to_pylist()]
+
+
+def encoded(documents: DataFrame, a_model: str, b_model: bytes) -> DataFrame:
+    """row (a number for each), doc_id, and ids of A and of B as bytes; empty where a text has no tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, row = encoder(a_model, b_model), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for low, texts in _text_slices(batch.column("text")):
+                ids = own(texts)
+                sides = [pa.array([x[side] if x else b"" for x in ids], pa.binary()) for side in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), batch.column("doc_id").slice(low, len(ids)), *sides], ["row", "doc_id", "a", "b"])
+                row += len(ids)
+
+    return text_of(documents).mapInArrow(run, "row long, doc_id long, a binary, b binary")
+
+
+def _id_slices(batch: pa.RecordBatch, codes: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows at a time, with their ids and numbers of ids."""
+    sizes = pc.binary_length(batch.column("a")).to_numpy(zero_copy_only=False)
+    for low, high in slices(np.append(0, np.cumsum(sizes.astype(np.int64))), ALIGNED):
+        own, out = batch.slice(low, high - low), []
+        for name, code in zip("ab", codes, strict=True):
+            data, offsets = text_bytes(own.column(name))
+            out += [data.view(code).astype(np.int64), np.diff(offsets) // np.dtype(code).itemsize]
+        yield own, *out
+
+
+def _count_pairs(ids: DataFrame, sizes: Sizes) -> DataFrame:
     """How many documents hold a pair linked, by task: salt, mark, pair, docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, waiting, n_waiting, held = first_aligner(a_model, b_model), [], 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        encoder.cache_clear()  # what this worker remembers of texts is not needed now
+        waiting, n_waiting, held = [], 0, nothing
         salt = TaskContext.get().partitionId() // FAN
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -281,19 +339,19 @@ def _count_pairs(documents: DataFrame, a_model: str, b_model: bytes) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), salt, np.int32)), pa.array(marks(pairs)), pa.array(pairs), pa.array(docs)], ["salt", "mark", "pair", "docs"])
 
         for batch in batches:
-            for _, texts in _slices(batch.column("text").to_pylist()):
-                waiting.append(_pairs_of_texts(aligner, texts))
+            for _, *own in _id_slices(batch, sizes.codes):
+                waiting.append(sizes.align(*own).pairs)
                 n_waiting += len(waiting[-1])
                 if n_waiting > TASK_PAIRS:
                     held, waiting, n_waiting = merged(), [], 0
                     if len(held[0]) > TASK_PAIRS:
                         yield rows(*held)
-                        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                        held = nothing
         held = merged()
         if len(held[0]):
             yield rows(*held)
 
-    return text_of(documents).select("text").mapInArrow(run, "salt int, mark int, pair long, docs long")
+    return ids.select("a", "b").mapInArrow(run, "salt int, mark int, pair long, docs long")
 
 
 _PART = "part int, sizes array<int>, bits binary, keys array<long>"
@@ -375,9 +433,9 @@ class PairCounts:
     rest: DataFrame | None
 
 
-def corpus_counts(scratch: Scratch, documents: DataFrame, a_model: str, b_model: bytes, head: int = HEAD_PAIRS) -> PairCounts:
+def corpus_counts(scratch: Scratch, ids: DataFrame, sizes: Sizes, head: int = HEAD_PAIRS) -> PairCounts:
     """How many documents hold each pair, over all documents; of more than `head` pairs, workers hold those with the highest counts."""
-    partial = scratch.table(_count_pairs(documents, a_model, b_model), "alignment-partial")
+    partial = scratch.table(_count_pairs(ids, sizes), "alignment-partial")
     keys = scratch.table(partial.select("mark", "pair").distinct(), "alignment-pairs")
     n, salts = keys.count(), (partial.agg(F.max("salt")).first()[0] or 0) + 1
     bits = _part_bits(n)
@@ -387,8 +445,8 @@ def corpus_counts(scratch: Scratch, documents: DataFrame, a_model: str, b_model:
     rest = None
     if n > head:
         listed = scratch.table(listed, "alignment-listed")
-        sizes = {r["power"]: r["n"] for r in listed.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        least = next(p for p in range(65) if sum(k for q, k in sizes.items() if q >= p) <= head)
+        powers = {r["power"]: r["n"] for r in listed.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        least = next(p for p in range(65) if sum(k for q, k in powers.items() if q >= p) <= head)
         frequent = F.floor(F.log2("count")) >= least
         rest, kept = listed.where(~frequent), listed.where(frequent)
         bits = _part_bits(head)
@@ -407,39 +465,31 @@ def corpus_counts(scratch: Scratch, documents: DataFrame, a_model: str, b_model:
 
 
 _KIND = (
-    "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups binary, "
+    "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, "
     "groups_sha256 string, rest array<struct<pair:bigint,links:bigint,best:bigint>>"
 )
 
 
-def _second_pass(documents: DataFrame, a_model: str, b_model: bytes, table: PairTable, texts_too: bool) -> DataFrame:
-    held = documents.sparkSession.sparkContext.broadcast(table)
+def _second_pass(ids: DataFrame, sizes: Sizes, table: PairTable, groups_too: bool) -> DataFrame:
+    held = ids.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
-        aligner, row = table.aligner(a_model, b_model), TaskContext.get().partitionId() << 40
+        encoder.cache_clear()
         for batch in batches:
-            for low, texts in _slices(batch.column("text").to_pylist()):
-                found = aligner(set().union(*texts))
-                numbers, groups, hashes, rest = np.zeros((len(texts), 6), np.int64), [], [], []
-                for k, chunks in enumerate(texts):
-                    own = [found[x] for x in chunks]
-                    fits = bool(own) and all(x.fits for x in own)
-                    if fits:
-                        numbers[k] = np.array([x.numbers + x.looked_up for x in own], np.int64).sum(0)
-                    joined = b";".join([x.groups for x in own]) if fits else b""
-                    groups.append(joined if texts_too else None)
-                    hashes.append(hashlib.sha256(joined).hexdigest() if fits else "")
-                    missing = [x.missing for x in own if x.missing is not None] if fits else []
-                    pairs, links = sum_by_key(*np.concatenate(missing, 1)) if missing else ((), ())
-                    rest.append([{"pair": int(p), "links": int(m), "best": int(table.best[p >> B_BITS])} for p, m in zip(pairs, links, strict=True)])
-                columns = [pa.array(np.arange(row, row + len(texts))), batch.column("doc_id").slice(low, len(texts)), *(pa.array(x) for x in numbers.T.copy())]
-                kind = pa.list_(pa.struct([("pair", pa.int64()), ("links", pa.int64()), ("best", pa.int64())]))
-                columns += [pa.array(groups, pa.binary()), pa.array(hashes), pa.array(rest, kind)]
+            for rows, a, n_a, b, n_b in _id_slices(batch, sizes.codes):
+                aligned = sizes.align(a, n_a, b, n_b, write=True)
+                count, best = table.look_up(aligned.pairs)
+                sums = [np.diff(np.append(0, np.cumsum(x * aligned.times))[aligned.first]) for x in (best, count)]
+                hashes = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in aligned.written.to_pylist()]
+                absent = np.flatnonzero(count == 0)
+                rest = [aligned.pairs[absent], aligned.times[absent], table.best[aligned.pairs[absent] >> B_BITS]]
+                rest = pa.StructArray.from_arrays([pa.array(x) for x in rest], ["pair", "links", "best"])
+                columns = [rows.column("row"), rows.column("doc_id"), *map(pa.array, (n_a, n_b, aligned.groups, aligned.links, *sums))]
+                columns += [aligned.written if groups_too else pa.nulls(len(n_a), pa.string()), pa.array(hashes, pa.string()), list_array(np.searchsorted(absent, aligned.first), rest)]
                 yield pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _KIND.split(", ")])
-                row += len(texts)
 
-    return text_of(documents).mapInArrow(run, _KIND)
+    return ids.mapInArrow(run, _KIND)
 
 
 def align(documents: DataFrame, a_path: str, b_path: str, groups: bool = False, head: int = HEAD_PAIRS) -> DataFrame:
@@ -454,9 +504,11 @@ def align(documents: DataFrame, a_path: str, b_path: str, groups: bool = False,
         a_model = f.read()
     with open(b_path, "rb") as f:
         b_model = f.read()
-    scratch = Scratch(documents.sparkSession)
-    counted = corpus_counts(scratch, documents, a_model, b_model, head)
-    found = _second_pass(documents, a_model, b_model, counted.table, groups)
+    scratch, kept = Scratch(documents.sparkSession), Scratch(documents.sparkSession)
+    sizes = token_sizes(a_model, b_model)
+    ids = kept.table(encoded(documents, a_model, b_model), "alignment-ids")
+    counted = corpus_counts(scratch, ids, sizes, head)
+    found = _second_pass(ids, sizes, counted.table, groups)
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "groups_sha256"]
     if counted.rest is None:
         scratch.drop()
@@ -470,4 +522,6 @@ def align(documents: DataFrame, a_path: str, b_path: str, groups: bool = False,
     whole = found.join(added, "row", "left").withColumns({
         "n_best": F.col("n_best") + F.coalesce("more_best", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("more_sum", F.lit(0)),
     })
-    return scratch.result(whole.select(*columns), "alignment")
+    result = scratch.result(whole.select(*columns), "alignment")
+    kept.drop()
+    return result
