@@ -1,20 +1,25 @@
 """Streaming forms of the state machines and of the windowed operators.
 
-``stream_machine`` drives the same step as the batch form, so both give the
-same rows for input in order. State is kept per key as JSON text and lives in
-the state store of the query; it survives a restart with the checkpoint.
+``event_time_machine`` drives the same step as the batch form on rows in any
+order: rows wait in the state until the watermark has passed them, and late ones
+come out by themselves. ``stream_machine`` steps rows as they arrive, which gives
+the batch rows for input in order only. State is kept per key and lives in the
+state store of the query; it survives a restart with the checkpoint.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
 from permaway.operators.aggregates import correlations
 from permaway.operators.ordered import STAGES, slowest_stage
@@ -44,6 +49,125 @@ def stream_machine(df: DataFrame, keys: list[str], machine: Machine) -> DataFram
     )
 
 
+class EventTimeMachine(StatefulProcessor):
+    """Steps a machine over the rows of a key in event time.
+
+    State: ``waiting`` holds rows that the watermark has not passed, ``machine`` what the steps left, ``newest`` the time of the
+    last row stepped. A timer stands at the earliest row that waits; when the watermark passes it, all rows up to the
+    watermark are sorted and stepped. With ``idle_s`` another timer stands so long after the newest row and
+    removes the state of the key.
+    """
+
+    def __init__(self, keys: list[str], machine: Machine, columns: StructType, output: list[str], idle_s: float | None) -> None:
+        self.keys, self.step, self.order = keys, machine.step, machine.order
+        self.columns, self.output, self.idle_s = columns, output, idle_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.columns)
+        self.machine = handle.getValueState("machine", "state string")
+        self.newest = handle.getValueState("newest", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        due = set()
+        for pdf in rows:
+            late = [_ms(t) <= passed for t in pdf["t"].tolist()]
+            values = _tuples(pdf, self.columns.names)
+            fresh = [v for v, x in zip(values, late) if not x]
+            if fresh:
+                self.waiting.appendList(fresh)
+                due.add(min(_ms(t) for t, x in zip(pdf["t"].tolist(), late) if not x))
+            if any(late):
+                yield self._late(key, [v for v, x in zip(values, late) if x])
+        if due:
+            self.handle.registerTimer(min(due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.waiting.get()), columns=self.columns.names)
+        ready = held["t"].map(_ms) <= passed if len(held) else pd.Series(dtype=bool)
+        if len(held) and ready.any():
+            rows, rest = held[ready].sort_values(self.order, kind="stable").reset_index(drop=True), held[~ready]
+            for place, name in enumerate(self.keys):
+                rows.insert(place, name, key[place])
+            yield from self._stepped(rows)
+            self._keep(rest)
+            if self.idle_s is not None:
+                self.handle.registerTimer(max(self.newest.get()[0] + self._idle_ms() + 1, passed + 1))
+        elif self.idle_s is not None and self.newest.exists() and self.newest.get()[0] + self._idle_ms() < passed:
+            self.machine.clear()
+            self.newest.clear()
+
+    def _idle_ms(self) -> int:
+        return math.ceil(self.idle_s * 1000)
+
+    def _stepped(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Step rows in order; after a silence of more than ``idle_s`` from nothing, whether or not the state has gone by then."""
+        before = json.loads(self.machine.get()[0]) if self.machine.exists() else None
+        times = [_ms(t) for t in rows["t"].tolist()]
+        cuts = [0]
+        if self.idle_s is not None:
+            last = self.newest.get()[0] if self.newest.exists() else times[0]
+            cuts += [i for i, (a, b) in enumerate(zip([last, *times], times)) if b - a > self._idle_ms()]
+        for low, high in zip(cuts, [*cuts[1:], len(rows)]):
+            if high > low:
+                out, before = self.step(rows.iloc[low:high], None if low in cuts[1:] else before)
+                if len(out):
+                    yield out.assign(late=None)[self.output]
+        self.machine.update((json.dumps(before),))
+        self.newest.update((times[-1],))
+
+    def close(self) -> None:
+        pass
+
+    def _keep(self, rest: pd.DataFrame) -> None:
+        """The rows that go on waiting, and a timer for the earliest."""
+        if not len(rest):
+            self.waiting.clear()
+            return
+        self.waiting.put(_tuples(rest, self.columns.names))
+        self.handle.registerTimer(int(rest["t"].map(_ms).min()))
+
+    def _late(self, key, values: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame({name: [key[place]] * len(values) for place, name in enumerate(self.keys)})
+        out["late"] = [json.dumps(dict(zip(self.columns.names, v)), default=str) for v in values]
+        return out.reindex(columns=self.output).astype(object).where(lambda x: x.notna(), None)
+
+
+def _tuples(pdf: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    """Rows of plain Python values, as the state store takes them."""
+    def plain(v):
+        if hasattr(v, "tolist"):
+            v = v.tolist()
+        return v if isinstance(v, (list, tuple)) or not pd.isna(v) else None
+
+    return [tuple(map(plain, row)) for row in zip(*[pdf[c].tolist() for c in columns])]
+
+
+def _ms(t: float) -> int:
+    """The first millisecond that is not before ``t`` seconds."""
+    return math.ceil(round(t * 1e6) / 1000)
+
+
+def event_time_machine(df: DataFrame, keys: list[str], machine: Machine, ts: str, *, delay: str = "10 seconds", idle_s: float | None = None) -> DataFrame:
+    """Streaming form of a machine for rows in any order: the rows of its batch form, as long as none comes later than ``delay``.
+
+    ``ts`` is the row's time stamp, from which the watermark follows, and ``t`` the same time in seconds. The result has the
+    machine's columns and ``late``: null, or the row as JSON where it came after the watermark had passed it; late rows are not
+    stepped. With ``idle_s``, the state of a key goes when the watermark is so far past its newest row, and the key starts
+    anew with its next row; without it, state stays. Rows of a key that wait are those of the last ``delay``.
+    """
+    use_rocksdb(df.sparkSession)
+    parsed = df.sparkSession.createDataFrame([], machine.schema).schema
+    columns = StructType([f for f in df.schema.fields if f.name not in (*keys, ts)])
+    output = StructType([*(StructField(f.name, f.dataType, True) for f in parsed.fields), StructField("late", StringType())])
+    # Spark drops late rows where the operator sees the time stamp itself, so it is left out after the watermark.
+    rows = df.withWatermark(ts, delay).select(*keys, *columns.names)
+    processor = EventTimeMachine(keys, machine, columns, output.names, idle_s)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, output, "append", "eventTime")
+
+
 def stream_silence(
     df: DataFrame, key: str, key_type: str, ts: str, *, seconds: int = 10, delay: str = "0 seconds"
 ) -> DataFrame:
