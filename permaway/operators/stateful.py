@@ -103,31 +103,58 @@ def link_states(key: str, key_type: str, threshold: int = 3, window_s: float = 3
     Input: key, ``t``, ``row_id``, ``event`` (success, failure, uploaded).
     Output: one row per transition.
     """
+    def move(current, failures, t, event):
+        """State and recent failures after one event."""
+        if event == "success":
+            return ("RECONNECTING" if current == "AUTONOMOUS" else current), []
+        if event == "failure":
+            failures = [f for f in failures if t - f <= window_s] + [t]
+            cut = current == "CONNECTED" and len(failures) >= threshold
+            return ("AUTONOMOUS" if cut else current), failures[-threshold:]
+        return ("CONNECTED" if event == "uploaded" and current == "RECONNECTING" else current), failures
+
     def step(pdf, state):
         current, failures = (state or ["CONNECTED", []])
-        failures = list(failures)
         rows = []
         for t, row_id, event in zip(pdf["t"].tolist(), pdf["row_id"].tolist(), pdf["event"].tolist()):
-            new = current
-            if event == "success":
-                failures = []
-                if current == "AUTONOMOUS":
-                    new = "RECONNECTING"
-            elif event == "failure":
-                failures = [f for f in failures if t - f <= window_s] + [t]
-                if current == "CONNECTED" and len(failures) >= threshold:
-                    new = "AUTONOMOUS"
-                failures = failures[-threshold:]
-            elif event == "uploaded" and current == "RECONNECTING":
-                new = "CONNECTED"
+            new, failures = move(current, failures, t, event)
             if new != current:
                 rows.append((row_id, t, current, new))
                 current = new
         out = pd.DataFrame(rows, columns=["row_id", "t", "old_state", "new_state"])
         out.insert(0, key, pdf[key].iloc[0])
-        return out, [current, failures]
+        return out, [current, list(failures)]
 
-    return Machine(step, f"{key} {key_type}, row_id bigint, t double, old_state string, new_state string", ["t", "row_id"])
+    def build(pdf, _):
+        """The chunk's first events, as long as earlier failures may count; then where the others lead from each state.
+
+        Earlier failures count up to the first success, or until the chunk has ``threshold - 1`` failures of its own. Uploads after
+        an upload change nothing.
+        """
+        head, rest = [], {x: x for x in ("CONNECTED", "AUTONOMOUS", "RECONNECTING")}
+        own, failures, open_, known = 0, [], threshold > 1, False
+        for t, event in zip(pdf["t"].tolist(), pdf["event"].tolist()):
+            _, after = move("CONNECTED", failures, t, event)
+            if open_:
+                if event != "uploaded" or not head or head[-1][1] != "uploaded":
+                    head.append([t, event])
+                own += event == "failure"
+                open_ = event != "success" and own < threshold - 1
+            else:
+                rest = {begun: move(current, failures, t, event)[0] for begun, current in rest.items()}
+                known = known or event in ("success", "failure")
+            failures = after
+        return [head, rest, failures if known else None]
+
+    def apply(summary, before):
+        head, rest, own = summary
+        current, failures = before
+        for t, event in head:
+            current, failures = move(current, failures, t, event)
+        return [rest[current], failures if own is None else own]
+
+    schema = f"{key} {key_type}, row_id bigint, t double, old_state string, new_state string"
+    return Machine(step, schema, ["t", "row_id"], Jump(build, apply, ["t", "event"]))
 
 
 def thermal_states(
@@ -157,7 +184,44 @@ def thermal_states(
         out.insert(0, key, pdf[key].iloc[0])
         return out, [active, since]
 
-    return Machine(step, f"{key} {key_type}, row_id bigint, t double, alert_type string", ["t", "row_id"])
+    def after(pdf, state):
+        return step(pdf.assign(row_id=0, **{key: 0}), state)[1]
+
+    def build(pdf, _):
+        """Where the chunk leads when it is entered inactive, active without a recovery time, and active with each one.
+
+        A recovery time counts until the first cool row that is late enough for it (or, where heat restarts it, until the first
+        hot row). Times that are over at the same row lead to the same state: one entry ``[latest end, row, state]`` each.
+        """
+        pdf = pdf.reset_index(drop=True)
+        cool = np.flatnonzero(~(pdf["temperature"] > limit).to_numpy())
+        hot = np.flatnonzero((pdf["temperature"] > limit).to_numpy())
+        ends = cool if not (restart_on_heat and len(hot)) else cool[cool < hot[0]]
+        t = pdf["t"].to_numpy(dtype=float)
+        # Only rows up to one recovery time after the first can end a recovery that began before the chunk.
+        ends = ends[: int(np.searchsorted(t[ends], t[0] + recovery_s, side="left")) + 1] if len(ends) else ends
+        lifted, known = [], {}
+        for i in ends[::-1].tolist():
+            following = hot[hot > i][:1]
+            begun = int(following[0]) if len(following) else len(pdf)
+            if begun not in known:
+                known[begun] = after(pdf.iloc[begun:], [False, None]) if begun < len(pdf) else [False, None]
+            lifted.append([float(t[i]), known[begun]])
+        kept = after(pdf.iloc[hot[0] :], [True, None]) if restart_on_heat and len(hot) else None
+        return [after(pdf, [False, None]), after(pdf, [True, None]), lifted[::-1], kept]
+
+    def apply(summary, before):
+        inactive, fresh, lifted, kept = summary
+        active, since = before
+        if not active or since is None:
+            return fresh if active else inactive
+        for ended, state in lifted:
+            if ended - since >= recovery_s:
+                return state
+        return kept or [True, since]
+
+    schema = f"{key} {key_type}, row_id bigint, t double, alert_type string"
+    return Machine(step, schema, ["t", "row_id"], Jump(build, apply, ["t", "temperature"]))
 
 
 def exponential_average(key: str, key_type: str, alpha: float, start: float | None = None) -> Machine:
@@ -170,7 +234,15 @@ def exponential_average(key: str, key_type: str, alpha: float, start: float | No
         out = pd.DataFrame({key: pdf[key].to_numpy(), "row_id": pdf["row_id"].to_numpy(), "average": mean})
         return out, float(mean[-1])
 
-    return Machine(step, f"{key} {key_type}, row_id bigint, average double", ["t", "row_id"])
+    def build(pdf, state):
+        """The chunk as ``gain * before + own``, from what it gives from nothing."""
+        gain = (1 - alpha) ** len(pdf)
+        return [gain, state - gain * (float(pdf["value"].iloc[0]) if start is None else start)]
+
+    def apply(summary, before):
+        return summary[0] * before + summary[1]
+
+    return Machine(step, f"{key} {key_type}, row_id bigint, average double", ["t", "row_id"], Jump(build, apply, ["value"]))
 
 
 def adaptive_anomalies(
@@ -274,7 +346,24 @@ def kalman_level(key: str, key_type: str, q: float = 0.01, r: float = 0.1, x0: f
         out = pd.DataFrame({key: pdf[key].to_numpy(), "t": pdf["t"].to_numpy(), "row_id": pdf["row_id"].to_numpy(), "filtered": line})
         return out, [x, p]
 
-    return Machine(step, f"{key} {key_type}, t double, row_id bigint, filtered double", ["t", "row_id"])
+    def build(pdf, _):
+        """The chunk as a map of any mean and variance: what it does to a level known exactly, and what it tells of that level."""
+        x, p, a, eta, info = 0.0, 0.0, 1.0, 0.0, 0.0
+        for z in pdf["value"].tolist():
+            p += q
+            s, y = p + r, z - x
+            eta, info = eta + a * y / s, info + a * a / s
+            gain = p / s
+            x, a, p = x + gain * y, a * (1 - gain), p * (1 - gain)
+        return [a, x, p, eta, info]
+
+    def apply(summary, before):
+        a, own, variance, eta, info = summary
+        x, p = before
+        shrink = 1 / (1 + p * info)
+        return [a * shrink * (x + p * eta) + own, a * a * shrink * p + variance]
+
+    return Machine(step, f"{key} {key_type}, t double, row_id bigint, filtered double", ["t", "row_id"], Jump(build, apply, ["value"]))
 
 
 def kalman_motion(
@@ -304,7 +393,34 @@ def kalman_motion(
         out.insert(0, key, pdf[key].to_numpy())
         return out, [pos, vel, a, b, c, d]
 
-    return Machine(step, f"{key} {key_type}, row_id bigint, position double, velocity double", ["t", "row_id"])
+    def build(pdf, _):
+        """As for the level: ``m`` carries the entering position and velocity to the row before, for readings that know them exactly."""
+        pos = vel = a = b = d = 0.0
+        m00, m01, m10, m11 = 1.0, 0.0, 0.0, 1.0
+        e0 = e1 = j00 = j01 = j11 = 0.0
+        for z in pdf["value"].tolist():
+            pos += vel * dt
+            m00, m01 = m00 + dt * m10, m01 + dt * m11
+            a, b, d = a + 2 * dt * b + dt * dt * d + q_pos, b + dt * d, d + q_vel
+            s, y = a + r_pos, z - pos
+            e0, e1 = e0 + m00 * y / s, e1 + m01 * y / s
+            j00, j01, j11 = j00 + m00 * m00 / s, j01 + m00 * m01 / s, j11 + m01 * m01 / s
+            k0, k1 = a / s, b / s
+            pos, vel = pos + k0 * y, vel + k1 * y
+            m00, m01, m10, m11 = m00 - k0 * m00, m01 - k0 * m01, m10 - k1 * m00, m11 - k1 * m01
+            a, b, d = a - k0 * a, b - k0 * b, d - k1 * b
+        return [[[m00, m01], [m10, m11]], [pos, vel], [[a, b], [b, d]], [e0, e1], [[j00, j01], [j01, j11]]]
+
+    def apply(summary, before):
+        m, own, variance, eta, info = (np.array(x) for x in summary)
+        mean, p = np.array(before[:2]), np.array(before[2:]).reshape(2, 2)
+        lead = m @ np.linalg.inv(np.eye(2) + p @ info)
+        after = lead @ p @ m.T + variance
+        return [*(lead @ (mean + p @ eta) + own).tolist(), *after.ravel().tolist()]
+
+    schema = f"{key} {key_type}, row_id bigint, position double, velocity double"
+    # Only the textbook update is a least-squares estimate, which the map of a chunk rests on.
+    return Machine(step, schema, ["t", "row_id"], Jump(build, apply, ["value"]) if textbook else None)
 
 
 def feature_windows(
@@ -362,7 +478,16 @@ def failure_counter(key: str, key_type: str, threshold: int = 3) -> Machine:
         out.insert(0, key, pdf[key].iloc[0])
         return out, count
 
-    return Machine(step, f"{key} {key_type}, row_id bigint, t double", ["t", "row_id"])
+    def build(pdf, state):
+        """Whether a success sets the count, and what the chunk adds to it or leaves."""
+        failed = pdf["failed"].to_numpy(dtype=bool)
+        return [not failed.all(), int(state) if not failed.all() else len(failed)]
+
+    def apply(summary, before):
+        fixed, count = summary
+        return count if fixed else (before + count) % threshold
+
+    return Machine(step, f"{key} {key_type}, row_id bigint, t double", ["t", "row_id"], Jump(build, apply, ["failed"]))
 
 
 def sliding_evidence(key: str, key_type: str, size: int = 60, stride: int = 10) -> Machine:
