@@ -99,6 +99,10 @@ def corridor_graph(
     return durable(nodes), durable(edges)
 
 
+#: Scores of one band differ by less than this, so exp of the differences stays far within a double.
+SCORE_BAND = 64.0
+
+
 def edge_scores(edges: DataFrame, nodes: DataFrame, weights: Weights) -> DataFrame:
     """Edges with the features of their source and the attention score of their message."""
     size = len(next(iter(weights.matrices.values())))
@@ -115,17 +119,23 @@ def edge_scores(edges: DataFrame, nodes: DataFrame, weights: Weights) -> DataFra
 def attention_sums(scored: DataFrame, kinds: list[str], size: int, floor: float = 1e-8) -> DataFrame:
     """Per target the attention-weighted feature sums of each edge type.
 
-    The weights are ``exp(s - max) / (sum(exp(s - max)) + floor)``; the maximum
-    of each target comes first, so that no score is too large for ``exp``.
+    The weights are ``exp(s - max) / (sum(exp(s - max)) + floor)``. Scores are summed up by target and band of scores, each
+    relative to its band, so that no score is too large for ``exp``, and bands are scaled to the target's maximum when they
+    meet. Tasks add up their own edges first: a target with many edges sends a row for each task and band, no edges.
     """
-    tops = scored.groupBy("dst").agg(F.max("score").alias("_top"))
-    scored = scored.join(tops, "dst")
-    e = F.exp(F.col("score") - F.col("_top"))
+    banded = scored.withColumn("_band", F.coalesce(F.floor(F.col("score") / SCORE_BAND), F.lit(0)).cast("double"))
+    e = F.exp(F.col("score") - F.col("_band") * SCORE_BAND)
+    names = [f"_s{n}_{i}" for n in range(len(kinds)) for i in range(size)]
     parts = [
         F.sum(F.when(F.col("type") == k, e * F.col("weight") * F.get("x", i)).otherwise(0.0)).alias(f"_s{n}_{i}")
         for n, k in enumerate(kinds) for i in range(size)
     ]
-    sums = scored.groupBy(F.col("dst").alias("id")).agg(F.sum(e).alias("_e"), *parts)
+    bands = banded.groupBy("dst", "_band").agg(F.max("score").alias("_top"), F.sum(e).alias("_e"), *parts)
+    ranked = bands.groupBy("dst").agg(F.max("_top").alias("_top"), F.collect_list(F.struct("_band", "_e", *names)).alias("_bands"))
+    total = lambda name: F.aggregate(
+        "_bands", F.lit(0.0), lambda acc, b: acc + F.exp(b["_band"] * SCORE_BAND - F.col("_top")) * b[name]
+    ).alias(name)
+    sums = ranked.select(F.col("dst").alias("id"), *map(total, ["_e", *names]))
     share = lambda n, i: F.col(f"_s{n}_{i}") / (F.col("_e") + floor)
     return sums.select("id", *[F.array(*[share(n, i) for i in range(size)]).alias(f"m{n}") for n in range(len(kinds))])
 

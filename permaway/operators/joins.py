@@ -7,15 +7,13 @@ a crowded stretch of track is cut into chunks like any other hot key.
 
 from __future__ import annotations
 
-import bisect
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permaway.functions.scalars import one_per_key
 from permaway.operators.fold import Jump, ordered_fold
-from permaway.operators.scan import earlier_max, last_known, next_known, ordered_scan, running_max, running_min
+from permaway.operators.scan import earlier_max, last_known, next_known, ordered_scan, row_number, running_max, running_min
 from permaway.sources.corridor import CONFIG_FIELDS, TRAIN_CONFIGS
 
 
@@ -35,29 +33,37 @@ def segment_edges(stations: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
-def _first_open_range(pdf: pd.DataFrame, active: list | None) -> tuple[pd.DataFrame, list]:
-    """Walk over range starts and ends; after each, the lowest order among the open ranges."""
-    active = list(active or [])
-    lowest = []
-    for order, kind in zip(pdf["_order"].tolist(), pdf["_kind"].tolist()):
-        if kind == 0:
-            bisect.insort(active, order)
-        elif order in active:  # absent only while a chunk runs on a guessed state
-            active.remove(order)
-        lowest.append(active[0] if active else None)
-    out = pd.DataFrame({"_at": pdf["_at"].to_numpy(), "_kind": pdf["_kind"].to_numpy(), "_seq": pdf["_order"].to_numpy()})
-    out["_hit"] = pd.array(lowest, dtype="Int64")
-    return out, active
+#: Of the dyadic intervals, those of so many upper levels are joined by broadcast: at most 2 to this power, less one.
+UPPER_LEVELS = 12
+
 
+def _cover(a: str, b: str) -> Column:
+    """The dyadic intervals (level, node) that make up the whole numbers from ``a`` to before ``b``: at most two a level."""
+    low, high = f"cast(ceil({a} / pow(2D, k)) AS bigint)", f"shiftright({b}, k)"
+    pair = f"""array(
+        if({low} < {high} AND {low} % 2 = 1, named_struct('level', k, 'node', {low}), NULL),
+        if({low} < {high} AND {high} % 2 = 1, named_struct('level', k, 'node', {high} - 1), NULL))"""
+    levels = f"sequence(0, cast(ceil(log2({b} + 1)) AS int))"
+    return F.expr(f"filter(flatten(transform({levels}, k -> {pair})), x -> x IS NOT NULL)")
 
-def _range_changes(pdf: pd.DataFrame, left_open: list) -> dict:
-    """Ranges a chunk leaves open, and those it closes that were open before."""
-    opened = set(pdf["_order"][pdf["_kind"] == 0])
-    return {"open": left_open, "closed": [int(o) for o in pdf["_order"][pdf["_kind"] == 2] if o not in opened]}
 
+def first_open_ranges(ends: DataFrame) -> DataFrame:
+    """``_hit``, the lowest order among the ranges that are open after each entry of ``ends`` (_at, _kind, _order), by ``_rank``.
 
-def _change_ranges(summary: dict, before: list) -> list:
-    return sorted((set(before) - set(summary["closed"])) | set(summary["open"]))
+    Entries are numbered in order. A range is open from its start's number to before its end's, which is a few dyadic
+    intervals; each interval keeps the lowest order, and each entry looks at the intervals that it lies in, one a level.
+    """
+    numbered = ordered_scan(ends, [], ["_at", "_kind", "_order"], [row_number("_rank")])
+    place = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_rank")))
+    open_ = numbered.groupBy("_order").agg(place(0).alias("_a"), place(2).alias("_b")).filter("_a < _b")
+    nodes = open_.select("_order", F.explode(_cover("_a", "_b")).alias("_n")).groupBy("_n.level", "_n.node").agg(F.min("_order").alias("_low"))
+    top = max(ends.count(), 1).bit_length()
+    cut = top - UPPER_LEVELS
+    seen = numbered.select("_at", "_kind", "_rank", F.expr(f"explode(sequence(0, {top})) AS level")).withColumn("node", F.expr("shiftright(_rank, level)"))
+    # Every entry lies in the few intervals of the upper levels, so those would be hot keys of a shuffle.
+    lower = seen.filter(F.col("level") <= cut).join(nodes.filter(F.col("level") <= cut), ["level", "node"], "left")
+    upper = seen.filter(F.col("level") > cut).join(F.broadcast(nodes.filter(F.col("level") > cut)), ["level", "node"], "left")
+    return lower.unionByName(upper).groupBy("_at", "_kind", "_rank").agg(F.min("_low").alias("_hit"))
 
 
 def range_lookup(
@@ -66,6 +72,8 @@ def range_lookup(
 ) -> DataFrame:
     """Add the first range (by its unique integer ``order``) that holds each point, both ends included.
 
+    A range that ends before it starts, or that lacks either, holds nothing.
+
     The ranges become a sorted list of starts and ends carrying the range that
     wins from there on; points take the entry before them in one ordered scan
     and fetch the range by an equi join. No point meets every range.
@@ -77,17 +85,14 @@ def range_lookup(
             F.struct(F.col(end).cast("double").alias("_at"), F.lit(2).alias("_kind")),
         )).alias("_e"),
     ).select("_e.*", "_order")
-    winners = ordered_fold(
-        ends, [], ["_at", "_kind", "_order"], _first_open_range, "_at double, _kind int, _seq bigint, _hit bigint",
-        jump=Jump(_range_changes, _change_ranges, ["_order", "_kind"]),
-    )
+    winners = first_open_ranges(ends.filter(F.col("_at").isNotNull() & ~F.isnan("_at")))
     # Order at one place: starts (0), points (1), ends (2).
     both = points.select(
         F.col(at).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.col(point_id).cast("string").alias("_id"),
         F.lit(None).cast("struct<hit: bigint>").alias("_w"), F.struct("*").alias("_p"),
     ).unionByName(
         winners.select(
-            "_at", "_kind", F.format_string("%020d", "_seq").alias("_id"), F.struct(F.col("_hit").alias("hit")).alias("_w"),
+            "_at", "_kind", F.format_string("%020d", "_rank").alias("_id"), F.struct(F.col("_hit").alias("hit")).alias("_w"),
             F.lit(None).cast(points.schema).alias("_p"),
         )
     )
