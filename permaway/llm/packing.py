@@ -8,10 +8,13 @@ the emptiest, as are those left at the end; the last one is cut at powers of two
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,8 @@ from permaway.llm.store import text_of
 
 #: Windows that a task holds open.
 OPEN_WINDOWS = 512
-#: Words whose ids a worker remembers; bytes of pieces in one batch of rows; texts that are tokenised at once.
-KNOWN, BATCH_BYTES, TEXTS = 300_000, 8 << 20, 256
+#: Words whose ids a worker remembers; bytes of pieces in one batch of rows; texts that are tokenised at once, and new words in one of them.
+KNOWN, BATCH_BYTES, TEXTS, WORDS = 700_000, 8 << 20, 512, 256
 
 Piece = tuple[int, int, int]  # document, its ids before the piece, ids in the piece
 
@@ -114,25 +117,55 @@ class Packer:
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space, one word at a time."""
+    """Ids of texts by a tokenizer that drops white space. New words are encoded many at once, with a special token between them."""
 
     def __init__(self, model: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        plain = {i: x.content for i, x in added.items() if x.special and not x.normalized and x.content.isascii() and not x.content.isspace()}
+        self.border, self.mark = next(iter(plain.items()), (None, None))
+        #: A tokenizer that lowers letters gives words in capitals the ids of small ones; special tokens are found before that.
+        self.special = [x.content.encode() for x in added.values()]
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(model).get("normalizer"))
         self.known = Memo(self._encode, KNOWN)
 
+    def _words(self, text: str | None) -> list[bytes]:
+        data = (text or "").encode()
+        if self.lowers:
+            low = data.lower()
+            data = data if any(x in low for x in self.special) else low
+        return data.split()
+
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in encoded]
+        mark = self.mark.encode() if self.mark else b""
+        found = {}
+        together = [x for x in words if mark not in x] if mark else []
+        for low in range(0, len(together), WORDS * TEXTS):
+            some = together[low : low + WORDS * TEXTS]
+            found.update(zip(some, self._together(some), strict=True))
+        others = [x for x in words if x not in found]
+        alone = self.tokenizer.encode_batch_fast([x.decode() for x in others], add_special_tokens=False)
+        found.update(zip(others, (array("I", x.ids).tobytes() for x in alone), strict=True))
+        return [found[x] for x in words]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that do not hold the mark; each text of many words ends with the mark too."""
+        border = f" {self.mark} ".encode()
+        texts = [border.join([*words[i : i + WORDS], b""]).decode() for i in range(0, len(words), WORDS)]
+        ids = np.array(list(chain.from_iterable([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])), np.uint32)
+        ends = np.flatnonzero(ids == self.border)
+        data, cuts = ids.tobytes(), [-4, *(4 * ends).tolist()]
+        return [data[i + 4 : j] for i, j in pairwise(cuts)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [(x or "").encode().split() for x in texts]
+        words = [self._words(x) for x in texts]
         ids = self.known.values(set().union(*words))
-        return [b"".join(map(ids.__getitem__, x)) for x in words]
+        # itemgetter gives a tuple of two values at least, so the last key comes twice.
+        return [b"".join(itemgetter(*x, x[-1])(ids)[:-1]) if x else b"" for x in words]
 
 
 @lru_cache(maxsize=2)
@@ -145,7 +178,8 @@ def pack(documents: DataFrame, model_path: str, end_id: int, capacity: int = 409
 
     A document is the ids of its text and end_id; a null or empty text is end_id alone. Pieces of a sequence follow each
     other from offset 0. Sequences hold `capacity` ids, but for at most 12 a task that hold a power of two. The tokenizer
-    must drop white space and tokenise the words between by themselves; strings of special tokens are ordinary text.
+    must drop white space and tokenise the words between by themselves; strings of special tokens in a text give their ids, as
+    the tokenizer's file has it.
     Repeated rows and null ids are rows like any other; no rows give no rows.
     """
     with open(model_path, encoding="utf-8") as f:

@@ -14,9 +14,7 @@ MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(MODEL)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(MODEL)
 
 
 def slow_level(count, size, capacity):
@@ -71,7 +69,7 @@ def check(rows, want, capacity):
 def test_texts(spark, tokenizer):
     pick = random.Random(1)
     chars = "abcde fgh \n\té'sS!?12 <|endoftext|>漢Σß́ "
-    texts = [None, "", " ", "<|endoftext|>", "word " * 5000, "x" * 3000] + ["".join(pick.choice(chars) for _ in range(pick.randint(0, 900))) for _ in range(300)]
+    texts = [None, "", " ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|><|endoftext|> <|endof text|>", "word " * 5000, "x" * 3000] + ["".join(pick.choice(chars) for _ in range(pick.randint(0, 900))) for _ in range(300)]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, start int").repartition(3)
     want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
     for capacity in (64, 4096):
