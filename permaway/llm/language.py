@@ -23,8 +23,8 @@ from permaway.llm.words import LOWER, slices, text_bytes
 #: Lengths of the n-grams, and the buckets of each length (a power of two).
 LENGTHS, BUCKET_BITS = (3, 4, 5), 14
 WIDTH = len(LENGTHS) << BUCKET_BITS
-#: Texts that are scored by one product.
-ROWS = 64
+#: Texts that are scored by one product; buckets that are unpacked at once when the model is fitted.
+ROWS, BLOCK = 64, 1 << 12
 #: Bounds of the training sample: texts a language, landmarks of these, bytes of a text. Longer texts are not learned from.
 SAMPLE, LANDMARKS, SAMPLE_BYTES = 300, 100, 20_000
 RIDGE = 1e-2
@@ -60,18 +60,30 @@ def _normal(bits: np.ndarray) -> np.ndarray:
     return np.where(own > 0, 1 / np.sqrt(np.maximum(own, 1)), 0).astype(np.float32)
 
 
+def _unpacked(packed: np.ndarray, low: int) -> np.ndarray:
+    """One block of buckets of packed presence rows."""
+    return np.unpackbits(packed[:, low // 8 : (low + BLOCK) // 8], axis=1).astype(np.float32)
+
+
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> LanguageModel:
     """Nyström features from the first landmarks of each language, then ridge regression of one language against the rest."""
     names = sorted(set(languages))
     if not names:
         return LanguageModel([], np.zeros((WIDTH, 0), np.float32))
     data, offsets = text_bytes(pa.array(texts, pa.string()))
-    bits = np.concatenate([presence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, rows=ROWS)])
-    norm = _normal(bits)
+    # Presence rows are held packed, and the kernel is summed up over blocks of buckets: one block of all rows is unpacked at a time.
+    packed, norm = [], []
+    for i, j in slices(offsets, rows=ROWS):
+        bits = presence(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        packed.append(np.packbits(bits, axis=1))
+        norm.append(_normal(bits))
+    packed, norm = np.concatenate(packed), np.concatenate(norm)
     kinds = np.array([names.index(x) for x in languages])
     marks = np.concatenate([np.flatnonzero(kinds == k)[:landmarks] for k in range(len(names))])
-    points = bits[marks].astype(np.float32) * norm[marks, None]
-    kernel = np.concatenate([(bits[i : i + ROWS].astype(np.float32) * norm[i : i + ROWS, None]) @ points.T for i in range(0, len(bits), ROWS)]).astype(float)
+    kernel = np.zeros((len(packed), len(marks)))
+    for low in range(0, WIDTH, BLOCK):
+        kernel += _unpacked(packed, low) @ _unpacked(packed[marks], low).T
+    kernel *= norm[:, None] * norm[marks]
     values, vectors = np.linalg.eigh(kernel[marks])
     large = values > 1e-6 * values[-1]
     project = vectors[:, large] / np.sqrt(values[large])
@@ -80,7 +92,8 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> L
     weighted = features * share[kinds][:, None]  # each language counts alike
     ridge = weighted.T @ features + RIDGE * np.eye(features.shape[1]) / len(names)
     solved = np.linalg.solve(ridge, weighted.T @ (kinds[:, None] == np.arange(len(names))))
-    return LanguageModel(names, (points.T @ (project @ solved)).astype(np.float32))
+    solved = norm[marks, None] * (project @ solved)
+    return LanguageModel(names, np.concatenate([_unpacked(packed[marks], low).T @ solved for low in range(0, WIDTH, BLOCK)]).astype(np.float32))
 
 
 def scores(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
