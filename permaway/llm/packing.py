@@ -27,7 +27,7 @@ from permaway.llm.store import text_of
 #: Windows that a task holds open.
 OPEN_WINDOWS = 512
 #: Words whose ids a worker remembers; bytes of pieces in one batch of rows; texts that are tokenised at once, and new words in one of them.
-KNOWN, BATCH_BYTES, TEXTS, WORDS = 700_000, 8 << 20, 512, 256
+KNOWN, BATCH_BYTES, TEXTS, WORDS = 500_000, 8 << 20, 512, 256
 
 Piece = tuple[int, int, int]  # document, its ids before the piece, ids in the piece
 

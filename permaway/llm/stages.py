@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permaway.llm import language, neardup, packing, quality, substrings
+from permaway.llm.store import short_batches
 
 #: Ridge score that a text's language must reach; texts without a letter are `und` and go.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -47,11 +48,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens, with their ids."""
+    short_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     """Whole rows as one column, so that their names cannot clash with others."""
+    short_batches(docs.sparkSession)
     return docs.select(F.struct("*").alias("row"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LONG_MAX = (1 << 63) - 1
+#: Rows of one Arrow batch.
+BATCH_ROWS = 2048
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -93,6 +95,13 @@ def list_array(offsets, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let workers take at most BATCH_ROWS rows at once in this session: rows hold texts, and a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_of(documents: DataFrame) -> DataFrame:
     """Only the columns that operators use, so that others cannot clash with theirs."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
