@@ -26,8 +26,8 @@ from permaway.llm.store import text_of
 
 #: Windows that a task holds open.
 OPEN_WINDOWS = 512
-#: Words whose ids a worker remembers; bytes of pieces in one batch of rows; texts that are tokenised at once, and new words in one of them.
-KNOWN, BATCH_BYTES, TEXTS, WORDS = 500_000, 8 << 20, 512, 256
+#: Words whose ids a worker remembers (some 400 bytes each); bytes of pieces in one batch of rows; texts that are tokenised at once, and new words in one of them.
+KNOWN, BATCH_BYTES, TEXTS, WORDS = 800_000, 8 << 20, 512, 256
 
 Piece = tuple[int, int, int]  # document, its ids before the piece, ids in the piece
 
@@ -119,7 +119,7 @@ class Packer:
 class WordIds:
     """Ids of texts by a tokenizer that drops white space. New words are encoded many at once, with a special token between them."""
 
-    def __init__(self, model: str) -> None:
+    def __init__(self, model: str, remember: int = KNOWN) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -130,7 +130,7 @@ class WordIds:
         #: A tokenizer that lowers letters gives words in capitals the ids of small ones; special tokens are found before that.
         self.special = [x.content.encode() for x in added.values()]
         self.lowers = '"Lowercase"' in json.dumps(json.loads(model).get("normalizer"))
-        self.known = Memo(self._encode, KNOWN)
+        self.known = Memo(self._encode, remember)
 
     def _words(self, text: str | None) -> list[bytes]:
         data = (text or "").encode()
@@ -168,12 +168,12 @@ class WordIds:
         return [b"".join(itemgetter(*x, x[-1])(ids)[:-1]) if x else b"" for x in words]
 
 
-@lru_cache(maxsize=2)
-def word_ids(model: str) -> WordIds:
-    return WordIds(model)
+@lru_cache(maxsize=1)
+def word_ids(model: str, remember: int) -> WordIds:
+    return WordIds(model, remember)
 
 
-def pack(documents: DataFrame, model_path: str, end_id: int, capacity: int = 4096) -> DataFrame:
+def pack(documents: DataFrame, model_path: str, end_id: int, capacity: int = 4096, remember: int = KNOWN) -> DataFrame:
     """One row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id and offset.
 
     A document is the ids of its text and end_id; a null or empty text is end_id alone. Pieces of a sequence follow each
@@ -188,7 +188,7 @@ def pack(documents: DataFrame, model_path: str, end_id: int, capacity: int = 409
     kind = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = word_ids(model), Packer(capacity)
+        ids_of, packer = word_ids(model, remember), Packer(capacity)
         held: dict[int, list] = {}  # of documents with pieces in open windows: doc_id, ids, ids not put out
         sequence, number = TaskContext.get().partitionId() << 40, 0
 
