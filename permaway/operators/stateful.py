@@ -8,6 +8,7 @@ input columns, output schema and sort order in ``Machine``.
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -490,6 +491,48 @@ def failure_counter(key: str, key_type: str, threshold: int = 3) -> Machine:
     return Machine(step, f"{key} {key_type}, row_id bigint, t double", ["t", "row_id"], Jump(build, apply, ["failed"]))
 
 
+def acknowledged_buffer(key: str, key_type: str, id_type: str, size: int = 864_000) -> Machine:
+    """A buffer of at most ``size`` unacknowledged events per node, in the order of arrival.
+
+    Input: ``t``, ``row_id``, ``kind`` (write or ack), ``event_id``, ``ts`` (the event's own time). A write into a full buffer
+    first evicts the event with the earliest ``ts``, the first to arrive of equal ones; then it is stored unless its id is
+    there. An acknowledgement removes its event. Output: each row with its ``outcome`` (stored, ignored, acked, unknown),
+    the event it ``evicted`` (see overflow_log), and the number ``pending`` after it.
+    """
+    def step(pdf, state):
+        held = {entry[3]: tuple(entry) for entry in state or []}
+        queue = sorted(held.values())
+        rows = []
+        for t, row_id, kind, event_id, ts in zip(*[pdf[c].tolist() for c in ("t", "row_id", "kind", "event_id", "ts")]):
+            evicted = None
+            if kind == "ack":
+                outcome = "acked" if held.pop(event_id, None) else "unknown"
+            else:
+                while len(held) >= size and evicted is None:
+                    entry = heapq.heappop(queue)
+                    if held.get(entry[3]) == entry:  # others were acknowledged before
+                        evicted = entry[3]
+                        del held[evicted]
+                outcome = "ignored" if event_id in held else "stored"
+                if outcome == "stored":
+                    held[event_id] = (ts, t, row_id, event_id)
+                    heapq.heappush(queue, held[event_id])
+            rows.append((row_id, t, event_id, outcome, evicted, len(held)))
+        out = pd.DataFrame(rows, columns=["row_id", "t", "event_id", "outcome", "evicted", "pending"])
+        if pd.api.types.is_numeric_dtype(pdf["event_id"]):
+            out["evicted"] = out["evicted"].astype("Int64")
+        out.insert(0, key, pdf[key].iloc[0])
+        return out, [list(x) for x in sorted(held.values())]
+
+    schema = f"{key} {key_type}, row_id bigint, t double, event_id {id_type}, outcome string, evicted {id_type}, pending bigint"
+    return Machine(step, schema, ["t", "row_id"])
+
+
+def overflow_log(log: DataFrame, key: str) -> DataFrame:
+    """The events that writes into a full buffer evicted, and when."""
+    return log.filter(F.col("evicted").isNotNull()).select(key, F.col("evicted").alias("event_id"), F.col("t").alias("evicted_at"))
+
+
 def sliding_evidence(key: str, key_type: str, size: int = 60, stride: int = 10) -> Machine:
     """Sliding windows of traffic rows with their raw messages, for scoring and as evidence.
 

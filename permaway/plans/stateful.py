@@ -120,6 +120,32 @@ def failure_counter(spark, folder):
     return stateful.run(e, ["user_id"], stateful.failure_counter("user_id", "bigint")).select("user_id", "row_id")
 
 
+# Each event is written, every seventh again; every third is acknowledged. Sensor times run behind by up to four steps.
+_OPS = f"""SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, row_id) AS rn FROM (
+      SELECT user_id, event_id, us / 1e6 - (k % 5) * 20000 AS ts, unnest(CASE WHEN k % 7 = 0 THEN [0, 1] ELSE [0] END) AS n, 'write' AS kind, event_id * 3 + n AS row_id, us / 1e6 + n * 5000 AS t FROM {EVENTS_SQL} e
+      UNION ALL SELECT user_id, event_id, us / 1e6 - (k % 5) * 20000, 2, 'ack', event_id * 3 + 2, us / 1e6 + 90000 FROM {EVENTS_SQL} e WHERE event_id % 3 = 0) x"""
+
+
+@query(f"""
+    WITH RECURSIVE r AS ({_OPS}), s AS (
+      SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS row_id, CAST([] AS STRUCT(ts DOUBLE, rn BIGINT, id BIGINT)[]) AS held, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS evicted FROM r
+      UNION ALL SELECT user_id, rn, row_id,
+        CASE WHEN kind = 'ack' THEN list_filter(held, lambda x: x.id <> event_id) WHEN there THEN rest ELSE list_sort(list_append(rest, {{'ts': ts, 'rn': rn, 'id': event_id}})) END,
+        CASE WHEN kind = 'ack' THEN CASE WHEN there THEN 'acked' ELSE 'unknown' END WHEN there THEN 'ignored' ELSE 'stored' END, evicted FROM (
+        SELECT *, len(list_filter(rest, lambda x: x.id = event_id)) > 0 AS there FROM (
+          SELECT r.*, s.held, CASE WHEN r.kind = 'write' AND len(s.held) >= 4 THEN s.held[1].id END AS evicted, CASE WHEN r.kind = 'write' AND len(s.held) >= 4 THEN s.held[2:] ELSE s.held END AS rest
+          FROM s JOIN r ON r.user_id = s.user_id AND r.rn = s.rn + 1) x) y)
+    SELECT user_id, row_id, outcome, evicted, len(held) AS pending FROM s WHERE rn > 0""")
+def buffer_with_acks(spark, folder):
+    e = readings(spark, folder).select("user_id", F.col("row_id").alias("event_id"), (F.col("t") - F.col("k") % 5 * 20000).alias("ts"), "t", "k")
+    again = F.when(F.col("k") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    writes = e.select("user_id", "event_id", "ts", "t", F.lit("write").alias("kind"), F.explode(again).alias("n"))
+    acks = e.filter("event_id % 3 = 0").select("user_id", "event_id", "ts", "t", F.lit("ack").alias("kind"), F.lit(2).alias("n"))
+    moved = F.col("t") + F.when(F.col("n") == 2, 90000).otherwise(F.col("n") * 5000)
+    ops = writes.unionByName(acks).select("user_id", "event_id", "ts", "kind", moved.alias("t"), (F.col("event_id") * 3 + F.col("n")).alias("row_id"))
+    return stateful.run(ops, ["user_id"], stateful.acknowledged_buffer("user_id", "bigint", "bigint", size=4)).drop("t", "event_id")
+
+
 @query()
 def suppress_alerts(spark, folder):
     """Defect alerts on a coarse grid of places, so that many fall within reach of each other."""
