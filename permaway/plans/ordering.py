@@ -203,14 +203,20 @@ def sustained_alerts(spark, folder):
 
 @query(f"""
     WITH p AS (SELECT user_id, us / 1e6 AS t, value, lag(us / 1e6) OVER (PARTITION BY user_id ORDER BY us) AS pt, lag(value) OVER (PARTITION BY user_id ORDER BY us) AS pv FROM {EVENTS_SQL} e),
-    n AS (SELECT *, CASE WHEN t - pt > 300 THEN least(CAST(round_even(t - pt, 0) AS BIGINT) - 1, 24) ELSE 0 END AS n FROM p)
-    SELECT user_id, round(t, 3) AS t, round(value, 6) AS value, FALSE AS is_interpolated FROM n
-    UNION ALL SELECT user_id, round(pt + i * ((t - pt) / (n + 1)), 3), round((1 - i / (n + 1)) * pv + i / (n + 1) * value, 6), TRUE
-      FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n WHERE n > 0) u""")
+    n AS (SELECT *, CASE WHEN t - pt > 300 THEN least(CAST(round_even(t - pt, 0) AS BIGINT) - 1, 1799) ELSE 0 END AS n FROM p),
+    f AS (SELECT user_id, t, value, FALSE AS is_interpolated FROM n
+      UNION ALL SELECT user_id, pt + i * ((t - pt) / (n + 1)), (1 - i / (n + 1)) * pv + i / (n + 1) * value, TRUE FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n WHERE n > 0) u)
+    SELECT user_id, is_interpolated, count(*) AS rows, round(min(t), 3) AS first, round(max(t), 3) AS last, round(min(value), 6) AS lowest, round(max(value), 6) AS highest, round(avg(value), 6) AS mean
+    FROM f GROUP BY 1, 2""")
 def gap_fill(spark, folder):
+    """Every gap filled up to the operator's own limit: what each asset's own and filled readings come to."""
     e = events(spark, folder).select("user_id", (F.col("us") / 1e6).alias("t"), "value", "event_id")
-    out = ordered.gap_fill(e, "user_id", "t", ["value"], "event_id", most=24)
-    return out.select("user_id", F.round("t", 3).alias("t"), F.round("value", 6).alias("value"), "is_interpolated")
+    out = ordered.gap_fill(e, "user_id", "t", ["value"], "event_id")
+    digits = lambda c, n, name: F.round(c, n).alias(name)
+    return out.groupBy("user_id", "is_interpolated").agg(
+        F.count(F.lit(1)).alias("rows"), digits(F.min("t"), 3, "first"), digits(F.max("t"), 3, "last"),
+        digits(F.min("value"), 6, "lowest"), digits(F.max("value"), 6, "highest"), digits(F.avg("value"), 6, "mean"),
+    )
 
 
 @query(f"""

@@ -64,11 +64,12 @@ def write_with_retry(
     alert_path: str,
     *,
     event_id: str = "event_id",
+    topic: str | None = None,
     delays: tuple[float, ...] = RETRY_DELAYS,
 ) -> bool:
     """Write a batch in up to three attempts; then keep it in the failure table and raise an alert row.
 
-    Usable as the body of ``foreachBatch``. Nothing is dropped.
+    Usable as the body of ``foreachBatch``. Nothing is dropped. ``topic`` names where the rows came from; without it a column of that name does.
     """
     for attempt in range(len(delays) + 1):
         try:
@@ -78,11 +79,12 @@ def write_with_retry(
             if attempt < len(delays):
                 time.sleep(delays[attempt])
             else:
-                reason = str(error)[:500]
+                reason = str(error)
     kept = df.select(
         F.coalesce(F.col(event_id).cast("string"), F.lit("unknown")).alias("event_id"),
         F.to_json(F.struct(*df.columns)).alias("payload_json"),
         F.current_timestamp().alias("failed_at"),
+        (F.col("topic").cast("string") if topic is None and "topic" in df.columns else F.lit(topic).cast("string")).alias("topic"),
     )
     kept.write.mode("append").parquet(failed_path)
     alert = df.agg(F.count(F.lit(1)).alias("events")).select(
@@ -93,6 +95,11 @@ def write_with_retry(
     return False
 
 
+def failure_depth(failed: DataFrame) -> DataFrame:
+    """How many events the failure table holds, by topic, and since when."""
+    return failed.groupBy("topic").agg(F.count(F.lit(1)).alias("depth"), F.min("failed_at").alias("oldest"))
+
+
 def write_epoch(df: DataFrame, epoch: int, path: str, partition_by: list[str]) -> None:
     """``foreachBatch`` body that may run again: each epoch owns one folder and overwrites it."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/epoch={epoch}")

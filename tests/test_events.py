@@ -121,6 +121,10 @@ def test_write_retry_keeps_rows(spark, tmp_path):
     assert len(tries) == 3
     assert spark.read.parquet(f"{tmp_path}/failed").count() == 2
     assert spark.read.parquet(f"{tmp_path}/alerts").first()["events"] == 2
+    long_ = lambda d: (_ for _ in ()).throw(OSError("down " * 400))
+    assert not series.write_with_retry(df, long_, f"{tmp_path}/failed", f"{tmp_path}/alerts", topic="gps", delays=())
+    assert {r["topic"]: r["depth"] for r in series.failure_depth(spark.read.parquet(f"{tmp_path}/failed")).collect()} == {None: 2, "gps": 2}
+    assert max(len(r["reason"]) for r in spark.read.parquet(f"{tmp_path}/alerts").collect()) >= 2000
     assert series.write_with_retry(df, lambda d: d.count(), f"{tmp_path}/failed", f"{tmp_path}/alerts")
 
 
