@@ -146,7 +146,19 @@ def buffer_with_acks(spark, folder):
     return stateful.run(ops, ["user_id"], stateful.acknowledged_buffer("user_id", "bigint", "bigint", size=4)).drop("t", "event_id")
 
 
-@query()
+_METRES = """2 * 6371000 * atan2(sqrt(pow(sin(radians(r.lat - o.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(o.lat)) * pow(sin(radians(r.lon - o.lon) / 2), 2)),
+          sqrt(1 - (pow(sin(radians(r.lat - o.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(o.lat)) * pow(sin(radians(r.lon - o.lon) / 2), 2))))"""
+
+
+@query(f"""
+    WITH RECURSIVE r AS (SELECT event_type, event_id, us / 1e6 / 200 AS t, 28.6::DOUBLE + (user_id % 12) * 0.0003::DOUBLE AS lat, 77.2::DOUBLE + (k % 5) * 0.0002::DOUBLE AS lon,
+        row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) AS rn FROM {EVENTS_SQL} e),
+    s AS (
+      SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(t DOUBLE, id BIGINT, lat DOUBLE, lon DOUBLE)[]) AS open, CAST(NULL AS BIGINT) AS original FROM r
+      UNION ALL SELECT event_type, rn, CASE WHEN len(near) > 0 THEN fresh ELSE list_append(fresh, {{'t': t, 'id': event_id, 'lat': lat, 'lon': lon}}) END, CASE WHEN len(near) > 0 THEN list_sort(near)[1].id ELSE event_id END FROM (
+        SELECT r.*, list_filter(s.open, lambda o: r.t - o.t <= 600) AS fresh, list_filter(s.open, lambda o: r.t - o.t <= 600 AND {_METRES} <= 50) AS near
+        FROM s JOIN r ON r.event_type = s.event_type AND r.rn = s.rn + 1) x)
+    SELECT event_type, original, count(*) - 1 AS suppressed_count FROM s WHERE rn > 0 GROUP BY 1, 2""")
 def suppress_alerts(spark, folder):
     """Defect alerts on a coarse grid of places, so that many fall within reach of each other."""
     e = readings(spark, folder).select(
@@ -156,11 +168,22 @@ def suppress_alerts(spark, folder):
     return kept.groupBy("event_type", "original").agg((F.count(F.lit(1)) - 1).alias("suppressed_count"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE r AS {_R}, s AS (
+      SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(t DOUBLE, v DOUBLE, k DOUBLE)[]) AS buffer, CAST(0 AS BIGINT) AS filled, CAST(NULL AS DOUBLE) AS t, CAST([] AS STRUCT(t DOUBLE, v DOUBLE, k DOUBLE)[]) AS win, CAST(0 AS BIGINT) AS had FROM r
+      UNION ALL SELECT user_id, rn, CASE WHEN len(grown) = 200 THEN [] ELSE grown END, CASE WHEN len(grown) = 200 THEN 0 ELSE total END, t, CASE WHEN len(grown) = 200 THEN grown ELSE [] END, total FROM (
+        SELECT user_id, rn, t, CASE WHEN old THEN held ELSE list_concat(list_concat(held, fills), [{{'t': t, 'v': value, 'k': k}}])[-200:] END AS grown, filled + CASE WHEN old THEN 0 ELSE len(fills) END AS total FROM (
+          SELECT *, coalesce(gap <= 0, FALSE) AS old, CASE WHEN gap > 3600 THEN list_transform(range(1, n + 1), lambda i: {{'t': last.t + i * (gap / (n + 1)), 'v': (1 - i / (n + 1)) * last.v + i / (n + 1) * value, 'k': (1 - i / (n + 1)) * last.k + i / (n + 1) * k}}) ELSE [] END AS fills FROM (
+            SELECT *, least(CAST(round_even(gap, 0) AS BIGINT) - 1, 199) AS n FROM (
+              SELECT r.user_id, r.rn, r.t, r.value, CAST(r.k AS DOUBLE) AS k, s.buffer AS held, s.filled, s.buffer[-1] AS last, r.t - s.buffer[-1].t AS gap
+              FROM s JOIN r ON r.user_id = s.user_id AND r.rn = s.rn + 1) x) y) z) w)
+    SELECT user_id, t, had / 200 * 100 AS interpolation_pct, round(list_avg(list_transform(win, lambda x: x.v)), 6) AS mean_value, round(list_avg(list_transform(win, lambda x: x.k)), 6) AS mean_k
+    FROM s WHERE len(win) > 0""")
 def asset_windows(spark, folder):
     """Asset windows with gap filling in the order of arrival, overflow included."""
     e = readings(spark, folder).select("user_id", "row_id", "t", "value", F.col("k").cast("double").alias("k"))
-    return stateful.run(e, ["user_id"], stateful.feature_windows("user_id", "bigint", ["value", "k"], size=200, longest_gap_s=3600.0))
+    out = stateful.run(e, ["user_id"], stateful.feature_windows("user_id", "bigint", ["value", "k"], size=200, longest_gap_s=3600.0))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_value", "mean_k")})
 
 
 @query(f"""

@@ -6,8 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Bytes of input that a range chunk stands for (see operators.scan and operators.fold).
-CHUNK_BYTES = 32 << 20
+# Bytes of input that a range chunk stands for (see operators.scan and operators.fold): at least, and at most where that
+# would make more chunks than MOST_CHUNKS, as each leaves a state.
+CHUNK_BYTES, LARGE_CHUNK_BYTES, MOST_CHUNKS = 32 << 20, 1 << 30, 20_000
 
 
 def build_session(app: str = "permaway", cores: str = "*") -> SparkSession:
@@ -40,7 +41,12 @@ def chunk_count(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     known = sum(x for x in sizes if x < 1 << 60)  # a leaf without statistics counts as nothing
-    return max(int(conf.get("spark.sql.shuffle.partitions", "200")), -(-known // CHUNK_BYTES))
+    return max(int(conf.get("spark.sql.shuffle.partitions", "200")), -(-known // chunk_bytes(known)))
+
+
+def chunk_bytes(known: int) -> int:
+    """Bytes of a chunk of an input of so many bytes."""
+    return min(max(CHUNK_BYTES, -(-known // MOST_CHUNKS)), LARGE_CHUNK_BYTES)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

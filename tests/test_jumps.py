@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from permaway import session
 from permaway.operators import fold, stateful
 
 EVENTS = ["success", "failure", "failure", "failure", "uploaded"]
@@ -66,3 +67,9 @@ def test_one_hot_key_over_many_chunks(spark, name):
     columns = list(want.columns)
     got, want = (x[columns].sort_values(["row_id"]).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9)
+
+
+def test_number_of_chunks():
+    sizes = [0, 1, 32 << 20, 10**12, 10**14]
+    chunks = [-(-x // session.chunk_bytes(x)) for x in sizes]
+    assert chunks[:3] == [0, 1, 1] and chunks[3] == session.MOST_CHUNKS and chunks[4] < 100_000
