@@ -100,3 +100,8 @@ def one_per_key(df: DataFrame, key: list[str], order: list[str] = ()) -> DataFra
         return df.distinct()
     smallest = df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_row"))
     return smallest.select(*[F.col(c) if c in key else F.col("_row")[c].alias(c) for c in df.columns])
+
+
+def hashed_number(text: Column, digits: int = 13) -> Column:
+    """The first hexadecimal digits of the text's MD5 as a whole number, which other engines give alike."""
+    return F.conv(F.substring(F.md5(text.cast("string")), 1, digits), 16, 10).cast("bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permaway.functions.arrays import clip_to_norm, gaussian_divergence, l2_norm
+from permaway.functions.scalars import hashed_number
 from permaway.operators.scan import ordered_scan, row_number
 
 NOISE_SIGMA = 1.1  # noise multiplier 1.1 times the clipping norm of 1.0
@@ -77,8 +78,7 @@ def private_noise(updates: DataFrame, key: str, *, vector: str = "gradients", si
         return updates
 
     def uniform(i: Column, salt: int) -> Column:
-        bits = F.pmod(F.xxhash64(F.col(key), i, F.lit(seed), F.lit(salt)), F.lit(1 << 52))
-        return (bits + 0.5) / float(1 << 52)
+        return (hashed_number(F.concat_ws("|", F.col(key).cast("string"), i.cast("string"), F.lit(f"{seed}|{salt}"))) + 0.5) / float(1 << 52)
 
     normal = lambda i: F.sqrt(-2.0 * F.log(uniform(i, 1))) * F.cos(2.0 * F.pi() * uniform(i, 2))
     return updates.withColumn(vector, F.transform(vector, lambda x, i: x + F.lit(sigma) * normal(i)))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from permaway.functions.arrays import haar_step
+from permaway.functions.scalars import hashed_number
 from permaway.operators.ordered import tumbling_windows
 from permaway.operators.stateful import kalman_level, run
 
@@ -258,7 +259,7 @@ def window_anomalies(scored: DataFrame, evidence: DataFrame, keys: list[str], *,
 def canary_version(request_id: Column, weights: dict[str, float], parts: int = 10_000) -> Column:
     """Model version of a request by traffic weight; the same request always takes the same version."""
     total, upto = sum(weights.values()), 0.0
-    place = F.pmod(F.xxhash64(request_id), F.lit(parts))
+    place = hashed_number(request_id) % parts
     out = F.lit(None).cast("string")
     for name, share in reversed(list(weights.items())):
         out = F.when(place < F.lit(sum(list(weights.values())[: list(weights).index(name) + 1]) / total * parts), F.lit(name)).otherwise(out)

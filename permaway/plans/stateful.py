@@ -374,7 +374,12 @@ def distances(spark, folder):
     return j.select("c_custkey", F.round(d, 3).alias("metres"))
 
 
-@query()
+_UNIFORM = "(CAST('0x' || substr(md5(concat_ws('|', vec_id, pos, 7, {})), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+
+@query(f"""
+    WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INTEGER AS pos FROM embeddings)
+    SELECT vec_id, pos, round(x + {federated.NOISE_SIGMA}::DOUBLE * (sqrt(-2.0::DOUBLE * ln({_UNIFORM.format(1)})) * cos(2.0::DOUBLE * pi() * ({_UNIFORM.format(2)}))), 6) AS x FROM v""")
 def private_noise(spark, folder):
     v = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("gradients"))
     out = federated.private_noise(v, "vec_id")
@@ -389,7 +394,7 @@ def privacy_budget(spark, folder):
     return federated.budget_left(rounds)
 
 
-@query()
+@query(f"SELECT event_id, CASE WHEN CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 13) AS BIGINT) % 10000 < 9000 THEN 'stable' ELSE 'candidate' END AS version FROM {EVENTS_SQL} e")
 def canary_split(spark, folder):
     version = signal.canary_version(F.col("event_id"), {"stable": 90.0, "candidate": 10.0})
     return events(spark, folder).select("event_id", version.alias("version"))
