@@ -215,7 +215,15 @@ def spectrum(spark, folder):
     return out.select("user_id", "win", *[F.round(c, 4).alias(c) for c in signal.SPECTRAL_FIELDS])
 
 
-@query()
+@query(f"""
+    WITH r AS (SELECT user_id, (rn - 1) // 32 AS win, (rn - 1) % 32 AS pos, value, count(*) OVER (PARTITION BY user_id) AS n FROM {_R} x),
+    x AS (SELECT * FROM r WHERE (win + 1) * 32 <= n),
+    h AS (SELECT d, sum(sin(2 * pi() * k * d / 32)) / 16 AS h FROM (SELECT unnest(range(-31, 32)) AS d) a, (SELECT unnest(range(1, 16)) AS k) b GROUP BY d),
+    e AS (SELECT x.user_id, x.win, x.pos, sqrt(any_value(x.value) * any_value(x.value) + power(sum(m.value * h.h), 2)) AS value
+      FROM x JOIN x m ON m.user_id = x.user_id AND m.win = x.win JOIN h ON h.d = x.pos - m.pos GROUP BY x.user_id, x.win, x.pos),
+    p AS (SELECT user_id, win, b.k, b.k * 125.0::DOUBLE AS f, power(sum(value * cos(2 * pi() * b.k * pos / 32)), 2) + power(sum(value * sin(2 * pi() * b.k * pos / 32)), 2) + 1e-12 AS w
+      FROM e, (SELECT unnest(range(16)) AS k) b GROUP BY user_id, win, b.k)
+    SELECT user_id, win, round(arg_max(f, w) FILTER (WHERE k > 0), 4) AS envelope_hz, round(10 * log10(max(w) FILTER (WHERE k > 0)), 4) AS envelope_db FROM p GROUP BY user_id, win""")
 def envelope(spark, folder):
     out = signal.envelope_features(sample_windows(spark, folder))
     return out.select("user_id", "win", F.round("envelope_hz", 4).alias("envelope_hz"), F.round("envelope_db", 4).alias("envelope_db"))
