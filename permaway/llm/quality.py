@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from permaway.llm.samples import labelled
 from permaway.llm.store import text_column, text_of
-from permaway.llm.words import SPACE, Words, grams, mix, slices, span_hashes, split_words, text_bytes
+from permaway.llm.words import SPACE, Words, block_hashes, grams, mix, slices, split_words, text_bytes
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 UPPER = np.isin(np.arange(256), list(range(ord("A"), ord("Z") + 1)))
@@ -90,7 +90,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     word_first, word_last = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
     n_words = word_last - word_first
 
-    keys = span_hashes(data, starts, ends) ^ mix(text.astype(np.uint64) + np.uint64(1))
+    keys = block_hashes(data, starts, ends) ^ mix(text.astype(np.uint64) + np.uint64(1))
     again = np.ones(len(keys), bool)
     again[np.unique(keys, return_index=True)[1]] = False
     again &= n_words > 0

@@ -1,11 +1,12 @@
 """Substring deduplication by level-wise doubling.
 
-Level 1 looks at windows of half the wanted length. Not at each: of every run of words that a wanted window spans, the
-half-length window with the smallest hash stands for the run, so that equal runs choose equal windows wherever they occur,
-and a wanted window that repeats always brings a level-1 window that repeats. Windows found in one document only are
-dropped. Level 2 extends the survivors to twice their length: of the documents that hold survivors, each wanted window
-around one is compared, and those that also start in a document with a smaller id decide. Doubling ends at the wanted
-length, beyond which no window changes the result.
+The lengths double from one of LEAST words or more up to the wanted one. Below it not every window is looked at: of all
+windows of a level's length that lie in a wanted window, the one with the smallest hash stands for it, so that equal wanted
+windows choose equal ones wherever they occur. One pass over the texts gives the chain of what each wanted window chose at every
+level. Level by level, chains whose window is found in one document only are dropped, and what is left is extended to twice
+the length, until no candidate survives or the wanted length is reached: there, of the documents that hold survivors, each
+wanted window around one is compared, and those that also start in a document with a smaller id decide. Doubling ends there, as
+longer windows cannot change the result.
 
 Documents of equal word sequence are one before level 1: of these only the smallest id is searched; the others repeat it
 whole. Texts travel once, and only counted hashes do otherwise.
@@ -22,7 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permaway.llm.store import Scratch, list_array, map_batches, text_hash, text_of
-from permaway.llm.words import Words, grams, slices, split_words, text_bytes
+from permaway.llm.words import Words, grams, inside, runs, slices, split_words, text_bytes
+
+#: No level below the wanted length has fewer words: windows that short repeat by chance.
+LEAST = 12
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words, list[bytes]]]:
@@ -45,40 +49,50 @@ def _running(values: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
     return values
 
 
-def _chosen(hashes: np.ndarray, text: np.ndarray, span: int) -> np.ndarray:
-    """Which windows are the smallest of a run of `span` windows of their text; of equals, all."""
-    if len(hashes) < span:
-        return np.zeros(len(hashes), bool)
-    low = _running(hashes, span, np.minimum)
-    low[text[: len(low)] != text[span - 1 :]] = 0  # runs over the border of two texts
-    # The runs that hold window i start at i - span + 1 .. i; the largest of their minima is its hash if one chose it.
-    edge = np.zeros(span - 1, np.uint64)
-    return _running(np.concatenate([edge, low, edge]), span, np.maximum) == hashes
+def levels(length: int, least: int = LEAST) -> list[int]:
+    """Window lengths up to the wanted one, each half of the next, rounded up."""
+    sizes = [length]
+    while sizes[0] > 1 and (half := -(-sizes[0] // 2)) >= least:
+        sizes.insert(0, half)
+    return sizes
+
+
+def _chains(words: Words, sizes: list[int], length: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct chains of each text, in its order: the text, and the hash that is chosen at each level below the wanted one."""
+    hashes = words.hashes()
+    text, place = inside(words.first, length)
+    lows = [_running(runs(hashes, size), length - size + 1, np.minimum)[place] for size in sizes] if len(place) else [place.astype(np.uint64)] * len(sizes)
+
+    def distinct(text, lows):
+        new = np.ones(len(text), bool)
+        if len(text):
+            new[1:] = text[1:] != text[:-1]
+            for low in lows:
+                new[1:] |= low[1:] != low[:-1]
+        return text[new], [low[new] for low in lows]
 
+    text, lows = distinct(text, lows)  # neighbours mostly choose the same
+    order = np.lexsort((*lows, text))
+    return distinct(text[order], [low[order] for low in lows])
 
-def _first_level(half: int, length: int):
+
+def _lower_levels(sizes: list[int], length: int):
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for low, high, words, joined in _sliced(batch):
-            hashes, text, _ = grams(words.hashes(), words.first, half)
-            chosen = _chosen(hashes, text, length - half + 1)
-            hashes, text = hashes[chosen], text[chosen]
-            order = np.lexsort((hashes, text))
-            hashes, text = hashes[order], text[order]
-            new = np.ones(len(hashes), bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-            hashes, text = hashes[new], text[new]
+            text, lows = _chains(words, sizes, length)
+            bounds = np.searchsorted(text, np.arange(high - low + 1))
             yield {
                 "doc_id": batch.column("doc_id")[low:high],
                 "text_hash": batch.column("text_hash")[low:high],
                 "n_words": pa.array(words.counts(), pa.int64()),
                 "words_sha256": pa.array([hashlib.sha256(x).digest() for x in joined], pa.binary()),
-                "windows": list_array(np.searchsorted(text, np.arange(high - low + 1)), pa.array(hashes.view(np.int64))),
+                **{f"level_{k}": list_array(bounds, pa.array(x.view(np.int64))) for k, x in enumerate(lows)},
             }
 
     return work
 
 
-def _second_level(half: int, length: int):
+def _last_level(half: int, length: int):
     """The distinct windows of the wanted length around the survivors of each document."""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -134,34 +148,44 @@ def _removed(length: int):
     return work
 
 
-def repeated_substrings(documents: DataFrame, length: int = 50) -> DataFrame:
+def _found_twice(windows: DataFrame, column: str) -> DataFrame:
+    """Windows that documents of different ids hold, and the smallest of these ids."""
+    return windows.groupBy(column).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(column, "low")
+
+
+def repeated_substrings(documents: DataFrame, length: int = 50, least: int = LEAST) -> DataFrame:
     """doc_id, text_hash, n_words, n_removed, kept_text and words_sha256 of every row.
 
     Words covered by a window of `length` words whose sequence also starts in a document with a smaller id are removed;
     kept_text joins the others by one space and is null where nothing is removed; words_sha256 (binary) is of all words so
     joined. Texts that are null or shorter than a window lose nothing. Rows without an id neither lose words nor make others
-    lose them. Of rows that repeat an id, each is judged by its own words; an equal id is not a smaller one.
+    lose them. Of rows that repeat an id, each is judged by its own words; an equal id is not a smaller one. Levels start at
+    `least` words or more; with `length` under twice that, the windows of half the length are the only level before the last.
     """
-    half = -(-length // 2)
+    sizes = levels(length, least)[:-1] or [-(-length // 2)]
+    names = [f"level_{k}" for k in range(len(sizes))]
     texts, scratch = text_of(documents), Scratch(documents.sparkSession)
     first = scratch.table(map_batches(
-        texts.withColumn("text_hash", text_hash()), _first_level(half, length), "doc_id long, text_hash long, n_words long, words_sha256 binary, windows array<long>"
+        texts.withColumn("text_hash", text_hash()), _lower_levels(sizes, length),
+        "doc_id long, text_hash long, n_words long, words_sha256 binary, " + ", ".join(f"{x} array<long>" for x in names),
     ), "op2-first")
 
     # Of equal word sequences the smallest id stands for all.
     whole = first.where(f"doc_id IS NOT NULL AND n_words >= {length}")
     smallest = whole.groupBy("words_sha256").agg(F.min("doc_id").alias("smallest_id"), F.count("*").alias("copies"))
     stand = whole.join(smallest.withColumnRenamed("smallest_id", "doc_id"), ["words_sha256", "doc_id"], "left_semi")
-    windows = scratch.table(stand.select("doc_id", F.explode("windows").alias("window")), "op2-windows")
-    repeated = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window")
-    survivors = windows.join(repeated, "window").groupBy("doc_id").agg(F.collect_set("window").alias("survivors"))
+    live = scratch.table(stand.select("doc_id", F.inline(F.arrays_zip(*names))), "op2-chains")
+    for level, name in enumerate(names):
+        live = scratch.table(live.join(_found_twice(live, name).select(name), name).select("doc_id", *names[level:]), f"op2-survivors{level}")
+        if live.isEmpty():
+            break
+    survivors = live.groupBy("doc_id").agg(F.collect_set(names[-1]).alias("survivors"))
     second = scratch.table(map_batches(
-        texts.join(survivors, "doc_id"), _second_level(half, length), "doc_id long, words_sha256 binary, text string, wholes array<long>"
+        texts.join(survivors, "doc_id"), _last_level(sizes[-1], length), "doc_id long, words_sha256 binary, text string, wholes array<long>"
     ).where(F.size("wholes") > 0), "op2-second")
 
     wholes = second.select("doc_id", F.explode("wholes").alias("whole"))
-    earliest = wholes.groupBy("whole").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    lost = wholes.join(earliest, "whole").where("low < doc_id").groupBy("doc_id").agg(F.collect_set("whole").alias("repeated"))
+    lost = wholes.join(_found_twice(wholes, "whole"), "whole").where("low < doc_id").groupBy("doc_id").agg(F.collect_set("whole").alias("repeated"))
     cut = map_batches(
         second.join(lost, "doc_id").select("doc_id", "words_sha256", "text", "repeated"),
         _removed(length), "doc_id long, words_sha256 binary, n_removed long, kept_text string",

@@ -63,6 +63,33 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+#: A key for each place of a block in its span.
+PLACE_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def block_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each byte span, whatever its place: blocks of eight bytes, each mixed with a key of its number, are added up.
+
+    Unlike a polynomial modulo 2^64, no order of equal words cancels out.
+    """
+    size = (ends - starts).astype(np.int64)
+    blocks = (size + 7) >> 3
+    first = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(blocks, out=first[1:])
+    if not first[-1]:
+        return mix(size.astype(np.uint64))
+    number = np.arange(first[-1]) - np.repeat(first[:-1], blocks)
+    at = np.repeat(starts.astype(np.int64), blocks) + 8 * number
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    values = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[at]
+    over = np.maximum(8 - (np.repeat(ends.astype(np.int64), blocks) - at), 0).astype(np.uint64) * np.uint64(8)
+    values = (values << over) >> over  # bytes behind the end are not looked at
+    total = np.zeros(first[-1] + 1, np.uint64)
+    np.cumsum(mix(values ^ mix((number + 1).astype(np.uint64) * PLACE_STEP)), out=total[1:])
+    return mix((total[first[1:]] - total[first[:-1]]) ^ mix(size.astype(np.uint64)))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of a string column, and the offsets of each text in them."""
     column = pc.fill_null(column, "")
@@ -94,7 +121,7 @@ class Words:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends)
+        return block_hashes(self.data, self.starts, self.ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -115,13 +142,25 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, begun, np.flatnonzero(ends) + 1, np.searchsorted(begun, offsets))
 
 
-def grams(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every run of so many words within one text: its hash, the text, and the index of its first word."""
+def runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every run of so many words, over the borders of texts too."""
     n = max(len(hashes) - size + 1, 0)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
-    place = np.flatnonzero(np.arange(n) + size <= first[text + 1])
     total = np.zeros(n, np.uint64)
     for step in range(size if n else 0):
         total *= np.uint64(GRAM)
         total += hashes[step : step + n]
-    return mix(total[place]), text[place], place
+    return mix(total)
+
+
+def inside(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the index of the first word of every run of so many words within one text."""
+    n = max(int(first[-1]) - size + 1, 0)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
+    place = np.flatnonzero(np.arange(n) + size <= first[text + 1])
+    return text[place], place
+
+
+def grams(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every run of so many words within one text: its hash, the text, and the index of its first word."""
+    text, place = inside(first, size)
+    return runs(hashes, size)[place], text, place

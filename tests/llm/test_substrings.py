@@ -40,8 +40,8 @@ def test_random_texts(spark):
             w += pick.choice([pick.choice(parts), [pick.choice("pqrstuvw") for _ in range(pick.randint(1, 15))]])
         rows.append((pick.randint(10, 90), pick.choice([" ", "\n ", "\t"]).join(w)))
     df = spark.createDataFrame([(i, t, 3, "t") for i, t in rows], "doc_id long, text string, n_words int, window string")
-    for length in (1, 2, 7, 10):
-        got = sorted(((r.doc_id, r.n_words, r.n_removed, sha(r)) for r in substrings.repeated_substrings(df, length).collect()), key=str)
+    for length, least in ((1, 12), (2, 12), (7, 12), (10, 12), (10, 2)):
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, sha(r)) for r in substrings.repeated_substrings(df, length, least).collect()), key=str)
         assert got == brute_force(rows, length)
 
 
