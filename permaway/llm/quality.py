@@ -2,12 +2,14 @@
 
 Plain counts of each text decide first. Of the others, Viterbi decoding labels each line as content or boilerplate by
 features of the line and the label of the line before; a text stays if content lines hold enough of its words. The field is
-trained on a bounded sample of labelled texts: lines of good texts stand for content, lines of bad ones for boilerplate.
+trained on a bounded sample of labelled texts. Labels of lines are not given: lines of good texts are content, those of bad
+ones hidden, one of them boilerplate at least. They start from what each line's features alone say, and the field is fitted
+again to the labels that it decodes itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,13 +30,19 @@ STOP = np.isin(np.arange(256), list(b".!?:;"))
 
 #: Bounds of the training sample: texts of each label, bytes and lines of a text. Others are not learned from.
 SAMPLE, SAMPLE_BYTES, SAMPLE_LINES = 600, 20_000, 200
-ROUNDS, RATE, DECAY = 150, 0.1, 1e-3
+ROUNDS, RATE, DECAY = 500, 0.1, 1e-4
+#: Decay of the transitions: whole texts of one label overstate how seldom labels change, so the features of a line should say more.
+CHAIN_DECAY = 0.005
+#: How often the lines of bad texts are labelled anew, and the steps after each time.
+RELABELS, LATER_ROUNDS = 3, 40
 #: Texts of more lines are decoded line by line, others side by side.
 LONG = 2000
-#: Share of the words in content lines from which a text stays.
-CONTENT_SHARE = 0.5
+#: Share of the words in content lines from which a text stays, if the sample does not tell, and bounds of the share that it tells.
+CONTENT_SHARE, LEAST_SHARE, MOST_SHARE = 0.5, 0.25, 0.85
 
 CONTENT, BOILERPLATE = 0, 1
+#: Places of features: symbols, exclamation marks and capitals; repeated lines and words.
+LOOKS, REPEATS = [5, 6, 7, 8, 10], [13, 14, 15, 16, 17]
 
 
 @dataclass
@@ -53,6 +61,7 @@ class Field:
     emission: np.ndarray
     transition: np.ndarray  # from label by to label
     start: np.ndarray
+    share: float = CONTENT_SHARE  # of the words in content lines, from which a text stays
 
 
 def _counter(data: np.ndarray, of: np.ndarray):
@@ -119,48 +128,112 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray
     return counts, Lines(first, n_words, features)
 
 
-def fit(texts: list[str], bad: list[bool]) -> Field:
-    """Maximum likelihood with decay, by steps along the gradient that forward and backward sums give."""
-    n_features = measure(np.zeros(0, np.uint8), np.zeros(2, np.int64))[1].features.shape[1]
-    if not texts:
-        return Field(np.zeros(n_features), np.zeros((2, 2)), np.zeros(2))
-    data, offsets = text_bytes(pa.array(texts, pa.string()))
-    parts = [measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1] for i, j in slices(offsets)]
-    length = np.concatenate([np.diff(x.first) for x in parts])
-    n, most = len(texts), int(length.max())
-    there = np.arange(most) < length[:, None]
-    x = np.zeros((n, most, n_features))
-    x[there] = np.concatenate([p.features for p in parts])
-    # A good text counts by its words as much as a bad one; both labels have the same weight in all.
-    label = np.array(bad, int)
-    weight = (n / 2 / np.maximum(np.bincount(label, minlength=2), 1))[label] / length
-    params = np.zeros(n_features + 6)
+@dataclass
+class Sample:
+    """Lines of the texts of a sample, side by side."""
+
+    x: np.ndarray  # texts by lines by features
+    there: np.ndarray  # which lines there are
+    length: np.ndarray
+    weight: np.ndarray  # of a line of each text
+
+
+def _steps(params: np.ndarray, rounds: int, gradient: Callable[[np.ndarray], np.ndarray], decay: np.ndarray | float = DECAY) -> np.ndarray:
+    """Steps along the gradient, with decay, each weight at its own pace."""
     first_moment, second_moment = np.zeros_like(params), np.zeros_like(params)
-    for step in range(1, ROUNDS + 1):
-        emission, transition, start = params[:n_features], params[n_features : n_features + 4].reshape(2, 2), params[n_features + 4 :]
+    for step in range(1, rounds + 1):
+        uphill = gradient(params) - decay * params
+        first_moment, second_moment = 0.9 * first_moment + 0.1 * uphill, 0.99 * second_moment + 0.01 * uphill**2
+        params = params + RATE * first_moment / (1 - 0.9**step) / (np.sqrt(second_moment / (1 - 0.99**step)) + 1e-8)
+    return params
+
+
+def _line_gradient(sample: Sample, bad: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Of the likelihood of the texts' labels at each line alone, by the weights of its features."""
+    x = sample.x[sample.there]
+    text = np.nonzero(sample.there)[0]
+    label, weight = bad[text], sample.weight[text] / len(bad)
+    return lambda emission: (weight * (label - 1 / (1 + np.exp(-x @ emission)))) @ x
+
+
+def _chain_gradient(sample: Sample, label: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Of the likelihood of the lines' labels, by forward and backward sums."""
+    x, there, length, weight = sample.x, sample.there, sample.length, sample.weight
+    n, most, n_features = x.shape
+    true = (label[:, :, None] == np.arange(2)) & there[:, :, None]
+    true_pair = (true[:, :-1, :, None] & true[:, 1:, None, :]).astype(float)
+
+    def gradient(params: np.ndarray) -> np.ndarray:
+        field = _field(params)
         score = np.zeros((n, most, 2))
-        score[:, :, 1] = x @ emission
+        score[:, :, 1] = x @ field.emission
         forward, backward = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-        forward[:, 0] = score[:, 0] + start
+        forward[:, 0] = score[:, 0] + field.start
         for t in range(1, most):
-            forward[:, t] = np.logaddexp.reduce(forward[:, t - 1, :, None] + transition, axis=1) + score[:, t]
+            forward[:, t] = np.logaddexp.reduce(forward[:, t - 1, :, None] + field.transition, axis=1) + score[:, t]
         for t in range(most - 2, -1, -1):
-            after = np.logaddexp.reduce(transition + (score[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
+            after = np.logaddexp.reduce(field.transition + (score[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
             backward[:, t] = np.where(there[:, t + 1, None], after, 0)
         total = np.logaddexp.reduce(forward[np.arange(n), length - 1], axis=1)
         single = np.exp(forward + backward - total[:, None, None]) * there[:, :, None]
-        true = (label[:, None, None] == np.arange(2)) * there[:, :, None]
-        gradient = np.zeros_like(params)
-        gradient[:n_features] = np.einsum("n,nt,ntf->f", weight, true[:, :, 1] - single[:, :, 1], x)
-        pair = forward[:, :-1, :, None] + transition + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
+        pair = forward[:, :-1, :, None] + field.transition + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
         pair = np.exp(pair) * there[:, 1:, None, None]
-        true_pair = (true[:, :-1, :, None] * true[:, 1:, None, :]).astype(float)
-        gradient[n_features : n_features + 4] = np.einsum("n,ntij->ij", weight, true_pair - pair).ravel()
-        gradient[n_features + 4 :] = weight @ (true[:, 0] - single[:, 0])
-        gradient = gradient / n - DECAY * params
-        first_moment, second_moment = 0.9 * first_moment + 0.1 * gradient, 0.99 * second_moment + 0.01 * gradient**2
-        params = params + RATE * first_moment / (1 - 0.9**step) / (np.sqrt(second_moment / (1 - 0.99**step)) + 1e-8)
-    return Field(params[:n_features], params[n_features : n_features + 4].reshape(2, 2), params[n_features + 4 :])
+        return np.concatenate([
+            np.einsum("n,nt,ntf->f", weight, true[:, :, 1] - single[:, :, 1], x),
+            np.einsum("n,ntij->ij", weight, true_pair - pair).ravel(), weight @ (true[:, 0] - single[:, 0]),
+        ]) / n
+
+    return gradient
+
+
+def _field(params: np.ndarray) -> Field:
+    return Field(params[:-6], params[-6:-2].reshape(2, 2), params[-2:])
+
+
+def _relabel(field: Field, sample: Sample, bad: np.ndarray) -> np.ndarray:
+    """Labels of all lines: decoded in bad texts, of which the line with the strongest features is boilerplate anyway."""
+    score = np.where(sample.there, sample.x @ field.emission, -np.inf)
+    label = np.zeros(score.shape, int)
+    label[sample.there] = viterbi(field, score[sample.there], np.concatenate([[0], np.cumsum(sample.length)]))
+    label[np.arange(len(bad)), score.argmax(axis=1)] = BOILERPLATE
+    return label * bad[:, None]
+
+
+def _least_share(share: np.ndarray, bad: np.ndarray) -> float:
+    """The share that tells good texts from bad ones best, a lost good one as bad as three kept bad ones; the middle of equals."""
+    cuts = np.linspace(LEAST_SHARE, MOST_SHARE, 61)
+    lost = np.array([3 * np.mean(share[~bad] < c) + np.mean(share[bad] >= c) for c in cuts])
+    best = cuts[lost <= lost.min() + 1e-12]
+    return float(best[len(best) // 2])
+
+
+def fit(texts: list[str], bad: list[bool]) -> Field:
+    """Hard expectation maximisation of the field on texts that are good or bad as a whole; of both kinds there should be some."""
+    n_features = measure(np.zeros(0, np.uint8), np.zeros(2, np.int64))[1].features.shape[1]
+    if not texts:
+        return Field(np.zeros(n_features), np.zeros((2, 2)), np.zeros(2))
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    parts = [measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1] for i, j in slices(offsets)]
+    length = np.concatenate([np.diff(x.first) for x in parts])
+    there = np.arange(int(length.max())) < length[:, None]
+    x = np.zeros((*there.shape, n_features))
+    x[there] = np.concatenate([p.features for p in parts])
+    # Lines that look like boilerplate are learned from without their repetitions, so that either reason suffices alone.
+    x[..., REPEATS] *= ~x[..., LOOKS].any(axis=2, keepdims=True)
+    # A text counts by its words as much as another of its label; both labels have the same weight in all.
+    bad = np.array(bad, bool)
+    weight = (len(texts) / 2 / np.maximum(np.bincount(bad, minlength=2), 1))[bad.astype(int)] / length
+    sample = Sample(x, there, length, weight)
+    params = np.concatenate([_steps(np.zeros(n_features), ROUNDS, _line_gradient(sample, bad)), np.zeros(6)])
+    decay = np.repeat([DECAY, CHAIN_DECAY], [n_features, 6])
+    for _ in range(RELABELS):
+        params = _steps(params, LATER_ROUNDS, _chain_gradient(sample, _relabel(_field(params), sample, bad)), decay)
+    field = _field(params)
+    words = np.concatenate([np.diff(np.concatenate([[0], np.cumsum(p.words)])[p.first]) for p in parts])
+    share = np.concatenate([content_words(field, p) for p in parts]) / np.maximum(words, 1)
+    if bad.any() and not bad.all():
+        field.share = _least_share(share, bad)
+    return field
 
 
 def viterbi(field: Field, emission: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -243,17 +316,17 @@ def failed(found: str) -> Column:
     return (F.col(f"{found}.n_words") < 10) | (100 * F.col(f"{found}.n_repeat_words") > 20 * F.col(f"{found}.n_words"))
 
 
-def kept(found: str) -> Column:
+def kept(found: str, field: Field) -> Column:
     """Whether a text stays by the struct column of its verdict."""
-    return ~failed(found) & (F.col(f"{found}.content_words") >= CONTENT_SHARE * F.col(f"{found}.n_words"))
+    return ~failed(found) & (F.col(f"{found}.content_words") >= field.share * F.col(f"{found}.n_words"))
 
 
 def judge(documents: DataFrame, field: Field) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_words and kept of every row.
 
     base_failed: fewer than 10 words, or over 20 % of them in repeated five-word windows. Others are kept if content lines
-    hold CONTENT_SHARE of the words. A null or empty text has no words and fails. Repeated rows and null ids are rows like
+    hold the field's share of the words. A null or empty text has no words and fails. Repeated rows and null ids are rows like
     any other; no rows give no rows.
     """
     found = text_of(documents).select("doc_id", verdict(F.col("text"), field).alias("found"))
-    return found.select("doc_id", *(f"found.{x}" for x in COUNTS), failed("found").alias("base_failed"), "found.content_words", kept("found").alias("kept"))
+    return found.select("doc_id", *(f"found.{x}" for x in COUNTS), failed("found").alias("base_failed"), "found.content_words", kept("found", field).alias("kept"))

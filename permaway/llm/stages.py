@@ -24,7 +24,7 @@ WORDS = 300_000
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose content lines hold enough of their words."""
     field = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _where(docs, quality.verdict(F.col("row.text"), field), quality.kept)
+    return _where(docs, quality.verdict(F.col("row.text"), field), lambda x: quality.kept(x, field))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

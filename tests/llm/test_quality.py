@@ -73,6 +73,59 @@ def test_training_separates():
     assert quality.content_words(field, lines).tolist() == [lines.words[:2].sum(), 0]
 
 
+def sampled(spark):
+    """A field fitted on half of the labelled texts, and the texts of the other half by label."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id").where("quality IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").collect()
+    good, bad = ([r.text for r in rows if r.quality == q and len(r.text) < 5000] for q in (1, 0))
+    train = good[0:400:2] + bad[0:400:2]
+    field = quality.fit(train, [False] * len(good[0:400:2]) + [True] * len(bad[0:400:2]))
+    return field, good[1:400:2], bad[1:400:2]
+
+
+def line_labels(field, texts):
+    lines = quality.measure(*text_bytes(pa.array(texts, pa.string())))[1]
+    return quality.viterbi(field, lines.features @ field.emission, lines.first), lines
+
+
+def test_lines_are_labelled(spark):
+    field, good, bad = sampled(spark)
+    pick, planted, known = random.Random(8), [], []
+    for text in good:
+        lines = text.split("\n")
+        words = [w for w in re.findall(r"[^\W\d_]+", text)] or ["word"]
+        mark = [False] * len(lines)
+        for make in (" | ".join, lambda w: " ".join(x + pick.choice(["###", "$$$", "%%%"]) for x in w), lambda w: " ".join(x.upper() + "!!" for x in w)):
+            at = pick.randint(0, len(lines))
+            lines.insert(at, make([pick.choice(words) for _ in range(pick.randint(8, 20))]))
+            mark.insert(at, True)
+        planted.append("\n".join(lines))
+        known += mark
+    label, known = line_labels(field, planted)[0] == quality.BOILERPLATE, np.array(known)
+    assert label[known].mean() >= 0.9  # planted lines are found
+    assert label[~known].mean() <= 0.05  # the lines around them stay content
+    label, lines = line_labels(field, bad)
+    mixed = [0 < label[i:j].mean() < 1 for i, j in itertools.pairwise(lines.first) if j - i > 1]
+    assert np.mean(mixed) >= 0.2  # bad texts hold lines of both kinds
+
+
+def test_verdict_by_plain_loops(spark):
+    field, good, bad = sampled(spark)
+    docs = [*good[:40], *bad[:40], None, "", "a\n" * 30, good[0] + "\n" + bad[0]]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), field).collect()}
+    for i, text in enumerate(docs):
+        lines = quality.measure(*text_bytes(pa.array([text or ""])))[1]
+        emission, best = lines.features @ field.emission, [(0.0, [])]
+        for t, e in enumerate(emission):
+            step = lambda a, b, path: field.transition[a, b] if path else field.start[b]
+            best = [max(((s + step(p[-1] if p else 0, b, p) + e * b, [*p, b]) for s, p in best), key=lambda x: x[0]) for b in (0, 1)]
+        path = max(best, key=lambda x: x[0])[1]
+        content = sum(len(re.findall(r"[^\x20\x09-\x0D]+", line)) for line, b in zip((text or "").split("\n"), path, strict=True) if b == 0)
+        n, failed = len(re.findall(r"[^\x20\x09-\x0D]+", text or "")), counts(text)[5]
+        assert (got[i].content_words, got[i].kept) == (content, not failed and content >= field.share * n)
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
