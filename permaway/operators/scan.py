@@ -106,17 +106,22 @@ def _scan_chunks(stored, keys, order, scans, descending):
     window = Window.partitionBy(*scoped).orderBy(*_ordering(order, descending))
     local = stored.select(
         "*",
-        *[_local(s, window).alias(f"_scan_l{i}") for i, s in enumerate(scans)],
-        (F.row_number().over(window) == 1).alias("_scan_first"),
+        *[_local(s, window).alias(f"_scan_l{i}") for i, s in enumerate(scans) if s.kind != "next_known"],
+        F.row_number().over(window).alias("_scan_row"),
         F.lead(F.lit(True), 1, False).over(window).alias("_scan_more"),
-    )
+    ).withColumn("_scan_first", F.col("_scan_row") == 1)
+    # A frame from the current row on is summed up anew for every row, so what comes next is what was last known backwards.
+    back = Window.partitionBy(*scoped).orderBy(F.col("_scan_row").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = local.withColumns({
+        f"_scan_l{i}": F.last(s.expr, ignorenulls=True).over(back) for i, s in enumerate(scans) if s.kind == "next_known"
+    })
     edges = stored.groupBy(*scoped).agg(
         *[_edge_state(s, order, descending).alias(f"_scan_s{i}") for i, s in enumerate(scans)]
     )
     along = Window.partitionBy(*keys).orderBy(CHUNK)
     carry = edges.select(
         *scoped,
-        *[_carry(s, F.col(f"_scan_s{i}"), along).alias(f"_scan_c{i}") for i, s in enumerate(scans)],
+        *[_carry(s, F.col(f"_scan_s{i}"), along, keys).alias(f"_scan_c{i}") for i, s in enumerate(scans)],
         F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_scan_spans"),
     ).filter("_scan_spans > 1").drop("_scan_spans")
     for name in scoped:
@@ -142,7 +147,6 @@ def _ordering(order: list[str], descending: bool) -> list[Column]:
 
 def _local(scan: Scan, window: WindowSpec) -> Column:
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     match scan.kind:
         case "previous":
             return F.lag(scan.expr).over(window)
@@ -161,8 +165,6 @@ def _local(scan: Scan, window: WindowSpec) -> Column:
             return F.min(scan.expr).over(upto)
         case "last_known":
             return F.last(scan.expr, ignorenulls=True).over(upto)
-        case "next_known":
-            return F.first(scan.expr, ignorenulls=True).over(onward)
     raise ValueError(scan.kind)
 
 
@@ -188,9 +190,9 @@ def _edge_state(scan: Scan, order: list[str], descending: bool) -> Column:
     raise ValueError(scan.kind)
 
 
-def _carry(scan: Scan, state: Column, along: WindowSpec) -> Column:
+def _carry(scan: Scan, state: Column, along: WindowSpec, keys: list[str]) -> Column:
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    after = along.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     match scan.kind:
         case "previous":
             return F.lag(state).over(along)
@@ -208,7 +210,7 @@ def _carry(scan: Scan, state: Column, along: WindowSpec) -> Column:
         case "last_known":
             return F.last(state, ignorenulls=True).over(before)
         case "next_known":
-            return F.first(state, ignorenulls=True).over(after)
+            return F.last(state, ignorenulls=True).over(back)
     raise ValueError(scan.kind)
 
 
