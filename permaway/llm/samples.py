@@ -1,4 +1,4 @@
-"""Bounded samples of labelled texts for training."""
+"""Labelled texts for training: bounded samples, and all of them."""
 
 from __future__ import annotations
 
@@ -35,3 +35,16 @@ def labelled(documents: DataFrame, labels: DataFrame, column: str, most: int, ad
     picked = smallest_hashes(label, "label", most)
     rows = text_of(documents).where(admit).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label", "rank").agg(F.min("text").alias("text"))
     return sorted(rows.collect(), key=lambda r: (r["label"], r["rank"]))
+
+
+def every_labelled(documents: DataFrame, labels: DataFrame, column: str, task_texts: int) -> DataFrame:
+    """doc_id, text and label of every document with label 0 or 1, about `task_texts` to a partition, mixed by the hash of the id.
+
+    An id with several texts or labels gives the least of each.
+    """
+    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
+    label = label.groupBy("doc_id").agg(F.min("label").alias("label"))
+    parts = max(1, -(-label.count() // task_texts))
+    texts = text_of(documents).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).repartition(parts, "doc_id")
+    joined = texts.join(label.repartition(parts, "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return joined.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")

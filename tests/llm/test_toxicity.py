@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from permaway.llm import language, toxicity
 from permaway.llm.queries import QUERIES
+from permaway.llm.samples import every_labelled
 from permaway.llm.words import text_bytes
 
 NO_LANGUAGE = language.fit([], [])
@@ -80,3 +81,25 @@ def test_query(spark):
     high = [s for s, t in held if t]
     low = [s for s, t in held if not t]
     assert np.mean([[(a > b) + (a == b) / 2 for b in low] for a in high]) > 0.7
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    texts, toxic = made_texts(800, 5)
+    texts[0] = f"{'plain words go here ' * 6000} rarestone"  # a long text counts like any other
+    docs = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)] + [(3, 1), (None, 1), (900, 1), (4, None)], "doc_id long, toxic int")
+    got = {r.doc_id: (r.text, r.label) for r in every_labelled(docs, labels, "toxic", 64).collect()}
+    assert got == {i: (texts[i], toxic[i]) for i in range(800)}
+    model = toxicity.train(docs, labels, toxicity.F.col("doc_id") % 5 != 0)
+    found = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    assert np.mean([found[i] == toxic[i] for i in range(800) if i % 5 == 0]) > 0.9
+
+
+def test_thresholds_are_those_of_the_sorted_scores(spark):
+    pick = random.Random(2)
+    rows = [(k, pick.gauss(t, 0.8), t) for k in range(3) for t in (0, 1) for _ in range(150)]
+    got = toxicity.best_thresholds(spark.createDataFrame(rows, "part int, margin double, label int"))
+    for k in range(3):
+        own = [(m, t) for p, m, t in rows if p == k]
+        want = toxicity.best_threshold(np.array([m for m, _ in own]), np.array([t for _, t in own]))
+        assert abs(got[k][0] - want) < 1e-9 and got[k][1:] == (150, 150)
