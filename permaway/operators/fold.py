@@ -98,9 +98,14 @@ def _follow(stored: DataFrame, keys: list[str], step: Step, jump: Jump) -> dict[
 
 
 def _settle(stored: DataFrame, keys: list[str], step: Step, tolerance: float) -> dict[int, str]:
-    """The state entering each chunk, found by repeated runs until stable."""
+    """The state entering each chunk, found by repeated runs until stable.
+
+    All chunks run again once. Where states do not forget, most would change in every round after it, so those rounds take the
+    chunks that what is settled leads to, and only as many others as there are cores.
+    """
     chunks = _summaries(stored, keys, step, {})
     used: dict[int, str] = {}
+    cores, first = stored.sparkSession.sparkContext.defaultParallelism, True
     while True:
         wanted: dict[int, str] = {}
         for before, after in zip(sorted(chunks), sorted(chunks)[1:]):
@@ -112,6 +117,12 @@ def _settle(stored: DataFrame, keys: list[str], step: Step, tolerance: float) ->
         }
         if not stale:
             return wanted
+        if not first:
+            known = sorted(chunks)
+            leads = {after for before, after in zip(known, known[1:]) if after in stale and before not in stale}
+            taken = leads | set(sorted(stale)[:cores])
+            stale = {c: s for c, s in stale.items() if c in taken}
+        first = False
         used.update(stale)
         again = stored.filter(F.col(CHUNK).isin(list(stale)))
         for number, row in _summaries(again, keys, step, stale).items():

@@ -285,49 +285,66 @@ def adaptive_anomalies(
     )
 
 
-def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    p1, p2 = math.radians(lat1), math.radians(lat2)
-    half = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-    return 2 * 6_371_000 * math.atan2(math.sqrt(half), math.sqrt(1 - half))
+def _metres(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    """Distances on the ground from one place to many."""
+    p1, p2 = math.radians(lat), np.radians(lats)
+    half = np.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * np.cos(p2) * np.sin(np.radians(lons - lon) / 2) ** 2
+    return 2 * 6_371_000 * np.arctan2(np.sqrt(half), np.sqrt(1 - half))
 
 
 def suppression(key: str, key_type: str, radius_m: float = 50.0, window_s: float = 600.0) -> Machine:
     """Defect alerts near an earlier one of their category are suppressed and name it.
 
     An alert is held against the open alerts first seen within ``window_s``;
-    open alerts are listed by latitude band, so each row meets only those of
-    its own and the two neighbouring bands. Open alerts of one category lie
-    more than ``radius_m`` apart, which bounds the state by the ground covered.
+    each alert that opens takes the rows near it at once, among those of its
+    own and the two neighbouring latitude bands up to the window's end. Open
+    alerts of one category lie more than ``radius_m`` apart, which bounds the
+    state by the ground covered.
     Output: every row with ``original``, its own id when it is new.
     """
     band = radius_m / 111_000.0 * 1.01
 
     def step(pdf, state):
         # Open alerts in order of arrival: [t, lat, lon, row_id].
-        open_ = [list(o) for o in state or []]
-        bands: dict[int, list] = {}
-        for o in open_:
-            bands.setdefault(math.floor(o[1] / band), []).append(o)
-        ids, originals = [], []
-        places = [pdf[c].astype(float).tolist() for c in ("lat", "lon")]
-        for t, row_id, lat, lon in zip(pdf["t"].tolist(), pdf["row_id"].tolist(), *places):
-            here = math.floor(lat / band)
-            near = []
-            for b in (here - 1, here, here + 1):
-                fresh = [o for o in bands.get(b, ()) if t - o[0] <= window_s]
-                if b in bands:
-                    bands[b] = fresh
-                near += [o for o in fresh if _metres(lat, lon, o[1], o[2]) <= radius_m]
-            if near:
-                original = min(near, key=lambda o: (o[0], o[3]))[3]
-            else:
-                original = row_id
-                bands.setdefault(here, []).append([t, lat, lon, row_id])
-            ids.append(row_id)
-            originals.append(original)
-        now = float(pdf["t"].iloc[-1])
-        left = sorted((o for b in bands.values() for o in b if now - o[0] <= window_s), key=lambda o: (o[0], o[3]))
-        out = pd.DataFrame({key: pdf[key].to_numpy(), "row_id": ids, "original": originals})
+        t, lat, lon = (pdf[c].to_numpy(dtype=float) for c in ("t", "lat", "lon"))
+        ids = pdf["row_id"].tolist()
+        bands = np.floor(lat / band)
+        by_band = np.argsort(bands, kind="stable")
+        names, begins = np.unique(bands[by_band], return_index=True)
+        members = dict(zip(names.tolist(), np.split(by_band, begins[1:])))
+        free = np.ones(len(t), dtype=bool)
+        originals = np.arange(len(t))  # below 0: an alert that was open before these rows
+        old = [list(o) for o in state or []]
+
+        def take(at, y, x, name, after):
+            """Give the rows from ``after`` on that are near an alert and still free to it."""
+            here = math.floor(y / band) if math.isfinite(y) else None
+            for b in () if here is None else (here - 1, here, here + 1):
+                rows = members.get(float(b))
+                if rows is None:
+                    continue
+                rows = rows[np.searchsorted(rows, after):]
+                rows = rows[: np.searchsorted(t[rows] - at, window_s, side="right")]
+                rows = rows[free[rows]]
+                rows = rows[_metres(y, x, lat[rows], lon[rows]) <= radius_m]
+                free[rows], originals[rows] = False, name
+
+        for n, (at, y, x, _) in enumerate(old):
+            take(at, y, x, n - len(old), 0)
+        opened, i = [], 0
+        while i < len(t):
+            i += int(free[i:].argmax())
+            if not free[i]:
+                break
+            opened.append(i)
+            if t[i] == t[i]:
+                take(t[i], lat[i], lon[i], i, i + 1)
+            i += 1
+        now = float(t[-1])
+        held = old + [[float(t[i]), float(lat[i]), float(lon[i]), ids[i]] for i in opened]
+        left = sorted((o for o in held if now - o[0] <= window_s), key=lambda o: (o[0], o[3]))
+        names = np.array([*ids, *(o[3] for o in old)], dtype=object)
+        out = pd.DataFrame({key: pdf[key].to_numpy(), "row_id": ids, "original": names[originals].tolist()})
         return out, left
 
     return Machine(step, f"{key} {key_type}, row_id bigint, original bigint", ["t", "row_id"])
