@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from permaway.llm import language
 from permaway.llm.samples import every_labelled
-from permaway.llm.store import Scratch, map_batches, text_of
+from permaway.llm.store import Scratch, list_array, map_batches, text_of
 from permaway.llm.words import LOWER, slices, span_hashes, split_words, text_bytes
 from permaway.operators.scan import following, ordered_scan, running_sum, total
 
@@ -185,9 +185,21 @@ def _train(rows: np.ndarray, first: np.ndarray, toxic: np.ndarray, texts: np.nda
     return table
 
 
+#: Columns of a row's parameters and of its sums of squared gradients.
+NAMES = [f"{kind}{i}" for kind in ("p", "s") for i in range(SIZE)]
+
+
+def _weighed_means(moves: DataFrame) -> DataFrame:
+    """Of what tasks made of a row (row, n, values), the mean by n, a column for each value.
+
+    A task sends a row once, so sums on its side would save none: single numbers in an array travel, and are weighed where they meet.
+    """
+    weighed = lambda i: F.sum(F.get("values", i).cast("double") * F.col("n"))
+    return moves.repartition("row").groupBy("row").agg(*((weighed(i) / F.sum("n")).cast("float").alias(x) for i, x in enumerate(NAMES)))
+
+
 def _round(texts: DataFrame, table: np.ndarray, seen: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
     """Every task goes over its own texts from the same parameters; a row becomes the mean of the tasks that moved it."""
-    names = [f"{kind}{i}" for kind in ("p", "s") for i in range(SIZE)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, past, n = table.copy(), seen.copy(), 0
@@ -203,13 +215,13 @@ def _round(texts: DataFrame, table: np.ndarray, seen: np.ndarray, number: int) -
                 n += len(some)
         moved = np.flatnonzero((own != table).any(1))
         if n:
-            values = np.concatenate([own[moved], past[moved]], axis=1).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array(np.full(len(moved), float(n))), *(pa.array(x) for x in values.T)], ["row", "n", *names])
+            values = np.concatenate([own[moved], past[moved]], axis=1)
+            lists = list_array(np.arange(len(moved) + 1) * values.shape[1], pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array(np.full(len(moved), n)), lists], ["row", "n", "values"])
 
-    sent = texts.mapInArrow(work, ", ".join(["row long", "n double", *(f"{x} double" for x in names)]))
-    mean = sent.groupBy("row").agg(*((F.sum(x) / F.sum("n")).cast("float").alias(x) for x in names)).toArrow()
+    mean = _weighed_means(texts.mapInArrow(work, "row long, n long, values array<float>")).toArrow()
     at = mean.column("row").to_numpy()
-    values = np.stack([mean.column(x).to_numpy() for x in names], axis=1) if len(at) else np.zeros((0, 2 * SIZE))
+    values = np.stack([mean.column(x).to_numpy() for x in NAMES], axis=1) if len(at) else np.zeros((0, 2 * SIZE))
     table, seen = table.copy(), seen.copy()
     table[at], seen[at] = values[:, :SIZE], values[:, SIZE:]
     return table, seen

@@ -103,3 +103,17 @@ def test_thresholds_are_those_of_the_sorted_scores(spark):
         own = [(m, t) for p, m, t in rows if p == k]
         want = toxicity.best_threshold(np.array([m for m, _ in own]), np.array([t for _, t in own]))
         assert abs(got[k][0] - want) < 1e-9 and got[k][1:] == (150, 150)
+
+
+def test_rows_meet_as_single_numbers_and_are_weighed(spark):
+    draw = np.random.default_rng(5)
+    values = draw.normal(size=(3, 2 * toxicity.SIZE)).astype(np.float32)
+    moves = [(7, 3, values[0].tolist()), (7, 5, values[1].tolist()), (9, 2, values[2].tolist())]
+    out = toxicity._weighed_means(spark.createDataFrame(moves, "row long, n long, values array<float>"))
+    # One shuffle, and no sums in doubles before it.
+    above, _, below = out._jdf.queryExecution().executedPlan().toString().partition("Exchange")
+    assert "HashAggregate" in above and "Aggregate" not in below and "Exchange" not in below
+    got = {r["row"]: np.array(r[1:]) for r in out.collect()}
+    wide = values.astype(np.float64)
+    assert np.array_equal(got[7], ((wide[0] * 3 + wide[1] * 5) / 8).astype(np.float32))
+    assert np.array_equal(got[9], values[2])
