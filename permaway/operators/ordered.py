@@ -6,6 +6,10 @@ never gathered per key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ from permaway.functions.scalars import change_hash, key_hash, one_per_key
 from permaway.operators.scan import (
     following, last_known, ordered_scan, previous, row_number, running_sum, total,
 )
+from permaway.session import chunk_count
 
 # Stages of an alert on its way to the screen, in order (fixed values).
 STAGES = [
@@ -244,14 +249,21 @@ def headway_breaches(
     return seen.withColumn("gap_s", F.col("_in") - F.col("_p")).filter(F.col("gap_s") < least_s).drop("_in", "_out", "_p")
 
 
+#: Bytes that filled rows come to in one task, were each row of the input filled to the limit, and rows made at once.
+FILL_BYTES, FILL_ROWS = 1 << 30, 1 << 15
+
+
 def gap_fill(
     df: DataFrame, asset: str, ts_s: str, features: list[str], tie: str, *,
-    longest_gap_s: float = 300.0, most: int = 1799,
+    longest_gap_s: float = 300.0, most: int = 1799, window_s: int | None = None,
 ) -> DataFrame:
     """Readings plus linearly interpolated rows in gaps over ``longest_gap_s``; repeats in time are dropped.
 
     ``ts_s`` is a numeric column in seconds. The state of the row before is
-    taken by one scan; the fill itself is an ``explode`` of at most ``most`` steps.
+    taken by one scan; the fill itself makes at most ``most`` rows of a gap. As
+    few bytes become many rows, rows are dealt over tasks by what they may become.
+
+    With ``window_s`` the rows are made in the same way, but leave their task added up (see ``_fill_totals``).
     """
     # Of several readings at one time the first stays, as later ones do not move time on.
     once = df.groupBy(asset, ts_s).agg(F.min_by(F.struct(*features), tie).alias("_f"))
@@ -261,8 +273,12 @@ def gap_fill(
     )
     gap = F.col(ts_s) - F.col("_p.t")
     n = F.when(gap > longest_gap_s, F.least(F.rint(gap).cast("int") - 1, F.lit(most))).otherwise(0)
-    steps = F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(1), n + 1)).otherwise(F.array(F.lit(1)))
-    wide = seen.withColumn("_n", F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))).withColumn("_step", F.explode(steps))
+    counted = seen.withColumn("_n", F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)))
+    dealt = counted.repartition(chunk_count(df, max(FILL_BYTES // max(most, 1), 1)), asset, ts_s)
+    if window_s is not None:
+        return _fill_totals(dealt, asset, ts_s, features, window_s)
+    steps = F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.col("_n") + 1)).otherwise(F.array(F.lit(1)))
+    wide = dealt.withColumn("_step", F.explode(steps))
     filled = F.col("_step") <= F.col("_n")
     alpha = F.col("_step") / (F.col("_n") + 1)
     blend = lambda name: F.when(
@@ -274,6 +290,72 @@ def gap_fill(
     )
 
 
+def _fill_totals(dealt: DataFrame, asset: str, ts_s: str, features: list[str], window_s: int) -> DataFrame:
+    """Filled rows by window of ``window_s``, added up for each reading: asset, ``window``, ``rows``, ``interpolated``,
+    ``offset_s`` (seconds since the window's start) and the sum of each feature.
+
+    A reading gives a row for each window that its own and its filled rows lie in, so windows have several to add up. Nulls
+    are left out of sums, and a sum of nulls is null.
+    """
+    given = dealt.select(
+        F.col(asset).alias("asset"), F.col("_n").cast("bigint").alias("n"), F.col("_p.t").cast("double").alias("before"), F.col(ts_s).cast("double").alias("at"),
+        *[F.col(f"{side}.{f}").cast("double").alias(f"{tag}{i}") for i, f in enumerate(features) for side, tag in (("_p.f", "p"), ("_f", "f"))],
+    )
+    kind = given.schema["asset"].dataType.simpleString()
+    names = ["asset", "window", "rows", "interpolated", "offset_s", *(f"s{i}" for i in range(len(features)))]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
+            known = lambda name: batch.column(name).is_valid().to_numpy(zero_copy_only=False)
+            n, before, at, timed = column("n"), column("before"), column("at"), known("at")
+            sides = [(column(f"p{i}"), column(f"f{i}"), known(f"p{i}"), known(f"f{i}")) for i in range(len(features))]
+            ends = np.cumsum(n + 1)
+            low = 0
+            while low < len(n):
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + FILL_ROWS, "right")))
+                own, count = slice(low, high), n[low:high] + 1
+                last = np.cumsum(count) - 1
+                first = last - n[own]
+                step = np.arange(1.0, last[-1] + 2) - np.repeat(first, count)
+                t = np.repeat(before[own], count) + step * np.repeat((at[own] - before[own]) / count, count)
+                t[last] = at[own]
+                window = np.floor(t / window_s)
+                # A piece is a run of rows of one reading in one window; its own row, the last, is not interpolated.
+                begins = np.empty(len(t), bool)
+                begins[1:] = window[1:] != window[:-1]
+                begins[first] = True
+                begin = np.flatnonzero(begins)
+                owner = np.searchsorted(last, begin)
+                rows = np.diff(begin, append=len(t))
+                holds_own = begin + rows - 1 == last[owner]
+                no_time = ~timed[own][owner]
+                sums = []
+                with np.errstate(invalid="ignore", over="ignore"):
+                    offset = np.add.reduceat(t - window * window_s, begin)
+                    alpha = step / np.repeat(count, count)
+                    for p, f, has_p, has_f in sides:
+                        value = (1 - alpha) * np.repeat(p[own], count) + alpha * np.repeat(f[own], count)
+                        value[last] = f[own]
+                        # Filled rows lack a value where either side does, own rows where theirs does.
+                        blends = (has_p & has_f)[own]
+                        if not blends.all():
+                            value[np.repeat(~blends, count)] = 0.0
+                            value[last] = np.where(has_f[own], f[own], 0.0)
+                        has = np.where(holds_own & has_f[own][owner], True, blends[owner] & (rows > holds_own))
+                        sums.append(pa.array(np.add.reduceat(value, begin), mask=~has))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("asset").take(pa.array(low + owner)), pa.array(np.where(no_time, 0, window[begin]).astype(np.int64), mask=no_time),
+                    pa.array(rows), pa.array(rows - holds_own), pa.array(offset, mask=no_time), *sums,
+                ], names)
+                low = high
+
+    sent = given.mapInArrow(add_up, ", ".join([
+        f"asset {kind}", "window bigint", "rows bigint", "interpolated bigint", "offset_s double", *(f"s{i} double" for i in range(len(features))),
+    ]))
+    return sent.select(F.col("asset").alias(asset), *names[1:5], *[F.col(f"s{i}").alias(f) for i, f in enumerate(features)])
+
+
 def tumbling_windows(
     df: DataFrame, keys: list[str], order: list[str], size: int = 1800, *, complete: bool = True
 ) -> DataFrame:

@@ -231,10 +231,10 @@ def gap_fill(spark, folder):
 def gap_fill_hours(spark, folder):
     """Every gap filled up to the operator's own limit; the filled rows are added up by asset and hour."""
     e = events(spark, folder).select("user_id", (F.col("us") / 1e6).alias("t"), "value", "event_id")
-    filled = ordered.gap_fill(e, "user_id", "t", ["value"], "event_id").withColumn("hour", F.floor(F.col("t") / 3600))
+    filled = ordered.gap_fill(e, "user_id", "t", ["value"], "event_id", window_s=3600).withColumnRenamed("window", "hour")
     return filled.groupBy("user_id", "hour").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if("is_interpolated").alias("interpolated"),
-        F.round(F.sum(F.col("t") - F.col("hour") * 3600), 3).alias("offset_s"), F.round(F.sum("value"), 6).alias("total"),
+        F.sum("rows").alias("rows"), F.sum("interpolated").alias("interpolated"),
+        F.round(F.sum("offset_s"), 3).alias("offset_s"), F.round(F.sum("value"), 6).alias("total"),
     )
 
 

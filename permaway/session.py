@@ -29,10 +29,10 @@ def build_session(app: str = "permaway", cores: str = "*") -> SparkSession:
     )
 
 
-def chunk_count(df: DataFrame) -> int:
+def chunk_count(df: DataFrame, size: int | None = None) -> int:
     """How many range chunks the rows of ``df`` are cut into: by the bytes its plan reads, which costs no job.
 
-    At least one for each shuffle partition; ``spark.permaway.chunks`` sets another number.
+    At least one for each shuffle partition; ``spark.permaway.chunks`` sets another number. ``size`` sets a chunk's bytes.
     """
     conf = df.sparkSession.conf
     fixed = conf.get("spark.permaway.chunks", None)
@@ -41,7 +41,7 @@ def chunk_count(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     known = sum(x for x in sizes if x < 1 << 60)  # a leaf without statistics counts as nothing
-    return max(int(conf.get("spark.sql.shuffle.partitions", "200")), -(-known // chunk_bytes(known)))
+    return max(int(conf.get("spark.sql.shuffle.partitions", "200")), -(-known // (size or chunk_bytes(known))))
 
 
 def chunk_bytes(known: int) -> int:
