@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +23,29 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def vector_times_matrix(vector: Column, columns: list[list[float]]) -> Column:
-    """``vector @ W`` with ``W`` given by its columns, as one constant array."""
-    return F.transform(F.lit([[float(w) for w in c] for c in columns]), lambda c: dot(vector, c))
+    """``vector @ W`` with ``W`` given by its columns. A vector of another length, or with nulls, gives nulls.
+
+    Whole Arrow batches are multiplied, entry after entry as ``dot`` adds them up.
+    """
+    weights = np.array(columns, dtype=float).T
+
+    @F.arrow_udf("array<double>")
+    def product(vectors: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), len(weights)), False)
+        entries = vectors.filter(fits).flatten()
+        given = entries.to_numpy(zero_copy_only=False).reshape(-1, len(weights))
+        known = fits.to_numpy(zero_copy_only=False).copy()
+        out = np.zeros((len(vectors), weights.shape[1]))
+        sums = np.zeros((len(given), weights.shape[1]))
+        with np.errstate(all="ignore"):
+            for entry, row in zip(given.T, weights, strict=True):
+                sums += entry[:, None] * row
+        out[known] = sums
+        known[known] = entries.is_valid().to_numpy(zero_copy_only=False).reshape(given.shape).all(1)
+        ends = pa.array(np.arange(len(out) + 1) * weights.shape[1], pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel(), mask=np.repeat(~known, weights.shape[1])))
+
+    return product(vector)
 
 
 def l2_norm(values: Column) -> Column:
