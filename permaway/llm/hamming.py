@@ -3,13 +3,15 @@
 A code of 64 bits is cut into segments, and equal codes are one entry. Queries probe all segment values within a radius that
 grows from 0: once the segments up to j have been probed at radius s and the others at s - 1, every code within distance
 m * s + j has been met. Met codes are verified by their whole distance; a query is done when its kth verified distance is
-covered, and until then only segments that can still bring a nearer code are probed.
+covered, and until then only segments that can still bring a nearer code are probed. A code counts where it is met first:
+in the first of its segments that differ least from the query's. So no query meets a code twice, in whatever rounds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
-from math import ceil, log2
+from math import ceil, comb, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 from permaway.llm.store import Scratch
 
 BITS = 64
+#: Codes of one segment value, at least, about. A value to probe costs as much as verifying some dozens of codes, and narrower segments have far fewer values.
+CODES_A_VALUE = 64
+#: Values that one task makes to probe, about.
+TASK_VALUES = 1 << 19
 
 
 def sign_code(vector: str) -> Column:
@@ -28,8 +34,8 @@ def sign_code(vector: str) -> Column:
 
 
 def segment_count(codes: int) -> int:
-    """Segments no wider than the logarithm of the number of codes, so that a segment value has few codes at any size."""
-    return min(BITS // 2, ceil(BITS / max(2.0, log2(max(codes, 2)))))
+    """Segments no wider than the logarithm of the number of codes over CODES_A_VALUE, so that a segment value has few codes at any size, but its neighbours are few too."""
+    return min(BITS // 2, ceil(BITS / max(2.0, log2(max(codes, 2) / CODES_A_VALUE))))
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
@@ -42,18 +48,44 @@ def _segments(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _key(code: str, at: int, width: int) -> Column:
+def _part(code: Column, at: int, width: int) -> Column:
     return F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _masks(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+def _key(code: Column, segment: int, at: int, width: int) -> Column:
+    """The value of a segment, with the segment's number above it."""
+    return _part(code, at, width).bitwiseOR(F.lit(segment << BITS // 2).cast("long"))
 
 
-def _probes(code: str, at: int, width: int, radius: int) -> Column:
-    """All segment values at this distance from the code's own."""
-    own = _key(code, at, width)
-    return F.transform(F.array(*(F.lit(x).cast("long") for x in _masks(width, radius))).cast("array<long>"), lambda mask: own.bitwiseXOR(mask))
+def _masks(width: int, radius: int) -> Column:
+    """All values of that many bits. One literal in the plan, as the thousands that wide segments have would fill the driver."""
+    return F.split(F.lit(",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))), ",").cast("array<long>")
+
+
+def _probes(own: Column, masks: Column) -> Column:
+    return F.transform(masks, lambda mask: own.bitwiseXOR(mask))
+
+
+def _met(open_: DataFrame, rows: int, index: DataFrame, segments: list[tuple[int, int]], radius: int) -> DataFrame:
+    """query, distance and ids of the codes within the bounds that the segment values at this distance bring, and none did before.
+
+    open_ has so many rows of query and bound, index code, ids and key. Probes outnumber the rows that they are made of by thousands,
+    which Spark's estimates leave out: so many tasks make them, and the hint keeps them from being sent to the driver and broadcast.
+    """
+    query, n = F.col("query"), len(segments)
+    masks = {width: _masks(width, radius) for _, width in segments if width >= radius}
+    probes = [
+        F.when(F.lit(n * radius + j) <= F.col("bound"), _probes(_key(query, j, at, width), masks[width]))
+        for j, (at, width) in enumerate(segments) if width in masks
+    ]
+    tasks = ceil(rows * sum(comb(width, radius) for _, width in segments) / TASK_VALUES)
+    dealt = open_.repartition(max(1, tasks), "query")
+    probed = dealt.select("query", "bound", F.explode(F.array(*probes)).alias("keys")).select("query", "bound", F.explode("keys").alias("key"))
+    differ = query.bitwiseXOR(F.col("code"))
+    distance, segment = F.bit_count(differ), F.shiftrightunsigned(index["key"], BITS // 2)
+    first = (F.bit_count(_part(differ, *x)) >= F.lit(radius) + (segment > j).cast("int") for j, x in enumerate(segments))
+    met = probed.hint("merge").join(index, (probed["key"] == index["key"]) & (distance <= F.col("bound")) & reduce(Column.__and__, first))
+    return met.select("query", distance.alias("distance"), "ids")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -77,28 +109,26 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n = segment_count(codes)
     segments = _segments(n)
     index = scratch.table(
-        entries.select("code", "ids", F.posexplode(F.array(*(_key("code", *x) for x in segments))).alias("segment", "key")), "op7-index"
+        entries.select("code", "ids", F.explode(F.array(*(_key(F.col("code"), j, *x) for j, x in enumerate(segments)))).alias("key")), "op7-index"
     )
     asked = scratch.table(ready(queries), "op7-queries")
     best = None
     # bound: the distance of the last wanted row met so far.
     open_ = asked.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(BITS))
+    left = open_.count()
     radius = 0
     while codes and radius <= segments[0][1]:
-        probes = [F.when(F.lit(n * radius + j) <= F.col("bound"), _probes("query", *x, radius)) for j, x in enumerate(segments)]
-        probed = open_.select("query", "bound", F.posexplode(F.array(*probes)).alias("segment", "keys")).select("query", "bound", "segment", F.explode("keys").alias("key"))
-        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-        met = probed.join(index, (probed["segment"] == index["segment"]) & (probed["key"] == index["key"]) & (distance <= F.col("bound")))
-        met = met.select("query", distance.alias("distance"), "code", "ids").distinct().select("query", "distance", F.explode("ids").alias("neighbor_id"))
+        met = _met(open_, left, index, segments, radius).select("query", "distance", F.explode("ids").alias("neighbor_id"))
         nearest_first = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor_id"))
-        met = met if best is None else met.unionByName(best.select("query", "distance", "neighbor_id")).distinct()
+        met = met if best is None else met.unionByName(best.select("query", "distance", "neighbor_id"))
         best = scratch.table(met.withColumn("place", nearest_first).where(F.col("place") <= most), "op7-best")
         covered = n * (radius + 1) - 1
         bounds = best.groupBy("query").agg(F.when(F.count("*") >= wanted, F.max("distance")).alias("met"))
         open_ = scratch.table(
             open_.select("query").join(bounds, "query", "left").select("query", F.coalesce("met", F.lit(BITS)).alias("bound")).where(F.col("bound") > covered), "op7-open"
         )
-        if open_.isEmpty():
+        left = open_.count()
+        if not left:
             break
         radius += 1
     if best is None:
